@@ -55,7 +55,7 @@ def _repeated_lines(t: Texts) -> np.ndarray:
 
 
 def statistics(t: Texts) -> dict[str, np.ndarray]:
-    """The base statistics of each text, and two that only the trees use."""
+    """The base statistics of each text, and some that only models use."""
     words, owner = t.hashes(), t.owners()
     key = mixed(words + owner.astype(np.uint64) * np.uint64(_P))
     _, at = np.unique(key, return_index=True)
@@ -74,7 +74,7 @@ def statistics(t: Texts) -> dict[str, np.ndarray]:
     return {
         "n_words": np.diff(t.word_bounds), "word_chars": _per_text(free & _LEAD[t.data], t), "n_symbols": _per_text(_SYMBOL[t.data], t),
         "n_dup_lines": _repeated_lines(t), "n_repeat_words": np.bincount(owner[covered[: len(words)]], minlength=t.n),
-        "n_upper": _per_text(_UPPER[t.data], t), "n_distinct": np.bincount(owner[at], minlength=t.n),
+        "n_upper": _per_text(_UPPER[t.data], t), "n_distinct": np.bincount(owner[at], minlength=t.n), "n_bangs": _per_text(t.data == 33, t),
     }
 
 
@@ -83,6 +83,11 @@ def feature_matrix(s: dict[str, np.ndarray]) -> np.ndarray:
     return np.column_stack([np.log1p(s["n_words"]), s["word_chars"] / n, s["n_symbols"] / n, s["n_dup_lines"] / n, s["n_repeat_words"] / n, s["n_upper"] / np.maximum(s["word_chars"], 1), s["n_distinct"] / n])
 
 
+def document_features(s: dict[str, np.ndarray]) -> np.ndarray:
+    """The trees' features, and exclamation marks per word."""
+    return np.column_stack([feature_matrix(s), s["n_bangs"] / np.maximum(s["n_words"], 1)])
+
+
 @dataclass
 class Trees:
     """All trees' nodes end to end; a leaf is its own child."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, gif_media, pair_index_bpe, quality_rules, sharding, tag_paths, token_files
+from . import best_fit_packing, gif_media, jaccard_join, pair_index_bpe, quality_rules, sharding, suffix_dedup, tag_paths, token_files, weak_quality
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,14 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return weak_quality.classified(docs, weak_quality.fitted(docs)[1])
+
+
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_digests(gif_media.with_media(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.packed(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
 
@@ -45,7 +58,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op4_gif_media, op6_best_fit_packing, op7_token_files, op8_quality_rules, op9_pair_index_bpe, op10_html_extraction)
+    f.__name__: f for f in (op1_jaccard_join, op2_sharding, op3_quality_classifier, op4_gif_media, op5_suffix_dedup, op6_best_fit_packing, op7_token_files, op8_quality_rules, op9_pair_index_bpe, op10_html_extraction)
 }
 
 ORACLE_SQL: dict[str, str] = {}
