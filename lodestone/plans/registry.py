@@ -1,5 +1,7 @@
 """All registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import corpus, search
+
+QUERIES: dict = corpus.QUERIES | search.QUERIES
+ORACLE_SQL: dict[str, str] = corpus.ORACLE_SQL | search.ORACLE_SQL
 FLAGSHIP = "search_bm25"
