@@ -9,7 +9,7 @@ linked are then compared by their exact sets, which gives each document's number
 
 Texts with the same set of n-grams are one node, with a number of copies, before anything is compared. A text of fewer
 words than n has one n-gram, all its words; null texts and texts without words have none, and so no links. Rows without
-doc_id are returned with a null class and no links. Rows that repeat count as documents. Other columns are not read.
+doc_id are returned with a null class and no links. Rows that repeat count as documents, rows without doc_id as nobody's link. Other columns are not read.
 An empty table gives an empty result. Memory is bounded by the blocks compared, not by groups.
 """
 
@@ -205,7 +205,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
     texts = semi_by_id(docs.select(F.col("doc_id").cast("long").alias("cid"), "text"), members.select("cid"), "cid")
     full = texts.mapInArrow(sets, "cid long, k1 long, k2 long, grams_set binary").join(members, ["cid", "k1", "k2"])
     dealt = _paired_blocks(full, "root", "cid", F.greatest(F.ceil(F.col("nodes") * 2 / leaf), F.ceil(F.col("grams") / 2_000_000)))
-    dealt = dealt.select("group", "cid", "copies", "block", "grams_set")
+    dealt = dealt.select("group", "cid", "copies", "block", "grams_set", "same")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "group"):
@@ -231,8 +231,8 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
                 both += m @ m.T
             near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
             np.fill_diagonal(near, False)
-            crossing = block[:, None] != block[None, :]
-            counted = near & crossing if crossing.any() else near
+            # pairs within a block are counted in its own group, whatever else a group of two blocks holds
+            counted = near if g.column(5)[0].as_py() else near & (block[:, None] != block[None, :])
             label = labels_of(near)
             links = counted.astype(np.int64) @ copies
             some = near.any(1)
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     runs = runs_for(recall, threshold, DEPTH)
     coordinates = runs * DEPTH + EXTRA
     sketch = staged(sketches(docs, words, coordinates), "sketches")
-    classes = (sketch.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("samples").alias("samples"))
+    classes = (sketch.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"), F.count("doc_id").alias("copies"), F.first("samples").alias("samples"))
                .where("cid is not null"))
     # two different sets may have one smallest id only where an id repeats with different texts; one of them stands for it
     classes = staged(classes, "classes")
