@@ -41,6 +41,7 @@ _MAIN = set("articlebody mainentity".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|"
     r"<(?P<raw>" + "|".join(_RAW) + r")\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)|"
+    r"<[/a-zA-Z][^>]*+\Z|"
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>",
     re.S | re.I,
 )
