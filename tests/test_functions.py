@@ -1,0 +1,56 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import redaction, text as T, urls
+from lodestone.functions.stemming import porter_stem
+
+
+def column(spark, values, expr, kind="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r.x for r in rows.select("i", expr(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+@pytest.mark.parametrize("word,stem", [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("vietnamization", "vietnam"), ("hopefulness", "hope"), ("triplicate", "triplic"), ("electrical", "electr"), ("revival", "reviv"), ("adoption", "adopt"), ("probate", "probat"), ("controll", "control"), ("roll", "roll"), ("rate", "rate"), ("ab", "ab"), ("x1s", "x1s")])
+def test_stems_of_the_paper(word, stem):
+    assert porter_stem(word) == stem
+
+
+def test_tokens(spark):
+    assert column(spark, ["The in-process Util.text of A K", None, "étion x"], T.tokens) == [["in-process", "util.text"], [], ["tion"]]
+    assert column(spark, ["The A"], T.all_tokens) == [["the", "a"]]
+    assert column(spark, [["in-process", "plain"]], T.expand_compounds, "array<string>") == [["in-process", "plain", "process"]]
+    assert column(spark, ["abc", "abcde"], T.char_ngrams) == [["^abc$"], ["^abc", "abcd", "bcde", "cde$"]]
+    assert column(spark, ["hopping"], T.stem) == ["hop"]
+
+
+def test_text(spark):
+    assert column(spark, ["a \t b\r\n\r\n\r\n\r\nc  \n d", "ﬁ​x\x07"], T.clean) == ["a b\n\nc\n d", "fix"]
+    assert column(spark, ["One. Two? three! Four\n\nfive", "", None], T.sentences) == [["One.", "Two? three!", "Four", "five"], [], []]
+    assert column(spark, ["", "a b", "abcdefgh" * 4, None], T.estimate_tokens) == [0, 2, 8, 0]
+    assert column(spark, ["word " * 20], lambda c: T.truncate_tokens(c, 5)) == ["word word word word ..."]
+    assert column(spark, ["def f(x): return x", "Plain words.", ""], T.code_likeness)[0] > 0.6
+    assert column(spark, ["1:02", "1:00:01"], T.seconds_of) == [62, 3601]
+    assert column(spark, ["https://youtu.be/abcdefghijk?x", "abcdefghijk", "no"], T.video_id) == ["abcdefghijk", "abcdefghijk", None]
+    assert column(spark, ["1.5", "1970-01-01T00:01:00Z", "no"], T.epoch_seconds) == [1.5, 60.0, None]
+    assert column(spark, ["a"], lambda c: T.stable_id(c, F.lit("b"))) == ["023b8059a924f728a2155e4c"]
+
+
+def test_front_matter(spark):
+    texts = ["---\nDate: 2024-01-02\n# note\nurl: http://x:1\n---\nBody", "---\nno pair\n---\nBody", "Body"]
+    assert column(spark, texts, T.front_matter) == [{"date": "2024-01-02", "url": "http://x:1"}, None, None]
+    assert column(spark, texts, T.without_front_matter) == ["Body", texts[1], "Body"]
+
+
+def test_redaction_is_idempotent(spark):
+    fake = ["ghp_" + "a" * 20, "key sk-" + "b" * 40, "AKIA" + "C" * 16, "password = hunter2hunter2", "https://user:pass1234@host/x", "Bearer " + "d" * 20, "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "token of gratitude"]
+    once = column(spark, fake, redaction.redact)
+    assert once == ["<redacted:github-token>", "key <redacted:api-key>", "<redacted:aws-key-id>", "<redacted:password>", "https://user:<redacted:url-password>@host/x", "Bearer <redacted>", "<redacted:private-key>", "token of gratitude"]
+    assert column(spark, once, redaction.redact) == once
+
+
+def test_urls(spark):
+    given = ["HTTP://Ex.com:80/a%2fb/index.html?b=2&utm_source=x&a=1#f", "https://ex.com", "https://ex.com:8443/?q"]
+    assert column(spark, given, urls.normalize_url) == ["http://ex.com/a%2Fb/?a=1&b=2", "https://ex.com/", "https://ex.com:8443/?q="]
+    assert column(spark, ["https://a.ex.com/", "https://evilex.com", "https://ex.com/x"], lambda c: urls.same_site(c, F.lit("https://ex.com"))) == [True, False, True]
+    assert column(spark, ["<title>Just a moment...</title>", "fine"], urls.interstitial_reason) == ["Cloudflare interstitial", ""]
+    assert column(spark, ["ftp://ex.com/", "https://ex.com/a.png", "https://o.com/", "https://ex.com/p"], lambda c: urls.crawl_verdict(c, F.lit(0), F.lit("https://ex.com/"))) == ["scheme", "binary_ext", "offsite", "ok"]
