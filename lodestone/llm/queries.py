@@ -61,4 +61,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard_join, op2_sharding, op3_quality_classifier, op4_gif_media, op5_suffix_dedup, op6_best_fit_packing, op7_token_files, op8_quality_rules, op9_pair_index_bpe, op10_html_extraction)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The shards' turns as a recursion: each claims the first slot it prefers of those still free.
+_FILL = f"""WITH RECURSIVE p AS (SELECT list(o ORDER BY s) AS o, list(k ORDER BY s) AS k FROM (SELECT s, ('0x' || substr(md5('offset-' || s), 1, 15))::BIGINT % {sharding.SLOTS} AS o, ('0x' || substr(md5('skip-' || s), 1, 15))::BIGINT % {sharding.SLOTS - 1} + 1 AS k FROM range({sharding.SHARDS}) t(s))),
+ fill AS (SELECT 0 AS turn, -1::BIGINT AS slot, list_transform(range({sharding.SLOTS}), lambda x: -1::INT) AS owner
+  UNION ALL SELECT turn + 1, slot, list_transform(owner, lambda v, i: CASE WHEN i = slot + 1 THEN (turn % {sharding.SHARDS})::INT ELSE v END) FROM (
+   SELECT turn, owner, (o[turn % {sharding.SHARDS} + 1] + (list_position(list_transform(range({sharding.SLOTS}), lambda x: owner[(o[turn % {sharding.SHARDS} + 1] + x * k[turn % {sharding.SHARDS} + 1]) % {sharding.SLOTS} + 1] < 0), true) - 1) * k[turn % {sharding.SHARDS} + 1]) % {sharding.SLOTS} AS slot FROM fill, p WHERE turn < {sharding.SLOTS})),
+ shards AS (SELECT slot, ((turn - 1) % {sharding.SHARDS})::INT AS shard FROM fill WHERE turn > 0)
+ SELECT doc_id, d.slot, shard FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents) d JOIN shards s ON s.slot = d.slot"""
+
+#: The other operators hash, tokenize, learn or compress, which SQL cannot express; tests/llm has their counterparts.
+ORACLE_SQL: dict[str, str] = {"op2_sharding": _FILL}
