@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textarrays import in_slices
 from .tokens import piece_ids
 
@@ -131,10 +132,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     """doc_id, piece, start, length and ids_crc32 of every document's pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = piece_ids(tokenizer)
         for whole in batches:
-            for b in in_slices(whole):
+            for b in in_slices(whole, most=1 << 20):
                 rows = []
                 for name, got in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                     got += end

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textarrays import in_slices
 
 WIDTH, ROWS, DELAY = 192, 64, 10
@@ -204,6 +205,7 @@ def colour_histogram(canvas: np.ndarray, levels: int = 4) -> np.ndarray:
 def with_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: the text's bytes as a GIF."""
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in in_slices(whole):
@@ -218,6 +220,7 @@ def frames(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFram
     """A row for each frame of each GIF, in order, with its time and colours."""
     kind = df.schema[key].dataType.simpleString()
 
+    @lean
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
@@ -242,6 +245,7 @@ def frames(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFram
 def media_digests(df: DataFrame) -> DataFrame:
     """What the stored media hold, read back from them: digests of the samples and a feature string for each row."""
 
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, cut, linked_groups, semi_by_id, staged
+from .shared import BROADCAST_ROWS, cut, lean, linked_groups, semi_by_id, staged
 from .textarrays import Texts, mixed, ngram_hashes, text_slices, _P
 
 THRESHOLD, WORDS, RECALL, DEPTH, LEAF, EXTRA, LEVELS = 0.8, 5, 0.99999, 3, 256, 16, 4
@@ -68,6 +68,7 @@ def sketches(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
     """doc_id, the set's identity (k1, k2) and size, and its samples, 4 bytes each."""
     orders = np.random.default_rng(5).integers(1, 2**62, coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, size, full, begin, keys in _ids_and_sets(batches, n):
             sample = np.zeros((len(size), coordinates), np.uint32)
@@ -122,6 +123,7 @@ def _paired_blocks(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
 def candidate_links(classes: DataFrame, runs: int, depth: int, coordinates: int, threshold: float, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) that join whatever the runs' buckets show to be near the threshold or above."""
 
+    @lean
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -162,6 +164,7 @@ def candidate_links(classes: DataFrame, runs: int, depth: int, coordinates: int,
         every = every.unionByName(d.select("group", "cid", "samples"))
     floor = coordinates * (threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / coordinates))
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         held = 0
@@ -198,6 +201,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
     about = members.groupBy("root").agg(F.count("*").alias("nodes"), F.sum(F.col("n").cast("long")).alias("grams"))
     members = cut(members.join(about, "root"))
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, size, _, begin, keys in _ids_and_sets(batches, n):
             yield pa.record_batch({"cid": ids, "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "grams_set": pa.array([h[begin[i] : begin[i + 1]].tobytes() for i in range(len(size))], pa.binary())})
@@ -207,6 +211,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
     dealt = _paired_blocks(full, "root", "cid", F.greatest(F.ceil(F.col("nodes") * 2 / leaf), F.ceil(F.col("grams") / 2_000_000)))
     dealt = dealt.select("group", "cid", "copies", "block", "grams_set", "same")
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "group"):
             if g.num_rows < 2:

@@ -7,7 +7,7 @@ later ranks, which is checked when it is loaded, so all words can share one orde
 
 Null texts are empty ones: no ids, an empty decoded text. Rows that repeat are encoded alike; texts of any length are
 taken whole. Columns other than doc_id and text are not read. Special tokens in a text become their ids, as the public
-library has them. Bounded memory: a worker keeps at most KEPT pieces and as many words.
+library has them. Bounded memory: a worker keeps at most twice KEPT pieces and as many words.
 """
 
 from __future__ import annotations
@@ -24,17 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textarrays import in_slices
-from .tokens import BEYOND_LATIN, CLIP_PATTERN, LATIN_WORDS, _ODD
+from .tokens import BEYOND_LATIN, CLIP_PATTERN, LATIN_WORDS, _ODD, Recent, byte_characters
 
-KEPT = 200_000
-
-
-def byte_characters() -> list[str]:
-    """The printable character for each byte: itself where printable, else those from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = (c for c in range(256, 512))
-    return [chr(b if b in plain else next(other)) for b in range(256)]
+KEPT = 60_000
 
 
 class PairIndexBpe:
@@ -66,8 +60,8 @@ class PairIndexBpe:
             self.merge.append((x, y, new))
         self.words = regex.compile(split)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple] = {}
-        self.word_ids: dict[str, list[int]] = {}
+        self.known: Recent = Recent()
+        self.word_ids: Recent = Recent()
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, by one pass over the ranks that occur in any of them."""
@@ -131,9 +125,19 @@ class PairIndexBpe:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        parts = {p: self._parts(p) for p in pieces}
         ids, token = self.word_ids, self.token
-        new = list({w for ws in parts.values() for w in ws if isinstance(w, str) and w not in ids})
+        parts = {}
+        for p in pieces:
+            if (old := self.known.older.get(p)) is not None:
+                self.known[p] = old
+            else:
+                parts[p] = self._parts(p)
+        new = []
+        for w in {w for ws in parts.values() for w in ws if isinstance(w, str) and w not in ids}:
+            if (old := ids.older.get(w)) is not None:
+                ids[w] = old
+            else:
+                new.append(w)
         ids.update(zip(new, self.encode_words(new), strict=True))
         for p, ws in parts.items():
             got = [i for w in ws for i in ([w] if isinstance(w, int) else ids[w])]
@@ -141,9 +145,7 @@ class PairIndexBpe:
 
     def pieces(self, texts: list[str]) -> list[list[tuple]]:
         """For each text its pieces' (number of ids, the ids as text, their tokens as text, ids)."""
-        for kept in (self.known, self.word_ids):
-            if len(kept) > KEPT:
-                kept.clear()
+        self.known, self.word_ids = self.known.aged(KEPT), self.word_ids.aged(KEPT)
         cut = [([t] if t else []) if _ODD.search(t) else t.split() for t in texts]
         new = {p for ps in cut for p in ps if p not in self.known}
         if new:
@@ -171,10 +173,11 @@ def pair_index(name: str) -> PairIndexBpe:
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids of every document."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pair_index(tokenizer)
         for whole in batches:
-            for b in in_slices(whole):
+            for b in in_slices(whole, most=1 << 20):
                 got = [[i for x in p for i in x[3]] for p in bpe.pieces([t or "" for t in b.column(1).to_pylist()])]
                 yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(got, pa.list_(pa.int32()))})
 
@@ -184,6 +187,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
 def decoded(ids: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and the text that its ids decode to."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pair_index(tokenizer)
         for b in batches:
@@ -195,11 +199,12 @@ def decoded(ids: DataFrame, tokenizer: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: its number of ids, and digests of the ids and of what they decode to."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pair_index(tokenizer)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for whole in batches:
-            for b in in_slices(whole):
+            for b in in_slices(whole, most=1 << 20):
                 got = bpe.pieces([t or "" for t in b.column(1).to_pylist()])
                 yield pa.record_batch({"doc_id": b.column(0), "n_tokens": pa.array([sum(x[0] for x in p) for p in got], pa.int64()), "ids_sha256": pa.array([sha(" ".join(x[1] for x in p)) for p in got]), "decoded_sha256": pa.array([sha(" ".join(x[2] for x in p)) for p in got])})
 

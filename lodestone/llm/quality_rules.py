@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textarrays import Texts, mixed, ngram_hashes, powers, text_slices, _BYTE, _P, _P_INVERSE
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -179,6 +180,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) ->
     few = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows))
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in text_slices(b):
@@ -196,6 +198,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) ->
 def quality_rules(docs: DataFrame, model: Trees | None) -> DataFrame:
     """The statistics and the verdict of every document."""
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -207,6 +210,7 @@ def quality_rules(docs: DataFrame, model: Trees | None) -> DataFrame:
 def keep_good(docs: DataFrame, model: Trees | None) -> DataFrame:
     """The documents whose verdict is good, with all their columns."""
 
+    @lean
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

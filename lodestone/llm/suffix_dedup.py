@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, semi_by_id, staged
+from .shared import BROADCAST_ROWS, lean, semi_by_id, staged
 from .textarrays import mixed, ngram_hashes, sliding, text_slices, _P
 
 PASSAGE, PREFIX = 50, 25
@@ -34,6 +34,7 @@ def anchors(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
     """Kept suffixes: (key, the hash of their first words; doc_id; again, whether the document has it twice)."""
     width = passage - prefix + 1
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in text_slices(b):
@@ -55,6 +56,7 @@ def repeated_anchors(suffixes: DataFrame) -> DataFrame:
     """doc_id and keys of the suffixes that begin as a neighbour in sorted order does. At the ends of a sorted range,
     whose neighbours are elsewhere, all are passed on: extension decides."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for b in batches:
@@ -82,6 +84,7 @@ def passages(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
     and document. Where one recurs in its document, hash is null and `run` counts the words at which repeats begin."""
     width = passage - prefix + 1
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in text_slices(b):
@@ -120,6 +123,7 @@ def _later_ones(found: DataFrame) -> DataFrame:
     over all partitions; a range that begins within a run of equal ones learns where the run began from the ranges before."""
     ordered = found.repartitionByRange("hash", "doc_id", "start").sortWithinPartitions("hash", "doc_id", "start").select("hash", "doc_id", "start")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, origin, head = TaskContext.get().partitionId(), None, None, True
         for b in batches:
@@ -162,6 +166,7 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX
     later = _later_ones(found.where("hash is not null")).select("doc_id", "start", F.lit(1).alias("run"), "source")
     flagged = later.unionByName(local).groupBy("doc_id").agg(F.collect_list(F.struct("start", "run", "source")).alias("found"))
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -189,6 +194,7 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     joined = docs.join(F.broadcast(spans) if few else spans.hint("shuffle_merge"), docs.doc_id == spans._spans_of, "left").drop("_spans_of")
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(names.index("text"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textarrays import in_slices
 
 # Kinds of elements in HTML.
@@ -190,6 +191,7 @@ def main_text(page: str | None) -> str:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, and each page's main text with its length in code points."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in in_slices(whole, "html"):

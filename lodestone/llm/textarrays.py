@@ -28,7 +28,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.ones(size, np.uint64)
         have[1:] = np.uint64(base)
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 

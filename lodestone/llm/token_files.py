@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import lean, staged
 from .textarrays import in_slices
 from .tokens import library_tokenizer, piece_ids
 
@@ -50,6 +50,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     bits = max(1, int(max(library_tokenizer(tokenizer).get_vocab_size(True) - 1, end_id)).bit_length())
     end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, block, first = piece_ids(tokenizer), TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
@@ -64,7 +65,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         size = 0
         for whole in batches:
-            for b in in_slices(whole):
+            for b in in_slices(whole, most=1 << 20):
                 for name, got in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                     n = len(got) // 4 + 1
                     if ids and size + n > BLOCK:
@@ -88,6 +89,7 @@ def document_digests(blocks: DataFrame) -> DataFrame:
     for part in sorted(totals):
         before[part], total = total, total + totals[part]
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, first, bits, names, starts, payload in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):

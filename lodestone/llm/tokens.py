@@ -1,7 +1,7 @@
 """Ids of whole texts from a public tokenizer, taken white-space piece by piece.
 
 The tokenizer drops white space and never looks across it, so a text's ids are those of its pieces end to end. Each
-Python worker keeps the ids of the pieces it met last, up to KEPT of them, and those of their words.
+Python worker keeps the ids of the pieces it met last, up to twice KEPT of them, and those of their words.
 """
 
 from __future__ import annotations
@@ -9,9 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import numpy as np
-
-KEPT = 300_000
+KEPT = 80_000
 _ODD = re.compile("[\x1c-\x1f]")  # str.split() cuts at these, the tokenizer does not
 
 # The pre-tokenizer's pattern of the public file, and what it is over lower-case Latin-1 without spaces.
@@ -21,6 +19,27 @@ LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 
 
+def byte_characters() -> list[str]:
+    """The printable character for each byte: itself where printable, else those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
+BYTE_CHARACTERS = dict(enumerate(byte_characters()))
+chr_of_byte = byte_characters().__getitem__
+
+
+@lru_cache(1)
+def _four_bytes() -> list[bytes]:
+    return [i.to_bytes(4, "little") for i in range(1 << 17)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    known = _four_bytes()
+    return b"".join([known[i] if i < len(known) else i.to_bytes(4, "little") for i in ids])
+
+
 @lru_cache(4)
 def library_tokenizer(name: str):
     """A tokenizers.Tokenizer from a file name or path; found in each worker by itself."""
@@ -47,29 +66,41 @@ class PieceIds:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, name: str):
-        self.tokenizer, self.known, self.words, self.by_piece = library_tokenizer(name), {}, {}, splits_at_space(name)
+        self.tokenizer, self.known, self.words, self.by_piece = library_tokenizer(name), Recent(), Recent(), splits_at_space(name)
         self.by_word = self.by_piece and CLIP_PATTERN in [str(p) for p in _patterns(self.tokenizer)]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1000):
+            out += [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
+
+    def _word(self, word: str) -> bytes:
+        """A word that normalization and pre-tokenization leave whole goes to the library's model as they would give it."""
+        return _packed([t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARACTERS) if word.isascii() else "".join(map(chr_of_byte, word.encode())))])
 
     def _learn(self, new: list[str]) -> None:
         known, words = self.known, self.words
-        plain = [p for p in new if not BEYOND_LATIN.search(p) and "<|" not in p] if self.by_word else []
-        rest = list(set(new).difference(plain)) if plain else new
+        rest: list[str] = []
+        for p in new:
+            if (ids := known.older.get(p)) is not None:
+                known[p] = ids
+            elif not self.by_word or BEYOND_LATIN.search(p) or "<|" in p or _ODD.search(p):
+                rest.append(p)
+            else:
+                got = []
+                for w in LATIN_WORDS.findall(p.lower()):
+                    ids = words.get(w)
+                    if ids is None:
+                        ids = words[w] = words.older.get(w) or self._word(w)
+                    got.append(ids)
+                known[p] = got[0] if len(got) == 1 else b"".join(got)
         known.update(zip(rest, self._encoded(rest), strict=True))
-        parts = [LATIN_WORDS.findall(p.lower()) for p in plain]
-        unmet = list({w for ws in parts for w in ws if w not in words})
-        words.update(zip(unmet, self._encoded(unmet), strict=True))
-        for p, ws in zip(plain, parts, strict=True):
-            known[p] = b"".join(map(words.__getitem__, ws))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._encoded(texts)
-        for kept in (self.known, self.words):
-            if len(kept) > KEPT:
-                kept.clear()
+        self.known, self.words = self.known.aged(KEPT), self.words.aged(KEPT)
         known = self.known
         pieces = [[t] if _ODD.search(t) else t.split() for t in texts]
         new = {p for ps in pieces for p in ps if p not in known}
@@ -79,6 +110,19 @@ class PieceIds:
         return [b"".join(map(get, ps)) for ps in pieces]
 
 
+class Recent(dict):
+    """A cache of two ages: once it is full, it becomes the older one of a new one, and what was older goes."""
+
+    older: dict = {}
+
+    def aged(self, most: int) -> "Recent":
+        if len(self) <= most:
+            return self
+        new = Recent()
+        new.older, self.older = self, {}
+        return new
+
+
 def _patterns(tokenizer) -> list[str]:
     import json
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import document_features as feature_matrix
 from .quality_rules import statistics
-from .shared import cut
+from .shared import cut, lean
 from .textarrays import Texts, mixed, text_slices
 
 DIMS, SAMPLE = 1 << 16, 4000
@@ -145,6 +145,7 @@ def train(words: list[np.ndarray], buckets: np.ndarray, target: np.ndarray, epoc
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[WeakLabels | None, Scorer | None]:
     """The vote model of all documents and a scorer trained on a sample of them; none where nothing is voted bad."""
 
+    @lean
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in text_slices(b):
@@ -162,6 +163,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[WeakLabels | None, Sc
         return weak, None
     few = voted.where("doc_id is not null").groupBy("doc_id").agg(F.min("pattern").alias("pattern")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    @lean
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in text_slices(b):
@@ -186,6 +188,7 @@ def _verdicts(b: pa.RecordBatch, scorer: Scorer | None) -> np.ndarray:
 def classified(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """doc_id, score (the probability of good quality) and kept."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -198,6 +201,7 @@ def classified(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
 def keep_good(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """The documents that are judged good, with all their columns."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
