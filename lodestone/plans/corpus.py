@@ -263,3 +263,18 @@ def label_auc(spark, sf):
 def floor_sweep(spark, sf):
     scored = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select((F.least("n_chars", F.lit(5000)) / 5000.0).alias("s"), (F.col("quality") == 1).alias("good"))
     return evaluation.floors(scored, "s", "good")
+
+
+@query()
+def chunks(spark, sf):
+    from ..operators.chunking import chunked
+
+    docs = table(spark, sf, "documents")
+    return chunked(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_system"), F.concat(F.lit("doc://"), "source").alias("uri"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), "text", F.lit("prose").alias("kind"), F.lit("").alias("language")))
+
+
+@query()
+def page_markdown(spark, sf):
+    from ..sources.pages import extracted
+
+    return extracted(table(spark, sf, "pages")).select("page_id", "title", "lang", "text", "word_count", "link_density", "blocked")

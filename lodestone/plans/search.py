@@ -202,3 +202,16 @@ def fusion_sweep(spark, sf):
 def discrimination(spark, sf):
     expected = table(spark, sf, "benchmark").select(F.substring("text", 1, 12).alias("expectation"))
     return evaluation.discrimination(table(spark, sf, "documents"), expected, "text", "expectation").select("expectation", "matched", "total", "kind")
+
+
+@query()
+def answers(spark, sf):
+    """A cited answer to each question from its eight best documents, or the reason for none."""
+    from ..operators import answers as A
+
+    found = ranking.rerank(candidates(spark, sf, 8)).withColumn("relevance", F.round("relevance", 6))
+    best = found.groupBy("item_id").agg(F.max("score").alias("top"), F.max("relevance").alias("relevance"), F.min("score").alias("least"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.col("rank").cast("int"))).alias("markers"))
+    said = A.extractive(A.citations(found.select("item_id", "rank", "text", "score", "asked", "idfs"), "item_id"), "item_id")
+    checked = said.join(best, "item_id").withColumn("check", A.verify("answer", "markers"))
+    no = A.abstains(F.col("top"), F.col("relevance"))
+    return checked.select("item_id", no.alias("abstained"), F.when(~no, F.col("check.text")).alias("answer"), "check.coverage", A.confidence(F.col("top"), F.col("least"), F.col("n"), F.col("check.coverage")).alias("confidence"))

