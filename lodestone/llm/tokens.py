@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-KEPT = 80_000
+KEPT = 250_000
 _ODD = re.compile("[\x1c-\x1f]")  # str.split() cuts at these, the tokenizer does not
 
 # The pre-tokenizer's pattern of the public file, and what it is over lower-case Latin-1 without spaces.
@@ -67,6 +67,7 @@ class PieceIds:
 
     def __init__(self, name: str):
         self.tokenizer, self.known, self.words, self.by_piece = library_tokenizer(name), Recent(), Recent(), splits_at_space(name)
+        self.model = self.tokenizer.model  # a new wrapper each time it is asked for
         self.by_word = self.by_piece and CLIP_PATTERN in [str(p) for p in _patterns(self.tokenizer)]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -77,7 +78,11 @@ class PieceIds:
 
     def _word(self, word: str) -> bytes:
         """A word that normalization and pre-tokenization leave whole goes to the library's model as they would give it."""
-        return _packed([t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARACTERS) if word.isascii() else "".join(map(chr_of_byte, word.encode())))])
+        if not word.isascii():
+            word = "".join(map(chr_of_byte, word.encode()))
+        elif not word.isalnum():
+            word = word.translate(BYTE_CHARACTERS)
+        return _packed([t.id for t in self.model.tokenize(word)])
 
     def _learn(self, new: list[str]) -> None:
         known, words = self.known, self.words
