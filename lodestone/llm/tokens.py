@@ -1,16 +1,18 @@
 """Ids of whole texts from a public tokenizer, taken white-space piece by piece.
 
 The tokenizer drops white space and never looks across it, so a text's ids are those of its pieces end to end. Each
-Python worker keeps the ids of the pieces it met last, up to twice KEPT of them, and those of their words.
+Python worker keeps the ids of the pieces and words it met last, up to twice KEPT of them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
-KEPT = 250_000
-_ODD = re.compile("[\x1c-\x1f]")  # str.split() cuts at these, the tokenizer does not
+KEPT = 400_000
+_ODD_CHARACTERS = "\x1c\x1d\x1e\x1f"  # str.split() cuts at these, the tokenizer does not
+_ODD = re.compile("[\x1c-\x1f]")
 
 # The pre-tokenizer's pattern of the public file, and what it is over lower-case Latin-1 without spaces.
 CLIP_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,6 +39,8 @@ def _four_bytes() -> list[bytes]:
 
 def _packed(ids: list[int]) -> bytes:
     known = _four_bytes()
+    if len(ids) == 1 and ids[0] < len(known):
+        return known[ids[0]]
     return b"".join([known[i] if i < len(known) else i.to_bytes(4, "little") for i in ids])
 
 
@@ -66,9 +70,10 @@ class PieceIds:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, name: str):
-        self.tokenizer, self.known, self.words, self.by_piece = library_tokenizer(name), Recent(), Recent(), splits_at_space(name)
+        self.tokenizer, self.by_piece = library_tokenizer(name), splits_at_space(name)
         self.model = self.tokenizer.model  # a new wrapper each time it is asked for
         self.by_word = self.by_piece and CLIP_PATTERN in [str(p) for p in _patterns(self.tokenizer)]
+        self.known = Learning(self._learned)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -82,37 +87,25 @@ class PieceIds:
             word = "".join(map(chr_of_byte, word.encode()))
         elif not word.isalnum():
             word = word.translate(BYTE_CHARACTERS)
-        return _packed([t.id for t in self.model.tokenize(word)])
-
-    def _learn(self, new: list[str]) -> None:
-        known, words = self.known, self.words
-        rest: list[str] = []
-        for p in new:
-            if (ids := known.older.get(p)) is not None:
-                known[p] = ids
-            elif not self.by_word or BEYOND_LATIN.search(p) or "<|" in p or _ODD.search(p):
-                rest.append(p)
-            else:
-                got = []
-                for w in LATIN_WORDS.findall(p.lower()):
-                    ids = words.get(w)
-                    if ids is None:
-                        ids = words[w] = words.older.get(w) or self._word(w)
-                    got.append(ids)
-                known[p] = got[0] if len(got) == 1 else b"".join(got)
-        known.update(zip(rest, self._encoded(rest), strict=True))
+        tokens = self.model.tokenize(word)
+        return _packed([t.id for t in tokens])
+
+    def _learned(self, piece: str) -> bytes:
+        """The ids of a piece met for the first time. A word alone has the ids that it has within a piece."""
+        if not self.by_word or "<|" in piece or not piece.isascii() and BEYOND_LATIN.search(piece):
+            return self._encoded([piece])[0]
+        low = piece.lower()
+        if low.isalpha():
+            return self._word(low) if low == piece else self.known[low]
+        words = LATIN_WORDS.findall(low)
+        return self._word(low) if len(words) == 1 else b"".join(map(self.known.__getitem__, words))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._encoded(texts)
-        self.known, self.words = self.known.aged(KEPT), self.words.aged(KEPT)
-        known = self.known
-        pieces = [[t] if _ODD.search(t) else t.split() for t in texts]
-        new = {p for ps in pieces for p in ps if p not in known}
-        if new:
-            self._learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in pieces]
+        self.known = self.known.aged(KEPT)
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.split())) if not any(c in t for c in _ODD_CHARACTERS) else self._encoded([t])[0] for t in texts]
 
 
 class Recent(dict):
@@ -123,10 +116,30 @@ class Recent(dict):
     def aged(self, most: int) -> "Recent":
         if len(self) <= most:
             return self
-        new = Recent()
+        new = self.fresh()
         new.older, self.older = self, {}
         return new
 
+    def fresh(self) -> "Recent":
+        return Recent()
+
+
+class Learning(Recent):
+    """Such a cache that asks for what it does not have, and keeps the answer."""
+
+    def __init__(self, learned: Callable[[str], bytes]):
+        self.learned = learned
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key) if self.older else None
+        if value is None:
+            value = self.learned(key)
+        self[key] = value
+        return value
+
+    def fresh(self) -> "Learning":
+        return Learning(self.learned)
+
 
 def _patterns(tokenizer) -> list[str]:
     import json
