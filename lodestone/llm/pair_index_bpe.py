@@ -18,6 +18,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .shared import lean
 from .textarrays import in_slices
-from .tokens import BEYOND_LATIN, CLIP_PATTERN, LATIN_WORDS, _ODD, Recent, byte_characters
+from .tokens import BEYOND_LATIN, CLIP_PATTERN, LATIN_WORDS, Recent, byte_characters, _ODD_CHARACTERS
 
-KEPT = 60_000
+KEPT = 250_000
+_IDS, _TOKENS = itemgetter(0), itemgetter(1)
 
 
 class PairIndexBpe:
@@ -62,6 +64,7 @@ class PairIndexBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: Recent = Recent()
         self.word_ids: Recent = Recent()
+        self.blank = False  # whether a piece without ids was met
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, by one pass over the ranks that occur in any of them."""
@@ -112,9 +115,9 @@ class PairIndexBpe:
 
     def _parts(self, piece: str) -> list:
         """The words of a piece, and the special tokens in it as ids."""
-        if not BEYOND_LATIN.search(piece) and "<|" not in piece and not piece.isspace():
-            if not any(c.isspace() for c in piece):
-                return LATIN_WORDS.findall(piece.lower())
+        if (piece.isascii() or not BEYOND_LATIN.search(piece)) and "<|" not in piece and piece.split() == [piece]:
+            low = piece.lower()
+            return [low] if low.isalpha() else LATIN_WORDS.findall(low)
         out: list = []
         for part in self.specials.split(piece) if self.specials else [piece]:
             if part in self.special:
@@ -124,37 +127,49 @@ class PairIndexBpe:
                 out += self.words.findall(plain)
         return out
 
+    def _texts(self, ids: list[int]) -> tuple[str, str]:
+        token = self.token
+        return " ".join(map(str, ids)), " ".join([token[i] for i in ids])
+
     def learn(self, pieces: set[str]) -> None:
-        ids, token = self.word_ids, self.token
+        known, words = self.known, self.word_ids
         parts = {}
         for p in pieces:
-            if (old := self.known.older.get(p)) is not None:
-                self.known[p] = old
+            if (old := known.older.get(p)) is not None:
+                known[p] = old
             else:
                 parts[p] = self._parts(p)
         new = []
-        for w in {w for ws in parts.values() for w in ws if isinstance(w, str) and w not in ids}:
-            if (old := ids.older.get(w)) is not None:
-                ids[w] = old
+        for w in {w for ws in parts.values() for w in ws}.difference(words):
+            if (old := words.older.get(w)) is not None:
+                words[w] = old
+            elif isinstance(w, int):
+                words[w] = self._texts([w])
             else:
                 new.append(w)
-        ids.update(zip(new, self.encode_words(new), strict=True))
+        words.update(zip(new, map(self._texts, self.encode_words(new)), strict=True))
         for p, ws in parts.items():
-            got = [i for w in ws for i in ([w] if isinstance(w, int) else ids[w])]
-            self.known[p] = (len(got), " ".join(map(str, got)), " ".join(token[i] for i in got), got)
+            if len(ws) == 1:
+                known[p] = words[ws[0]]
+            else:
+                got = [words[w] for w in ws]
+                known[p] = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+                self.blank |= not ws
 
-    def pieces(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text its pieces' (number of ids, the ids as text, their tokens as text, ids)."""
+    def pieces(self, texts: list[str]) -> list[list[tuple[str, str]]]:
+        """For each text its pieces' ids and tokens, both as text; pieces without ids are left out."""
         self.known, self.word_ids = self.known.aged(KEPT), self.word_ids.aged(KEPT)
-        cut = [([t] if t else []) if _ODD.search(t) else t.split() for t in texts]
-        new = {p for ps in cut for p in ps if p not in self.known}
+        cut = [([t] if t else []) if any(c in t for c in _ODD_CHARACTERS) else t.split() for t in texts]
+        new = set().union(*cut).difference(self.known)
         if new:
             self.learn(new)
         get = self.known.__getitem__
-        return [[x for x in map(get, ps) if x[0]] for ps in cut]
+        if self.blank:
+            return [[x for x in map(get, ps) if x[0]] for ps in cut]
+        return [list(map(get, ps)) for ps in cut]
 
     def encode(self, text: str) -> list[int]:
-        return [i for x in self.pieces([text])[0] for i in x[3]]
+        return [int(i) for x in self.pieces([text])[0] for i in x[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with a vocabulary that names no decoder: tokens with a space between them."""
@@ -178,7 +193,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
         bpe = pair_index(tokenizer)
         for whole in batches:
             for b in in_slices(whole, most=1 << 20):
-                got = [[i for x in p for i in x[3]] for p in bpe.pieces([t or "" for t in b.column(1).to_pylist()])]
+                got = [[int(i) for x in p for i in x[0].split()] for p in bpe.pieces([t or "" for t in b.column(1).to_pylist()])]
                 yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(got, pa.list_(pa.int32()))})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -206,6 +221,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         for whole in batches:
             for b in in_slices(whole, most=1 << 20):
                 got = bpe.pieces([t or "" for t in b.column(1).to_pylist()])
-                yield pa.record_batch({"doc_id": b.column(0), "n_tokens": pa.array([sum(x[0] for x in p) for p in got], pa.int64()), "ids_sha256": pa.array([sha(" ".join(x[1] for x in p)) for p in got]), "decoded_sha256": pa.array([sha(" ".join(x[2] for x in p)) for p in got])})
+                ids = [" ".join(map(_IDS, p)) for p in got]
+                yield pa.record_batch({"doc_id": b.column(0), "n_tokens": pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()), "ids_sha256": pa.array(list(map(sha, ids))), "decoded_sha256": pa.array([sha(" ".join(map(_TOKENS, p))) for p in got])})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,6 @@ from functools import lru_cache
 
 KEPT = 400_000
 _ODD_CHARACTERS = "\x1c\x1d\x1e\x1f"  # str.split() cuts at these, the tokenizer does not
-_ODD = re.compile("[\x1c-\x1f]")
 
 # The pre-tokenizer's pattern of the public file, and what it is over lower-case Latin-1 without spaces.
 CLIP_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
