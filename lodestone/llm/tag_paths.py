@@ -9,8 +9,9 @@ kept, whatever its own length, except those in parts that say what they are: men
 adverts, forms, scripts and reader comments.
 
 Null and empty html give an empty text, and so do pages with nothing but such parts. Damaged markup is read as browsers
-do where it is cheap: unclosed paragraphs and list items end at the next one, stray end tags are dropped. The whole page
-is read, of any length, in time proportional to it. Repeated pages give equal texts. Further columns are not read.
+do where it is cheap: unclosed paragraphs and list items end at the next one, stray end tags are dropped. Scripts and
+other raw text without an end tag run to the end of the page; pictures, media and templates are left out with what they
+hold only if their end tag follows, and otherwise hide nothing. The whole page is read, of any length, in time proportional to it. Repeated pages give equal texts. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ from .textarrays import in_slices
 # Kinds of elements in HTML.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-_RAW = "script style noscript template textarea title iframe xmp noembed noframes svg math object audio video canvas".split()
+_RAW = set("script style noscript textarea title iframe xmp noembed noframes".split())
+_EMBEDDED = set("template svg math object audio video canvas".split())
+_FOREIGN = set("svg math".split())
+_BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre s small span strong sub sup table u ul var".split())
 _DROPPED = set("nav footer aside form button select head dialog menu label fieldset".split())
 _CLOSES_P = _BLOCK - set("body html option optgroup".split())
 _ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -41,11 +45,11 @@ _MAIN = set("articlebody mainentity".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|"
-    r"<(?P<raw>" + "|".join(_RAW) + r")\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)|"
     r"<[/a-zA-Z][^>]*+\Z|"
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>",
     re.S | re.I,
 )
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in _RAW}
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -54,11 +58,14 @@ _TITLES = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header")
+    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header", "foreign", "embedded", "mark")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.mark = None
+        self.foreign = tag in _FOREIGN or bool(parent and parent.foreign) and tag not in ("foreignobject", "desc")
+        self.embedded = self if tag in _EMBEDDED else parent and parent.embedded
         name, noisy, hidden, main = tag, False, False, tag in ("article", "main")
         if attrs:
             for k, v in _ATTR.findall(attrs):
@@ -88,6 +95,7 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
     top, parts, out, at = root, [], [], 0
 
     def flush() -> None:
+        nonlocal parts
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
@@ -95,9 +103,9 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
                 while home.tag not in _BLOCK:
                     home = home.parent
                 out.append((text, home))
-            parts.clear()
+            parts = []
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at and not top.dropped:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -111,6 +119,14 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
             if tag == "br" and not top.dropped:
                 parts.append(" ")
             continue
+        if m["end"] and tag in _EMBEDDED:
+            node = top.embedded
+            while node and node.tag != tag:
+                node = node.parent.embedded
+            if node:
+                top, (n, parts, k) = node.parent, node.mark
+                del out[n:], parts[k:]
+            continue
         if m["end"]:
             node = top
             while node is not root and node.tag != tag and not (tag not in _BLOCK and node.tag in _BLOCK):
@@ -120,11 +136,20 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
                     flush()
                 top = node.parent
             continue
+        if tag in _RAW and not top.foreign:
+            ended = _RAW_END[tag].search(page, at)
+            at = ended.end() if ended else len(page)
+            continue
+        if top.foreign and tag in _BREAKOUT:
+            while top.foreign:
+                top = top.parent
+        if (tag in _FOREIGN or top.foreign) and m["attrs"].endswith("/"):
+            continue
         if tag in _BLOCK:
             flush()
             ends = _ENDS.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
             node = top
-            while node is not root and node.tag not in ends and (node.tag not in _SCOPE or tag in ("td", "th", "tr") and node.tag in ("td", "th")):
+            while node is not root and node.tag not in ends and (node.tag not in _SCOPE and node.tag not in _EMBEDDED or tag in ("td", "th", "tr") and node.tag in ("td", "th")):
                 node = node.parent
             if node is not root and node.tag in ends:
                 top = node.parent
@@ -134,6 +159,8 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
             continue
         if tag not in _VOID:
             top = _Element(tag, m["attrs"], top)
+            if tag in _EMBEDDED:
+                top.mark = len(out), parts, len(parts)
     if not top.dropped:
         parts.append(page[at:])
     flush()

@@ -433,6 +433,16 @@ def test_main_text_of_pages(spark):
     assert tag_paths.extracted(rows.limit(0)).count() == 0
 
 
+def test_embedded_elements_hide_nothing_after_them():
+    for tag in ("<svg-icon name=x></svg-icon>", "<video-player src='a'>", "<math-field></math-field>", "<template-part>", "<title-bar></title-bar>", "<svg class='a' />", "<math/>", "<svg><path d='M0'/>", "<video src=x>", "<object data=x>",
+                "<svg><style/><title/><path/></svg>", "<svg><svg><text>a</text></svg><text>b</text></svg>", "<video><p>No video</video>", "<svg><foreignObject><p>label</p></foreignObject></svg>", "<script>x</script >", "<script/>y</script>"):
+        assert tag_paths.main_text(f"<article><p>one</p>{tag}<p>two three</p></article>") == "one\ntwo three", tag
+        assert tag_paths.main_text(f"<article><p>one</p>{tag}<p>two three</p><svg><text>c</text></svg><p>four</p></article>") == "one\ntwo three\nfour", tag
+    assert tag_paths.main_text("<article><p>a <svg><title>t</title><text>x</text></svg>b <object><p>f</p></object>c</p></article>") == "a b c"
+    assert tag_paths.main_text("<article><p>one</p><textarea>rest <p>two</p></article>") == "one"
+    assert len(tag_paths.main_text("<article>" + "<svg><video src=x>word " * 20_000)) == 5 * 20_000 - 1
+
+
 def test_damaged_and_long_pages_take_linear_time():
     assert tag_paths.main_text("<a href='" * 20_000) == ""
     assert tag_paths.main_text("<div>" * 5000 + "text") == "text"
