@@ -5,8 +5,9 @@ Blocks of one template share a path, so text length and punctuation are summed p
 blocks. Both ratios, given to each block in page order, are smoothed over neighbours and fused by multiplication;
 blocks above a threshold (a share of the spread of all) are content nodes. The content region is the article-like
 element that holds most of their score, or else the smallest element that holds nearly all of it; every block there is
-kept, whatever its own length, except those in parts that say what they are: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and reader comments.
+kept, whatever its own length, except those in elements that are no text (menus, page headers, footers, asides, forms,
+scripts) and in parts whose class, id or role names a sidebar, notice, advert, reader comments or the like and whose path
+ratio is low for such a name. Headings, layout switches (has-sidebar) and an article's own header are never left out so.
 
 Null and empty html give an empty text, and so do pages with nothing but such parts. Damaged markup is read as browsers
 do where it is cheap: unclosed paragraphs and list items end at the next one, stray end tags are dropped. Scripts and
@@ -41,6 +42,10 @@ _ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td"
 _SCOPE = set("ul ol dl table article section div main body html blockquote td th aside nav footer header form".split())
 # Words of class, id and role that name a part which is not the main text.
 _NOISE = set("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent gdpr footer header masthead menu menubar nav navbar navigation newsletter notice notices notification alert popup modal overlay promo promoted promotion recommended recommendations related rail share sharing sidebar sidenav social sponsor sponsored subscribe subscription signup login search toolbar toc widget widgets pager pagination contentinfo complementary dialog paywall outbrain taboola reply replies feedback discussion skip".split())
+# Those of them that are also ordinary subjects or parts of an article.
+_AMBIGUOUS = set("alert banner comment consent dialog discussion feedback footer header login masthead menu modal navigation notice notices notification overlay popup promotion rail recommended recommendations related reply replies search share sharing signup skip social subscribe subscription toolbar widget widgets".split())
+_MODIFIER = re.compile(r"(?:has|no|not|is|with|without|hide|show)[-_]")
+_OWN_HEADER = set("article chapter content entry page post section story title".split())
 _MAIN = set("articlebody mainentity".split())
 
 _TOKEN = re.compile(
@@ -55,10 +60,23 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[^\w\s]")
 _TITLES = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_NEVER_NAMED = _TITLES | {"body", "html", "header"}
+
+
+def _noise(value: str, article: bool) -> set[str]:
+    """The words of a class, id or role that name a part apart from the main text; not those of layout switches such as
+    has-sidebar, nor of an article's own header."""
+    found = set()
+    for token in value.strip("\"'").lower().split():
+        words = set(_WORDS.findall(token))
+        here = words & _NOISE
+        if here and not _MODIFIER.match(token):
+            found |= here - {"header", "masthead"} if article or words & _OWN_HEADER else here
+    return found
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header", "foreign", "embedded", "mark")
+    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header", "foreign", "embedded", "mark", "named", "certain", "muted", "code")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
@@ -66,13 +84,18 @@ class _Element:
         self.mark = None
         self.foreign = tag in _FOREIGN or bool(parent and parent.foreign) and tag not in ("foreignobject", "desc")
         self.embedded = self if tag in _EMBEDDED else parent and parent.embedded
-        name, noisy, hidden, main = tag, False, False, tag in ("article", "main")
+        name, noisy, certain, hidden, main = tag, False, False, False, tag in ("article", "main")
+        inline = tag not in _BLOCK
+        article = bool(parent and (parent.main or parent.header == "main"))
         if attrs:
             for k, v in _ATTR.findall(attrs):
                 k = k.lower()
                 if k in ("class", "id", "role"):
                     words = _WORDS.findall(v.lower())
-                    noisy |= not _NOISE.isdisjoint(words)
+                    if not (k == "id" and inline):
+                        found = _noise(v, article)
+                        noisy |= bool(found)
+                        certain |= k == "role" and bool(found) or not found <= _AMBIGUOUS
                     main |= k == "role" and words == ["main"]
                     if k == "class":
                         name += "." + "-".join(words)
@@ -83,9 +106,14 @@ class _Element:
                 elif k == "itemprop":
                     main |= not _MAIN.isdisjoint(_WORDS.findall(v.lower()))
         self.main = main
-        inside = bool(parent and (parent.main or parent.header == "main"))
+        inside = article
         self.header = ("main" if inside or main else None) if tag != "header" else ("main" if inside else "page")
-        self.dropped = bool(parent and parent.dropped) or tag in _DROPPED or hidden or noisy and tag not in ("body", "html", "article", "main") or tag == "header" and not inside or noisy and tag == "article" and inside
+        self.dropped = bool(parent and parent.dropped) or tag in _DROPPED or hidden or tag == "header" and not inside
+        outer = parent and parent.named
+        self.code = tag in ("pre", "code") or bool(parent and parent.code)
+        self.certain = certain
+        self.named = self if noisy and not (main and not (tag == "article" and inside)) and tag not in _NEVER_NAMED and not (inline and self.code) else outer
+        self.muted = inline and (bool(parent and parent.muted) or self.named is self and certain)
         self.path = parent.path if parent and tag not in _BLOCK else (f"{parent.path}/" if parent else "") + name
 
 
@@ -106,12 +134,12 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
             parts = []
 
     while m := _TOKEN.search(page, at):
-        if m.start() > at and not top.dropped:
+        if m.start() > at and not top.dropped and not top.muted:
             parts.append(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if page.startswith("<![CDATA[", m.start()) and not top.dropped:
+            if page.startswith("<![CDATA[", m.start()) and not top.dropped and not top.muted:
                 parts.append(entities.escape(m[0][9:-3]))
             continue
         tag = tag.lower()
@@ -161,26 +189,85 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
             top = _Element(tag, m["attrs"], top)
             if tag in _EMBEDDED:
                 top.mark = len(out), parts, len(parts)
-    if not top.dropped:
+    if not top.dropped and not top.muted:
         parts.append(page[at:])
     flush()
     return out
 
 
-def content_scores(blocks: list[tuple[str, _Element]]) -> np.ndarray:
-    """The fused ratio of each block: mean text length times mean punctuation of its path, smoothed over neighbours."""
+def path_ratios(blocks: list[tuple[str, _Element]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the mean text length and the mean punctuation of its path."""
     paths: dict[str, int] = {}
     which = np.array([paths.setdefault(e.path, len(paths)) for _, e in blocks])
     chars = np.array([len(t) for t, _ in blocks], float)
     marks = np.array([len(_PUNCT.findall(t)) for t, _ in blocks], float)
     count = np.bincount(which)
+    return (np.bincount(which, chars) / count)[which], (np.bincount(which, marks) / count)[which]
+
+
+def without_named(blocks: list[tuple[str, _Element]]) -> list[tuple[str, _Element]]:
+    """blocks but for those in parts whose names say that they are not the main text and whose path ratios agree. A name
+    lowers a part's ratio to a quarter, or not at all if the word is ambiguous; the part goes if that is below the ratio
+    of the unnamed blocks (half of it for an ambiguous word). It stays if it holds most of the page's lowered score, or
+    is a section that shares its paths with unnamed blocks. If nothing would be left, nothing goes."""
+    if not any(e.named for _, e in blocks):
+        return blocks
+    chars, marks = path_ratios(blocks)
+    ratio, size = chars * (1 + marks), np.array([len(t) for t, _ in blocks], float)
+    weight = ratio * size
+    plain, total = set(), 0.0
+    length: dict[_Element, float] = {}
+    held: dict[_Element, float] = {}
+    own: dict[_Element, list[float]] = {}
+    shared: dict[_Element, float] = {}
+    level = [0.0, 0.0]
+    for k, (_, e) in enumerate(blocks):
+        if not e.named:
+            plain.add(e.path)
+            level[0] += weight[k]
+            level[1] += size[k]
+    for k, (_, e) in enumerate(blocks):
+        node, lowered = e.named, 1.0
+        if node:
+            mine = own.setdefault(node, [0.0, 0.0])
+            mine[0] += weight[k]
+            mine[1] += size[k]
+        while node:
+            lowered = min(lowered, 0.25 if node.certain else 1.0)
+            length[node] = length.get(node, 0.0) + size[k]
+            held[node] = held.get(node, 0.0) + weight[k]
+            if e.path in plain:
+                shared[node] = shared.get(node, 0.0) + size[k]
+            node = node.parent and node.parent.named
+        total += lowered * weight[k]
+    gone: set[_Element] = set()
+    for node in sorted(held, key=lambda e: e.depth):
+        outer = node.parent and node.parent.named
+        if outer in gone:
+            gone.add(node)
+            continue
+        most = held[node] * (0.25 if node.certain else 1.0) > 0.5 * total
+        series = node.tag == "section" and shared.get(node, 0.0) * 2 >= length[node]
+        common = level[0] / level[1] if level[1] else np.inf
+        low = held[node] / length[node] < common * (4.0 if node.certain else 0.5)
+        if low and not most and not series:
+            gone.add(node)
+        elif node in own:
+            level[0] += own[node][0]
+            level[1] += own[node][1]
+    return [b for b in blocks if b[1].named not in gone] or blocks
+
+
+def content_scores(blocks: list[tuple[str, _Element]]) -> np.ndarray:
+    """The fused ratio of each block: mean text length times mean punctuation of its path, smoothed over neighbours."""
+    chars, marks = path_ratios(blocks)
     kernel = np.array([0.25, 0.5, 0.25])
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
-    return smooth((np.bincount(which, chars) / count)[which]) * (1 + smooth((np.bincount(which, marks) / count)[which]))
+    return smooth(chars) * (1 + smooth(marks))
 
 
 def main_text(page: str | None) -> str:
-    blocks = _blocks(page or "")
+    blocks = without_named(_blocks(page or ""))
     if not blocks:
         return ""
     score = content_scores(blocks)

@@ -433,6 +433,26 @@ def test_main_text_of_pages(spark):
     assert tag_paths.extracted(rows.limit(0)).count() == 0
 
 
+def test_names_alone_drop_no_content():
+    body = "".join(f"<p>Paragraph {k}, which has words, and marks, as text does.</p>" for k in range(4))
+    text = re.sub("</?p>", "\n", body).replace("\n\n", "\n").strip()
+    for page, want in [
+        (f"<article><section id=intro>{body}</section><section id='discussion'><h2 id=related-work>Discussion</h2>{body}</section></article>", f"{text}\nDiscussion\n{text}"),
+        (f"<article><h2 id='related-work'>Related</h2>{body}<section id=search>{body}</section></article>", f"Related\n{text}\n{text}"),
+        (f"<article><header class='entry-header'><h1>Title</h1></header>{body}</article>", f"Title\n{text}"),
+        (f"<article><div class='entry-header'><h1>Title</h1></div>{body}</article>", f"Title\n{text}"),
+        (f"<div class='content has-sidebar'>{body}</div><footer>f</footer>", text),
+        (f"<div class='content no-sidebar'>{body}</div>", text),
+        (f"<main><article class='post has-sidebar'>{body}</article></main>", text),
+        (f"<div class='sidebar widget'>{body}</div>", text),
+        (f"<div class='sidebar'><p>Ab.</p></div><div class='comments'>{body}</div>", text),
+        (f"<article>{body}<pre>x = 1 <span class=comment># one</span></pre><p>See <a id=search>here</a>.</p></article>", f"{text}\nx = 1 # one\nSee here."),
+        (f"<article>{body}<div class=related><ul><li>More<li>Again</ul></div><div class=comments><p>No, I think.</p></div></article>", text),
+        (f"<div class=page><div class=sidebar><a>Home</a></div><div class=post>{body}</div><div class=share>Share</div></div>", text),
+    ]:
+        assert tag_paths.main_text(page) == want, page
+
+
 def test_embedded_elements_hide_nothing_after_them():
     for tag in ("<svg-icon name=x></svg-icon>", "<video-player src='a'>", "<math-field></math-field>", "<template-part>", "<title-bar></title-bar>", "<svg class='a' />", "<math/>", "<svg><path d='M0'/>", "<video src=x>", "<object data=x>",
                 "<svg><style/><title/><path/></svg>", "<svg><svg><text>a</text></svg><text>b</text></svg>", "<video><p>No video</video>", "<svg><foreignObject><p>label</p></foreignObject></svg>", "<script>x</script >", "<script/>y</script>"):
