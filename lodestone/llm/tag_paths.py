@@ -4,8 +4,8 @@ A block is the text between two block-level tags; its path is the chain of tags
 Blocks of one template share a path, so text length and punctuation are summed per path and divided by its number of
 blocks. Both ratios, given to each block in page order, are smoothed over neighbours and fused by multiplication;
 blocks above a threshold (a share of the spread of all) are content nodes. The content region is the article-like
-element that holds most of their score, or else the smallest element that holds nearly all of it; every block there is
-kept, whatever its own length, except those in elements that are no text (menus, page headers, footers, asides, forms,
+element that holds most of their score, or else the smallest element that holds nearly all of it, with what is around it
+and passes the threshold by its own path, and titles and leads next to it (kept_around); every block there is kept, whatever its own length, except those in elements that are no text (menus, page headers, footers, asides, forms,
 scripts) and in parts whose class, id or role names a sidebar, notice, advert, reader comments or the like and whose path
 ratio is low for such a name. Headings, layout switches (has-sidebar) and an article's own header are never left out so.
 
@@ -121,6 +121,13 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
     """The blocks of a page in order, with the element each is in, but for those in dropped parts."""
     root = _Element("html", "", None)
     top, parts, out, at = root, [], [], 0
+    opened: dict[str, int] = {}
+
+    def pop(to: _Element) -> None:
+        nonlocal top
+        while top is not to:
+            opened[top.tag] -= 1
+            top = top.parent
 
     def flush() -> None:
         nonlocal parts
@@ -152,25 +159,30 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
             while node and node.tag != tag:
                 node = node.parent.embedded
             if node:
-                top, (n, parts, k) = node.parent, node.mark
+                pop(node.parent)
+                n, parts, k = node.mark
                 del out[n:], parts[k:]
             continue
         if m["end"]:
+            if not opened.get(tag):
+                continue
             node = top
             while node is not root and node.tag != tag and not (tag not in _BLOCK and node.tag in _BLOCK):
                 node = node.parent
             if node is not root and node.tag == tag:
                 if tag in _BLOCK:
                     flush()
-                top = node.parent
+                pop(node.parent)
             continue
         if tag in _RAW and not top.foreign:
             ended = _RAW_END[tag].search(page, at)
             at = ended.end() if ended else len(page)
             continue
         if top.foreign and tag in _BREAKOUT:
-            while top.foreign:
-                top = top.parent
+            node = top
+            while node.foreign:
+                node = node.parent
+            pop(node)
         if (tag in _FOREIGN or top.foreign) and m["attrs"].endswith("/"):
             continue
         if tag in _BLOCK:
@@ -180,13 +192,14 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
             while node is not root and node.tag not in ends and (node.tag not in _SCOPE and node.tag not in _EMBEDDED or tag in ("td", "th", "tr") and node.tag in ("td", "th")):
                 node = node.parent
             if node is not root and node.tag in ends:
-                top = node.parent
+                pop(node.parent)
                 if tag == "tr" and top.tag == "tr":
-                    top = top.parent
+                    pop(top.parent)
         if tag in ("html",):
             continue
         if tag not in _VOID:
             top = _Element(tag, m["attrs"], top)
+            opened[tag] = opened.get(tag, 0) + 1
             if tag in _EMBEDDED:
                 top.mark = len(out), parts, len(parts)
     if not top.dropped and not top.muted:
@@ -215,41 +228,43 @@ def without_named(blocks: list[tuple[str, _Element]]) -> list[tuple[str, _Elemen
     chars, marks = path_ratios(blocks)
     ratio, size = chars * (1 + marks), np.array([len(t) for t, _ in blocks], float)
     weight = ratio * size
-    plain, total = set(), 0.0
-    length: dict[_Element, float] = {}
-    held: dict[_Element, float] = {}
-    own: dict[_Element, list[float]] = {}
-    shared: dict[_Element, float] = {}
+    plain = {e.path for _, e in blocks if not e.named}
     level = [0.0, 0.0]
+    own: dict[_Element, list[float]] = {}
     for k, (_, e) in enumerate(blocks):
-        if not e.named:
-            plain.add(e.path)
-            level[0] += weight[k]
-            level[1] += size[k]
-    for k, (_, e) in enumerate(blocks):
-        node, lowered = e.named, 1.0
-        if node:
-            mine = own.setdefault(node, [0.0, 0.0])
-            mine[0] += weight[k]
-            mine[1] += size[k]
-        while node:
-            lowered = min(lowered, 0.25 if node.certain else 1.0)
-            length[node] = length.get(node, 0.0) + size[k]
-            held[node] = held.get(node, 0.0) + weight[k]
-            if e.path in plain:
-                shared[node] = shared.get(node, 0.0) + size[k]
+        mine = own.setdefault(e.named, [0.0, 0.0, 0.0]) if e.named else level
+        mine[0] += weight[k]
+        mine[1] += size[k]
+        if e.named and e.path in plain:
+            mine[2] += size[k]
+    whole: dict[_Element, list[float]] = {}
+    for node, sums in own.items():
+        whole[node] = list(sums)
+        node = node.parent and node.parent.named
+        while node and node not in own and node not in whole:
+            whole[node] = [0.0, 0.0, 0.0]
             node = node.parent and node.parent.named
-        total += lowered * weight[k]
+    inward = sorted(whole, key=lambda e: e.depth)
+    for node in reversed(inward):
+        outer = node.parent and node.parent.named
+        if outer:
+            whole[outer] = [x + y for x, y in zip(whole[outer], whole[node], strict=True)]
+    surely: dict[_Element, bool] = {}
+    for node in inward:
+        outer = node.parent and node.parent.named
+        surely[node] = node.certain or bool(outer and surely[outer])
+    total = level[0] + sum(sums[0] * (0.25 if surely[e] else 1.0) for e, sums in own.items())
     gone: set[_Element] = set()
-    for node in sorted(held, key=lambda e: e.depth):
+    for node in inward:
         outer = node.parent and node.parent.named
         if outer in gone:
             gone.add(node)
             continue
-        most = held[node] * (0.25 if node.certain else 1.0) > 0.5 * total
-        series = node.tag == "section" and shared.get(node, 0.0) * 2 >= length[node]
+        held, length, shared = whole[node]
+        most = held * (0.25 if node.certain else 1.0) > 0.5 * total
+        series = node.tag == "section" and shared * 2 >= length
         common = level[0] / level[1] if level[1] else np.inf
-        low = held[node] / length[node] < common * (4.0 if node.certain else 0.5)
+        low = held / length < common * (4.0 if node.certain else 0.5)
         if low and not most and not series:
             gone.add(node)
         elif node in own:
@@ -266,6 +281,80 @@ def content_scores(blocks: list[tuple[str, _Element]]) -> np.ndarray:
     return smooth(chars) * (1 + smooth(marks))
 
 
+def kept_around(region: _Element, blocks: list[tuple[str, _Element]], score: np.ndarray) -> list[bool]:
+    """For each block whether it is in the region or belongs to it. Outside, the children of each element around the
+    region are taken one by one, from the region outwards: those whose text mostly passes the threshold by its own path
+    belong to it; so do headings before what belongs to it and paragraphs right next to it, and the last h1 before a
+    region that has none, with what is between them. Around an article or main, within main the same holds, and beyond
+    that only other articles whose text passes."""
+    chars, marks = path_ratios(blocks)
+    passes = chars * (1 + marks) >= 0.5 * score.std()
+    chain = []
+    node = region.parent
+    while node:
+        chain.append(node)
+        node = node.parent
+    level = {e: k for k, e in enumerate(chain)}
+    limit = max((level[e] for e in chain if e.main), default=-1) if region.main else len(chain)
+    # for each element the level of its ancestor around the region and the child of that it is in; None inside
+    known: dict[_Element, tuple[int, _Element] | None] = {region: None}
+    groups: list[dict[object, list[int]]] = [{} for _ in chain]
+    keep, first = [False] * len(blocks), len(blocks)
+    for k, (_, e) in enumerate(blocks):
+        node, way = e, []
+        while node not in known and node not in level:
+            way.append(node)
+            node = node.parent
+        found = known[node] if node in known else (level[node], way[-1] if way else None)
+        for w in way:
+            known[w] = found
+        if found is None:
+            keep[k], first = True, min(first, k)
+        else:
+            groups[found[0]].setdefault(found[1] or k, []).append(k)
+    titled = any(e.tag == "h1" for (_, e), kept in zip(blocks, keep, strict=True) if kept)
+    near = {True: True, False: True}
+    for at, (around, parts) in enumerate(zip(chain, groups, strict=True)):
+        ordered = list(parts.items())
+        before = [g for g in ordered if g[1][0] < first]
+        after = [g for g in ordered if g[1][0] > first]
+        size = lambda g, only: sum(len(blocks[k][0]) for k in g[1] if not only or passes[k])
+        content = lambda g: size(g, True) * 2 >= size(g, False)
+        take = []
+        if at > limit:
+            take = [g for g in ordered if isinstance(g[0], _Element) and blocks[g[1][0]][1].header == "main" and content(g)]
+        else:
+            for g in reversed(before):
+                tags = {blocks[k][1].tag for k in g[1]}
+                good = content(g) or near[True] and tags <= _TITLES | {"p"}
+                if not good and near[True] and around.tag not in ("body", "html") and not titled:
+                    # a line such as the author's between the title and the text
+                    rest = before[: before.index(g)]
+                    good = any(blocks[k][1].tag == "h1" for r in rest for k in r[1]) and size(g, False) < 200
+                if "h1" in tags and not titled:
+                    good = good or tags <= _TITLES | {"p"}
+                    titled = good
+                near[True] &= good
+                if good:
+                    take.append(g)
+            chosen = set()
+            follows = False
+            for i in range(len(after) - 1, -1, -1):
+                tags = {blocks[k][1].tag for k in after[i][1]}
+                follows = content(after[i]) and not tags <= _TITLES or tags <= _TITLES and follows
+                if follows:
+                    chosen.add(i)
+            for i, g in enumerate(after):
+                good = i in chosen or near[False] and around.tag not in ("body", "html") and {blocks[k][1].tag for k in g[1]} == {"p"}
+                near[False] &= good
+                if good:
+                    take.append(g)
+        for g in take:
+            for k in g[1]:
+                keep[k] = True
+    return keep
+
+
 def main_text(page: str | None) -> str:
     blocks = without_named(_blocks(page or ""))
     if not blocks:
@@ -281,25 +370,24 @@ def main_text(page: str | None) -> str:
     named = [e for e in held if e.main]
     if named:
         most = max(held[e] for e in named)
-        region = min((e for e in named if held[e] >= 0.9 * most), key=lambda e: -e.depth)
+        region = max((e for e in named if held[e] >= 0.9 * most), key=lambda e: e.depth)
     else:
         total = sum(score[k] * len(blocks[k][0]) for k in chosen)
         region = max((e for e in held if held[e] >= 0.9 * total), key=lambda e: e.depth)
         while region.tag not in _SCOPE and region.parent:
             region = region.parent
+    keep = kept_around(region, blocks, score)
 
-    def inside(e: _Element) -> bool:
+    def outside(e: _Element) -> bool:
         heading = False
-        while e:
-            if e is region:
-                return True
+        while e and e is not region:
             if e.tag == "header" and not heading:
-                return False
+                return True
             heading |= e.tag in _TITLES
             e = e.parent
         return False
 
-    return "\n".join(t for t, e in blocks if inside(e))
+    return "\n".join(t for (t, e), kept in zip(blocks, keep, strict=True) if kept and not outside(e))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -453,6 +453,25 @@ def test_names_alone_drop_no_content():
         assert tag_paths.main_text(page) == want, page
 
 
+def test_text_around_the_core_is_kept():
+    body = "".join(f"<p>Paragraph {k}, which has words, and marks, as text does.</p>" for k in range(30))
+    text = re.sub("</?p>", "\n", body).replace("\n\n", "\n").strip()
+    links = "<div class=top><a>Home</a> <a>About us</a></div>"
+    table = "<table>" + "<tr><td>A cell, with words, and marks, in it.</td></tr>" * 30 + "</table>"
+    cells = "\n".join(["A cell, with words, and marks, in it."] * 30)
+    for page, want in [
+        (f"<body>{links}<div class=post><h1>Title</h1><p>Lead, with a comma.</p><div class=body>{body}</div></div></body>", f"Title\nLead, with a comma.\n{text}"),
+        (f"<body>{links}<div class=post><h1>Title</h1><div class=by>By Jo</div><div class=body>{body}</div><p>End.</p></div><p>2020 Site</p></body>", f"Title\nBy Jo\n{text}\nEnd."),
+        (f"<body>{links}<div class=post><p>An intro, short.</p>{table}</div></body>", f"An intro, short.\n{cells}"),
+        (f"<body>{links}<div class=post><p>An intro, short.</p><blockquote>{body}</blockquote></div></body>", f"An intro, short.\n{text}"),
+        (f"<body>{links}<main><article>{body}</article><article><h2>Second</h2><p>Another, with words, and marks, of its own.</p></article></main></body>", f"{text}\nSecond\nAnother, with words, and marks, of its own."),
+        (f"<body>{links}<main><p>Lead.</p><article>{body}</article></main><div class=x>More</div></body>", f"Lead.\n{text}"),
+        (f"<body>{links}<article>{body}</article><article><p>Another, with words, and marks.</p></article></body>", f"{text}\nAnother, with words, and marks."),
+        (f"<body>{links}<div class=post>{body}</div><div class=bottom><h3>Links</h3><a>Imprint</a></div></body>", text),
+    ]:
+        assert tag_paths.main_text(page) == want, page
+
+
 def test_embedded_elements_hide_nothing_after_them():
     for tag in ("<svg-icon name=x></svg-icon>", "<video-player src='a'>", "<math-field></math-field>", "<template-part>", "<title-bar></title-bar>", "<svg class='a' />", "<math/>", "<svg><path d='M0'/>", "<video src=x>", "<object data=x>",
                 "<svg><style/><title/><path/></svg>", "<svg><svg><text>a</text></svg><text>b</text></svg>", "<video><p>No video</video>", "<svg><foreignObject><p>label</p></foreignObject></svg>", "<script>x</script >", "<script/>y</script>"):
