@@ -40,17 +40,22 @@ def contamination(docs: DataFrame, questions: DataFrame, doc: str, question: str
     """Documents that hold a question: (question, doc, kind, score). Kind is "verbatim" where a run of the question's
     words of at least a share `verbatim` of them is in the text, else "overlap" where the words in common have a share
     `overlap` of the question's idf. The questions' distinct terms (a bounded table) are broadcast; only documents that
-    share terms are looked at, found from their terms rather than by pairing all with all."""
+    share terms are looked at, found from their terms rather than by pairing all with all. A term that is in no document
+    has the largest idf."""
     from .ranking import longest_run
 
     asked = questions.select(question, words(F.col(text)).alias("_sequence"))
     terms = asked.select(question, F.explode(F.array_distinct("_sequence")).alias("term")).join(idf.select("term", "idf"), "term", "left")
-    terms = small_side(terms.withColumn("idf", F.coalesce("idf", F.lit(0.0))), QUESTION_TERMS)
-    total = terms.groupBy(question).agg(F.sum("idf").alias("_total"), F.count("*").alias("_terms"))
+    # a term that no document has weighs most
+    n = docs.agg(F.count("*").alias("_n"))
+    terms = terms.crossJoin(F.broadcast(n)).withColumn("idf", F.coalesce("idf", F.round(F.ln(1 + (F.col("_n") + 0.5) / 0.5), 4))).drop("_n")
+    terms = small_side(terms, QUESTION_TERMS)
+    total = terms.groupBy(question).agg(F.sum("idf").alias("_total"), F.count("*").alias("_terms")).join(asked.select(question, F.size("_sequence").alias("_length")), question)
     found = docs.select(doc, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).join(terms, "term")
     shared = found.groupBy(question, doc).agg(F.sum("idf").alias("_shared"), F.count("*").alias("_common")).join(F.broadcast(total), question)
-    # a run of a share of the words needs that share of the distinct ones at least half as often as they repeat
-    likely = shared.where((F.col("_shared") >= overlap * F.col("_total")) | (F.col("_common") * 2 >= F.col("_terms") * verbatim))
+    # words outside a run of a share of all are the only ones that may be missing: so many distinct ones at most
+    outside = F.floor(F.col("_length") * (1 - verbatim) + 1e-9)
+    likely = shared.where((F.col("_shared") >= overlap * F.col("_total")) | (F.col("_common") >= F.col("_terms") - outside))
     full = likely.join(docs.select(doc, words(F.col(text)).alias("_words")), doc).join(F.broadcast(asked), question)
     padded = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
     run = longest_run(F.col("_sequence"), padded) / F.greatest(F.size("_sequence"), F.lit(1))

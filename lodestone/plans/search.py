@@ -82,6 +82,18 @@ def verbatim_contamination(spark, sf):
     return _relevant(spark, sf)
 
 
+@query(f"""WITH d AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents), q AS (SELECT item_id, {sql_tokens('text')} AS s FROM benchmark), n AS (SELECT count(*) AS n FROM documents), t AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d),
+ f AS (SELECT term, count(*) AS df FROM t GROUP BY term), i AS (SELECT item_id, term, round(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 4) AS idf FROM (SELECT item_id, unnest(list_distinct(s)) AS term FROM q) LEFT JOIN f USING (term), n),
+ z AS (SELECT item_id, sum(idf) AS total FROM i GROUP BY item_id), o AS (SELECT item_id, doc_id, sum(idf) / any_value(total) AS share FROM t JOIN i USING (term) JOIN z USING (item_id) GROUP BY item_id, doc_id),
+ g AS (SELECT item_id, l, ' ' || array_to_string(s[a:a + l - 1], ' ') || ' ' AS gram, len(s) AS m FROM (SELECT item_id, s, unnest(range(1, len(s))) AS a FROM q), (SELECT unnest(range(2, 1000)) AS l) WHERE l >= 0.85 * len(s) AND a + l - 1 <= len(s)),
+ v AS (SELECT item_id, doc_id, max(l / m) AS run FROM g JOIN (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS p FROM d) ON contains(p, gram) GROUP BY item_id, doc_id)
+ SELECT item_id, doc_id, CASE WHEN run IS NOT NULL THEN 'verbatim' ELSE 'overlap' END AS kind, round(coalesce(run, share), 6) AS score FROM o LEFT JOIN v USING (item_id, doc_id) WHERE run IS NOT NULL OR share >= 0.9""")
+def contamination(spark, sf):
+    """Documents that hold nearly all of a passage, in one run or by the weight of its terms, with kind and score."""
+    docs = table(spark, sf, "documents")
+    return evaluation.contamination(docs, table(spark, sf, "benchmark"), "doc_id", "item_id", statistics.idf_table(docs, T.tokens(F.col("text"))), T.tokens)
+
+
 _METRICS = "WITH " + _sql_bm25(K) + ", " + _WORDS + """, z AS (SELECT item_id, count(*) AS nrel FROM relevant GROUP BY item_id),
  h AS (SELECT r.item_id, r.rank, (v.doc_id IS NOT NULL) AS hit FROM ranked r LEFT JOIN relevant v USING (item_id, doc_id)),
  p AS (SELECT item_id, count(*) FILTER (hit AND rank <= 8) AS found, count(*) FILTER (rank <= 8) AS shown, min(CASE WHEN hit THEN rank END) AS f, sum(CASE WHEN hit AND rank <= 8 THEN ln(2) / ln(rank + 1) END) AS dcg FROM h GROUP BY item_id),
