@@ -1,13 +1,16 @@
-"""Byte-pair encoding by an index from each pair to all its places among a batch's new words, and decoding.
+"""Byte-pair encoding by an index from each pair to all its places in a partition, and decoding.
 
-All words that a batch has and the worker does not know yet are laid end to end as symbols. The index holds the places
-of every adjacent pair that has a rank; ranks are taken in ascending order, each merged wherever it still stands, and
-the pairs that a merge makes join the lists of their own ranks. Merges of a trained vocabulary only ever make pairs of
-later ranks, which is checked when it is loaded, so all words can share one order.
+All distinct words of a partition (of each PART bytes of a larger one) that the worker does not know yet are laid end to
+end as symbols. The index holds the places of every adjacent pair that has a rank; ranks are taken in ascending order,
+each merged wherever it still stands, and the pairs that a merge makes join the lists of their own ranks. Merges of a
+trained vocabulary only ever make pairs of later ranks, which is checked when it is loaded, so all words can share one
+order. Decoding starts from the ids alone.
 
 Null texts are empty ones: no ids, an empty decoded text. Rows that repeat are encoded alike; texts of any length are
 taken whole. Columns other than doc_id and text are not read. Special tokens in a text become their ids, as the public
-library has them. Bounded memory: a worker keeps at most twice KEPT pieces and as many words.
+library has them. An empty table gives an empty result. Bounded memory: a worker holds PART bytes of texts (or one
+longer batch) and at most twice KEPT pieces and as many words; of a part with more than KEPT new pieces, the rest are
+indexed slice by slice.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import itemgetter
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -29,8 +32,7 @@ from .shared import lean
 from .textarrays import in_slices
 from .tokens import BEYOND_LATIN, CLIP_PATTERN, LATIN_WORDS, Recent, byte_characters, _ODD_CHARACTERS
 
-KEPT = 250_000
-_IDS, _TOKENS = itemgetter(0), itemgetter(1)
+KEPT, PART = 250_000, 64 << 20
 
 
 class PairIndexBpe:
@@ -48,6 +50,7 @@ class PairIndexBpe:
         self.first = {c: vocab[c] for c in self.bytes}
         self.last = {c: vocab[c + self.suffix] for c in self.bytes}
         self.token = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.digits = {i: str(i) for i in self.token}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.rank: dict[int, int] = {}
         self.merge: list[tuple[int, int, int]] = []
@@ -64,7 +67,6 @@ class PairIndexBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: Recent = Recent()
         self.word_ids: Recent = Recent()
-        self.blank = False  # whether a piece without ids was met
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, by one pass over the ranks that occur in any of them."""
@@ -127,10 +129,6 @@ class PairIndexBpe:
                 out += self.words.findall(plain)
         return out
 
-    def _texts(self, ids: list[int]) -> tuple[str, str]:
-        token = self.token
-        return " ".join(map(str, ids)), " ".join([token[i] for i in ids])
-
     def learn(self, pieces: set[str]) -> None:
         known, words = self.known, self.word_ids
         parts = {}
@@ -144,36 +142,47 @@ class PairIndexBpe:
             if (old := words.older.get(w)) is not None:
                 words[w] = old
             elif isinstance(w, int):
-                words[w] = self._texts([w])
+                words[w] = (w,)
             else:
                 new.append(w)
-        words.update(zip(new, map(self._texts, self.encode_words(new)), strict=True))
+        words.update(zip(new, map(tuple, self.encode_words(new)), strict=True))
         for p, ws in parts.items():
-            if len(ws) == 1:
-                known[p] = words[ws[0]]
-            else:
-                got = [words[w] for w in ws]
-                known[p] = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
-                self.blank |= not ws
+            known[p] = words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([words[w] for w in ws]))
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        return ([text] if text else []) if any(c in text for c in _ODD_CHARACTERS) else text.split()
+
+    def index_part(self, slices: Iterator[list[str]]) -> None:
+        """One index over the new words of a part of a partition, so that encoding finds them known."""
+        self.known, self.word_ids = self.known.aged(KEPT), self.word_ids.aged(KEPT)
+        new: set[str] = set()
+        for texts in slices:
+            new |= set().union(*map(self._cut, texts)).difference(self.known)
+            if len(new) > KEPT:
+                break
+        if new:
+            self.learn(new)
 
-    def pieces(self, texts: list[str]) -> list[list[tuple[str, str]]]:
-        """For each text its pieces' ids and tokens, both as text; pieces without ids are left out."""
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Each text's ids."""
         self.known, self.word_ids = self.known.aged(KEPT), self.word_ids.aged(KEPT)
-        cut = [([t] if t else []) if any(c in t for c in _ODD_CHARACTERS) else t.split() for t in texts]
+        cut = list(map(self._cut, texts))
         new = set().union(*cut).difference(self.known)
         if new:
             self.learn(new)
         get = self.known.__getitem__
-        if self.blank:
-            return [[x for x in map(get, ps) if x[0]] for ps in cut]
-        return [list(map(get, ps)) for ps in cut]
+        return [list(chain.from_iterable(map(get, ps))) for ps in cut]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.pieces([text])[0] for i in x[0].split()]
+        return self.ids([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with a vocabulary that names no decoder: tokens with a space between them."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        try:
+            return " ".join(map(self.token.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.token[i] for i in ids if i in self.token)
 
 
 @lru_cache(2)
@@ -185,16 +194,37 @@ def pair_index(name: str) -> PairIndexBpe:
     return PairIndexBpe(name if os.path.sep in name else public_tokenizers.path(name))
 
 
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """A partition's batches in parts of about PART bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= PART:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _encoded_slices(batches: Iterator[pa.RecordBatch], bpe: PairIndexBpe) -> Iterator[tuple[pa.Array, list[list[int]]]]:
+    """doc_id and ids of the rows of a partition, slice by slice, each part of it indexed once."""
+    texts = lambda b: [t or "" for t in b.column(1).to_pylist()]
+    for part in _parts_of(batches):
+        bpe.index_part(texts(b) for whole in part for b in in_slices(whole, most=1 << 20))
+        for whole in part:
+            for b in in_slices(whole, most=1 << 20):
+                yield b.column(0), bpe.ids(texts(b))
+
+
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids of every document."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = pair_index(tokenizer)
-        for whole in batches:
-            for b in in_slices(whole, most=1 << 20):
-                got = [[int(i) for x in p for i in x[0].split()] for p in bpe.pieces([t or "" for t in b.column(1).to_pylist()])]
-                yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(got, pa.list_(pa.int32()))})
+        for names, ids in _encoded_slices(batches, pair_index(tokenizer)):
+            yield pa.record_batch({"doc_id": names, "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -212,16 +242,14 @@ def decoded(ids: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per document: its number of ids, and digests of the ids and of what they decode to."""
+    """Per document: its number of ids, and digests of the ids and of what decoding these ids gives."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pair_index(tokenizer)
+        digits = bpe.digits.__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for whole in batches:
-            for b in in_slices(whole, most=1 << 20):
-                got = bpe.pieces([t or "" for t in b.column(1).to_pylist()])
-                ids = [" ".join(map(_IDS, p)) for p in got]
-                yield pa.record_batch({"doc_id": b.column(0), "n_tokens": pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()), "ids_sha256": pa.array(list(map(sha, ids))), "decoded_sha256": pa.array([sha(" ".join(map(_TOKENS, p))) for p in got])})
+        for names, got in _encoded_slices(batches, bpe):
+            yield pa.record_batch({"doc_id": names, "n_tokens": pa.array(list(map(len, got)), pa.int64()), "ids_sha256": pa.array([sha(" ".join(map(digits, x))) for x in got]), "decoded_sha256": pa.array([sha(bpe.decode(x)) for x in got])})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
