@@ -7,7 +7,8 @@ longest first, where they leave least room. Sequences that rounding left loose a
 exact lengths.
 
 Pieces are dealt by hash into buckets of about BUCKET, each packed in one task, so a sequence more per bucket is the
-price of any size of input. Null and empty texts are packed as their end id alone. Texts of any length are cut into full
+price of any size of input. The hash takes the row's place in its partition too, so rows that repeat or have no doc_id
+are dealt over all buckets. Null and empty texts are packed as their end id alone. Texts of any length are cut into full
 pieces and a rest. Repeated rows are packed apart. Columns other than doc_id and text are not read. An empty table
 gives an empty result.
 """
@@ -160,5 +161,5 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
         df["offset"] = df.groupby("sequence_id")["length"].cumsum() - df["length"]
         return df[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    found = pieces(docs, tokenizer, end_id, capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    found = pieces(docs, tokenizer, end_id, capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(buckets)))
     return found.groupBy("bucket").applyInPandas(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
