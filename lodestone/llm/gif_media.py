@@ -2,8 +2,11 @@
 
 A text's samples are its UTF-8 bytes and spaces up to a positive multiple of 192, as rows of 192 palette indices, at
 most 64 rows a frame. Null texts are empty ones, so equal texts (and null and "") have equal media. Very long texts have
-more frames; a frame's size is bounded. ``frames`` gives a row for each frame of any GIF, and one row with the reason in
-``error`` for null, empty or damaged bytes. Columns of the input other than the two named ones are not read.
+more frames; a frame's size is bounded. ``with_media`` makes the GIFs, ``decoded`` reads their bytes: every frame with its
+time and colour histogram as a nested column, and digests of the samples. For null, empty or damaged bytes ``decoded``
+has the frames before the damage, null digests and the reason in ``error``; ``frames`` gives the same as a row for each
+frame, and one row with the error. Columns of the input other than the named ones are not read, whatever their names.
+Rows that repeat are encoded alike; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -198,8 +201,11 @@ def gif_frames(gif: bytes) -> Iterator[dict]:
 
 def colour_histogram(canvas: np.ndarray, levels: int = 4) -> np.ndarray:
     """Opaque pixels in each cell of a levels x levels x levels cube."""
-    seen = canvas[canvas[..., 3] > 0][:, :3].astype(np.int64) * levels // 256
-    return np.bincount((seen[:, 0] * levels + seen[:, 1]) * levels + seen[:, 2], minlength=levels**3)
+    seen = canvas.reshape(-1, canvas.shape[-1])
+    if not (opaque := seen[:, 3] > 0).all():
+        seen = seen[opaque]
+    cell = (np.arange(256) * levels // 256).astype(np.int32)
+    return np.bincount((cell[seen[:, 0]] * levels + cell[seen[:, 1]]) * levels + cell[seen[:, 2]], minlength=levels**3)
 
 
 def with_media(docs: DataFrame) -> DataFrame:
@@ -216,50 +222,61 @@ def with_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
-def frames(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """A row for each frame of each GIF, in order, with its time and colours."""
-    kind = df.schema[key].dataType.simpleString()
+FRAME = "struct<frame:int,start_cs:int,delay_cs:int,width:int,height:int,colours:array<int>>"
+
+
+def decoded(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """The columns in keep and what the bytes in media hold: timed frames with colour histograms, their number, length
+    and digests of the samples and of the bytes, and an error."""
+    names = [f"_k{k}" for k in range(len(keep))]
+    kinds = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keep, strict=True))
 
     @lean
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("frame", pa.int32()), ("start_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("colours", pa.list_(pa.int32()))])
         for b in batches:
-            for k in range(b.num_rows):
-                row, clock, n, error = b.column(0).slice(k, 1), 0, 0, None
-                found = []
+            rows, times, colours, bounds = [], [], [], [0]
+            for gif in b.column(len(names)).to_pylist():
+                samples, clock, n, error = [], 0, 0, None
                 try:
-                    for f in gif_frames(b.column(1)[k].as_py() or b""):
-                        found.append((n, clock, f["delay"], f["width"], f["height"], colour_histogram(f["canvas"]).tolist(), None))
+                    for f in gif_frames(gif or b""):
+                        samples.append(f["indices"].tobytes())
+                        colours.append(colour_histogram(f["canvas"]))
+                        times.append((n, clock, f["delay"], f["width"], f["height"]))
                         clock, n = clock + f["delay"], n + 1
                 except ValueError as e:
                     error = str(e)
-                if error:
-                    found.append((n, clock, None, None, None, None, error))
-                if found:
-                    cols = list(zip(*found, strict=True))
-                    names = (("frame", pa.int32()), ("start_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("colours", pa.list_(pa.int64())), ("error", pa.string()))
-                    yield pa.record_batch({key: pa.concat_arrays([row] * len(found))} | {name: pa.array(c, t) for (name, t), c in zip(names, cols, strict=True)})
+                bounds.append(len(times))
+                payload = None if error else b"".join(samples)
+                rows.append((n, clock, None, None, None, None, None, error) if error else (n, clock, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), None))
+            if not rows:
+                continue
+            each = list(zip(*times, strict=True)) or [()] * 5
+            cells = np.concatenate(colours).astype(np.int32) if colours else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(colours) + 1, dtype=np.int32) * 64), pa.array(cells))
+            found = pa.StructArray.from_arrays([*(pa.array(c, pa.int32()) for c in each), lists], fields=list(kind))
+            columns = {n: b.column(k) for k, n in enumerate(names)} | {"frames": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)}
+            kinds = (("n_frames", pa.int32()), ("length_cs", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("error", pa.string()))
+            yield pa.record_batch(columns | {name: pa.array(c, t) for (name, t), c in zip(kinds, zip(*rows, strict=True), strict=True)})
 
-    return df.select(key, media).mapInArrow(decode, f"`{key}` {kind}, frame int, start_cs int, delay_cs int, width int, height int, colours array<long>, error string")
+    read = df.select(*[F.col(k).alias(n) for n, k in zip(names, keep, strict=True)], F.col(media).alias("_media"))
+    got = read.mapInArrow(decode, f"{kinds}, frames array<{FRAME}>, n_frames int, length_cs int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string")
+    return got.select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], *got.columns[len(names) :])
 
 
-def media_digests(df: DataFrame) -> DataFrame:
-    """What the stored media hold, read back from them: digests of the samples and a feature string for each row."""
+def frames(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """A row for each frame of each GIF, in order, with its time and colours."""
+    got = decoded(df, media, (key,))
+    last = F.struct(F.col("n_frames").alias("frame"), F.col("length_cs").alias("start_cs"), F.lit(None).cast("int").alias("delay_cs"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("array<int>").alias("colours"))
+    rows = F.when(F.col("error").isNull(), F.col("frames")).otherwise(F.concat("frames", F.array(last)))
+    out = got.select(key, "error", F.explode(rows).alias("f"))
+    return out.select(key, "f.*", F.when(F.col("f.colours").isNull(), F.col("error")).alias("error"))
 
-    @lean
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for gif in b.column(2).to_pylist():
-                samples, colours, clock, n = [], 0, 0, 0
-                for f in gif_frames(gif):
-                    samples.append(f["indices"].tobytes())
-                    colours = colours + colour_histogram(f["canvas"][: f["height"]], 4)
-                    clock, n = clock + f["delay"], n + 1
-                payload = b"".join(samples)
-                greys = "-".join(str(colours[v * 21]) for v in range(4))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), f"frames={n};cs={clock};grey={greys}"))
-            if rows:
-                c = list(zip(*rows, strict=True))
-                yield pa.record_batch({"doc_id": b.column(0), "n_bytes": b.column(1), "payload_bytes": pa.array(c[0], pa.int64()), "payload_sha256": pa.array(c[1]), "tail_crc32": pa.array(c[2], pa.int64()), "media_bytes": pa.array(c[3], pa.int64()), "media_sha256": pa.array(c[4]), "feature": pa.array(c[5])})
-
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def media_digests(df: DataFrame) -> DataFrame:
+    """What the stored media hold, read back from them: digests of the samples, and a feature string from the frames'
+    times and colours; with the reason in error, and null digests, for what is no GIF."""
+    pixels = lambda cell: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + F.get(f["colours"], F.lit(cell)))
+    greys = [pixels(v * 21).cast("string") for v in range(4)]
+    feature = F.concat(F.lit("frames="), F.col("n_frames").cast("string"), F.lit(";cs="), F.col("length_cs").cast("string"), F.lit(";grey="), F.concat_ws("-", *greys))
+    return decoded(df).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.when(F.col("error").isNull(), feature).alias("feature"), "error")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import best_fit_packing, gif_media, jaccard_join, pair_index_bpe, quality_rules, sharding, suffix_dedup, tag_paths, token_files, weak_quality
+from .shared import staged
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,7 +30,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_media.media_digests(gif_media.with_media(table(spark, sf_dir, "documents")))
+    return gif_media.media_digests(staged(gif_media.with_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
