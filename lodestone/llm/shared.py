@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it was counted and has no more rows than this (of a few longs each).
 BROADCAST_ROWS = 500_000
 
+#: Keys of a join with more rows than LIGHT_ROWS and than a share 1 / HEAVY_KEYS of all rows are met by broadcast.
+LIGHT_ROWS, HEAVY_KEYS = 256, 100_000
 
 #: Rows that Spark hands to Python at once: texts are some KB each, and each task holds a few batches outside the heap.
 BATCH_ROWS = 2000
@@ -41,9 +43,12 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is configured (tests), a local one is made."""
+    """The folder that driver and executors share. Where none is configured, a local session (tests) gets a folder of its
+    own; a cluster is refused, since its machines would not see that folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -70,29 +75,40 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), key, "left_semi")
 
 
+def met(big: DataFrame, small: DataFrame, key: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """big joined with small, which has one row a key and in `rows` how many rows of big have that key. Keys of many
+    rows never share a task: those that have more than a share 1 / HEAVY_KEYS of all rows, so fewer than HEAVY_KEYS of
+    them, are broadcast; the rest is joined by shuffle."""
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    heavy = F.col(rows) > max(LIGHT_ROWS, total // HEAVY_KEYS)
+    few = F.broadcast(small.where(heavy))
+    light = big.join(F.broadcast(small.where(heavy).select(*key)), key, "left_anti")
+    return big.join(few, key).unionByName(light.join(small.where(~heavy).hint("shuffle_merge"), key, how), allowMissingColumns=True)
+
+
 def linked_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, root), root being the smallest node of the group.
 
     Alternates two steps until nothing changes: every node's larger neighbours go to its smallest one, then its
-    smaller ones do. The number of rounds grows with the logarithm of the longest chain. Null ends are ignored.
+    smaller ones do. The number of rounds grows with the logarithm of the longest chain. Null ends are ignored. Nodes
+    with very many neighbours are met by broadcast (``met``), so that none of them fills one task.
     """
     e = cut(edges.where("a is not null and b is not null and a <> b")
             .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = None
     for _ in range(max_rounds):
-        both = e.union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m")).select("v", F.least("v", "m").alias("m"))
-        wide = (both.join(least, both.hi == least.v).where("lo > v and lo <> m")
-                .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                .union(least.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")))
-                .distinct())
-        low = wide.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
-        e = cut(wide.join(low, wide.hi == low.v).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                .union(low.select(F.col("v").alias("hi"), F.col("m").alias("lo"))).distinct())
-        after = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first()
-        if after == before:
+        if e.isEmpty():
+            break
+        both = e.select(F.col("hi").alias("v"), "lo").union(e.select(F.col("lo").alias("v"), F.col("hi").alias("lo")))
+        least = cut(both.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")).select("v", F.least("v", "m").alias("m"), "_rows"))
+        wide = cut(met(both, least, ["v"], "_rows").where("lo > v and lo <> m").select(F.col("lo").alias("v"), F.col("m").alias("lo"))
+                   .union(least.where("v <> m").select("v", F.col("m").alias("lo"))).distinct())
+        low = cut(wide.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")))
+        new = cut(met(wide, low, ["v"], "_rows").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+                  .union(low.select(F.col("v").alias("hi"), F.col("m").alias("lo"))).distinct())
+        settled = new.count() == e.count() and new.join(e, ["hi", "lo"], "left_anti").isEmpty()
+        e = new
+        if settled:
             break
-        before = after
     else:
         raise RuntimeError("the groups did not settle")
     nodes = e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
