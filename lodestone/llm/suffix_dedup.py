@@ -2,15 +2,21 @@
 
 Of all suffixes (a document from one word on) only those at content-selected places are kept: in every run of
 PASSAGE - PREFIX + 1 neighbouring places, the one whose first PREFIX words hash least. So two equal passages of PASSAGE
-words keep suffixes at the same place of each. The suffixes are sorted by their first words over all partitions, and
-neighbours compared: those that begin alike are the only ones looked at again. From each of these the match is extended
-to the left and right: all passages of PASSAGE words around it are formed from the text, sorted again, and each compared
-with its neighbours, so the earliest of equal ones is known to all others. Overlapping repeats become one span.
+words keep suffixes at the same place of each. The suffixes are sorted by their words over all partitions (four words one
+by one, each as its hash, then the rest of the first PREFIX as one) and neighbours compared: only those that begin as a
+neighbour does are looked at again. These are sorted once more, now with the words around them, and suffixes that begin
+alike are extended together, word by word to the left and to the right, until PASSAGE words agree; the earliest of those
+that agree is the one kept. Overlapping repeats become one span.
+
+A run of suffixes that begin alike is extended in the block of rows that holds it. A run that is longer than a block, or
+may go on in the next range, is not: all its passages are sorted by their own words over all partitions, and neighbours
+compared, so a passage of a third of all documents is spread over ranges and still exact.
 
 A passage is a repeat if an equal one begins earlier, in a document of smaller id or before it in the same document; the
-earliest stays. Words are as everywhere here (cut at ASCII white space); comparison is exact up to 64-bit hashes.
+earliest stays. Words are as everywhere here (cut at ASCII white space), compared as 32-bit hashes, PASSAGE in a row.
 Null, empty and short texts have no repeats. Rows without doc_id are left alone. Rows with one id are one document.
-Texts are taken whole, of any length; a common passage is spread over partitions by the place it occurs at.
+Texts are taken whole, of any length. An empty table has no repeats. Columns other than doc_id and text (and n_chars in
+``without_repeats``) only pass through there, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, lean, semi_by_id, staged
-from .textarrays import mixed, ngram_hashes, sliding, text_slices, _P
+from .textarrays import mixed, ngram_hashes, powers, sliding, text_slices, _P, _P_INVERSE
+
+PASSAGE, PREFIX, SORTED_WORDS = 50, 25, 4
+#: Rows that are extended together; a run of suffixes that begin alike and fills more is spread instead.
+BLOCK = 1 << 15
+_ORDER = ("k1", "k2", "k3", "doc_id", "place")
 
-PASSAGE, PREFIX = 50, 25
-_MOST = np.uint64(2**64 - 1)
 
+def _sort_keys(words: np.ndarray, begins: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For the suffixes at `at`: their first four words in two numbers, and the hash of all that they begin with."""
+    w = words >> np.uint64(32)
+    two = lambda k: (w[at + k] << np.uint64(32) | w[at + k + 1]).view(np.int64)
+    return [two(0), two(2), begins[at].view(np.int64)]
 
-def anchors(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
-    """Kept suffixes: (key, the hash of their first words; doc_id; again, whether the document has it twice)."""
+
+def suffixes(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
+    """Kept suffixes: sort keys k1 to k3, doc_id, place (the word they begin at)."""
     width = passage - prefix + 1
 
     @lean
@@ -45,81 +60,183 @@ def anchors(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
                 least = np.where(owner[passage - 1 :] == owner[: len(words) - passage + 1], sliding(h, width, True), np.uint64(0))
                 around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
                 at = np.flatnonzero(sliding(around, width, False) == h)
-                _, first, count = np.unique(mixed(h[at] + owner[at].astype(np.uint64) * np.uint64(_P)), return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.record_batch({"key": pa.array(h[at].view(np.int64)), "doc_id": b.column(0).take(pa.array(t.first + owner[at])), "again": pa.array(count > 1)})
+                k1, k2, k3 = _sort_keys(words, h, at)
+                yield pa.record_batch({"k1": pa.array(k1), "k2": pa.array(k2), "k3": pa.array(k3), "doc_id": b.column(0).take(pa.array(t.first + owner[at])), "place": pa.array((at - t.word_bounds[owner[at]]).astype(np.int32))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "key long, doc_id long, again boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "k1 long, k2 long, k3 long, doc_id long, place int")
 
 
-def repeated_anchors(suffixes: DataFrame) -> DataFrame:
-    """doc_id and keys of the suffixes that begin as a neighbour in sorted order does. At the ends of a sorted range,
+def repeated_suffixes(kept: DataFrame) -> DataFrame:
+    """doc_id and place of the suffixes that begin as a neighbour in sorted order does. At the ends of a sorted range,
     whose neighbours are elsewhere, all are passed on: extension decides."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held, first = None, True
         for b in batches:
             if not b.num_rows:
                 continue
-            key, doc, again = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             if held is not None:
-                key, doc, again = np.append(held[0], key), np.append(held[1], doc), np.append(held[2], again)
-            same = np.append(key[1:] == key[:-1], False)
-            keep = again | same
-            keep[1:] |= same[:-1]
-            keep[0] |= last is None or last == key[0]
-            last = key[-2] if len(key) > 1 else last
-            held = key[-1:], doc[-1:], again[-1:] | keep[-1:]
-            yield pa.record_batch({"doc_id": pa.array(doc[:-1][keep[:-1]]), "key": pa.array(key[:-1][keep[:-1]])})
+                c = [np.append(h, x) for h, x in zip(held[0], c, strict=True)]
+            same = np.all([x[1:] == x[:-1] for x in c[:3]], 0)
+            keep = np.append(same, False)
+            keep[1:] |= same
+            keep[0] |= first if held is None else held[1]
+            first = False
+            held = [x[-1:] for x in c], bool(keep[-1])
+            yield pa.record_batch({"doc_id": pa.array(c[3][:-1][keep[:-1]]), "place": pa.array(c[4][:-1][keep[:-1]])})
         if held is not None:
-            yield pa.record_batch({"doc_id": pa.array(held[1]), "key": pa.array(held[0])})
+            yield pa.record_batch({"doc_id": pa.array(held[0][3]), "place": pa.array(held[0][4])})
 
-    ordered = suffixes.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return ordered.mapInArrow(run, "doc_id long, key long")
+    return kept.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(run, "doc_id long, place int")
 
 
-def passages(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
-    """From doc_id, text and the keys of its repeated suffixes: the passages around these, each by its hash, first word
-    and document. Where one recurs in its document, hash is null and `run` counts the words at which repeats begin."""
-    width = passage - prefix + 1
+def with_words_around(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
+    """From doc_id, text and the places of its repeated suffixes: these with their sort keys, the words to the left and
+    right as far as a passage reaches, 4 bytes each, and in `ways` one bit for each passage that this suffix stands for
+    (from the one that reaches farthest to the left): those whose least it is."""
+    reach = passage - prefix
+    if reach > 62:
+        raise ValueError("a passage has at most 62 words more than a prefix")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in text_slices(b):
                 words = t.hashes()
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for i in range(t.n):
-                    w = words[t.word_bounds[i] : t.word_bounds[i + 1]]
-                    if len(w) < passage:
-                        continue
-                    row = t.first + i
-                    keys = b.column(2)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    h = ngram_hashes(w, prefix) | np.uint64(1)
-                    begin = np.flatnonzero(sliding(np.where(np.isin(h, keys), h, _MOST), width, True) == sliding(h, width, True))
-                    hashed, first, which = np.unique(ngram_hashes(w, passage)[begin], return_index=True, return_inverse=True)
-                    later = np.ones(len(begin), bool)
-                    later[first] = False
-                    again, source = begin[later], begin[first][which[later]]
-                    edge = np.flatnonzero(np.append(True, again[1:] != again[:-1] + 1)) if len(again) else np.zeros(0, int)
-                    n = len(first) + len(edge)
-                    for k, x in enumerate((hashed.view(np.int64), begin[first], np.ones(len(first), int))):
-                        out[k].append(x)
-                    out[0].append(np.zeros(len(edge), np.int64))
-                    out[1].append(again[edge])
-                    out[2].append(np.diff(np.append(edge, len(again))))
-                    out[3].append(np.full(n, row))
-                    out[4].append(np.repeat([False, True], [len(first), len(edge)]))
-                if out[3]:
-                    hashed, start, runs, row, local = (np.concatenate(x) for x in out)
-                    yield pa.record_batch({"hash": pa.array(hashed, mask=local), "doc_id": b.column(0).take(pa.array(row)), "start": pa.array(start, pa.int32()), "run": pa.array(runs, pa.int32())})
-
-    return texts.select("doc_id", "text", "keys").mapInArrow(run, "hash long, doc_id long, start int, run int")
+                places = [np.unique(b.column(2)[t.first + i].values.to_numpy(zero_copy_only=False)) for i in range(t.n)]
+                owner = np.repeat(np.arange(t.n), [len(p) for p in places])
+                begin, end = t.word_bounds[owner], t.word_bounds[owner + 1]
+                at = begin + np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+                good = at + prefix <= end
+                owner, begin, end, at = (x[good] for x in (owner, begin, end, at))
+                if not len(at):
+                    continue
+                h = ngram_hashes(words, prefix) | np.uint64(1)
+                least = sliding(h, reach + 1, True)
+                start = at[:, None] + np.arange(-reach, 1)
+                fits = (start >= begin[:, None]) & (start + passage <= end[:, None])
+                fits &= least[np.clip(start, 0, max(0, len(least) - 1))] == h[at][:, None] if len(least) else False
+                ways = (fits.astype(np.int64) << np.arange(reach + 1)).sum(1)
+                good = ways != 0
+                owner, begin, at, ways = (x[good] for x in (owner, begin, at, ways))
+                short = (words >> np.uint64(32)).astype(np.uint32)
+                for lo in range(0, len(at), 8192):
+                    a = at[lo : lo + 8192]
+                    place = np.clip(a[:, None] + np.arange(-reach, passage), 0, len(words) - 1)
+                    raw, width = short[place].tobytes(), 4 * (reach + passage)
+                    k1, k2, k3 = _sort_keys(words, h, a)
+                    o, part = owner[lo : lo + 8192], slice(lo, lo + 8192)
+                    yield pa.record_batch({"k1": pa.array(k1), "k2": pa.array(k2), "k3": pa.array(k3), "doc_id": b.column(0).take(pa.array(t.first + o)), "place": pa.array((a - begin[part]).astype(np.int32)),
+                                           "ways": pa.array(ways[part]), "words": pa.array([raw[k * width : (k + 1) * width] for k in range(len(a))], pa.binary())})
+
+    return texts.select("doc_id", "text", "places").mapInArrow(run, "k1 long, k2 long, k3 long, doc_id long, place int, ways long, words binary")
+
+
+class _Run:
+    """Rows of suffixes in sorted order: which begin alike, and how the words around them agree."""
+
+    def __init__(self, batch: pa.RecordBatch, passage: int, prefix: int):
+        self.passage, self.reach = passage, passage - prefix
+        key = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        self.doc, self.place, ways = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3, 6))
+        fresh = np.append(True, np.any([x[1:] != x[:-1] for x in key], 0))
+        # a row that is there again (its document is) counts once
+        again = ~fresh & np.append(False, (self.doc[1:] == self.doc[:-1]) & (self.place[1:] == self.place[:-1]))
+        self.alike = np.cumsum(fresh)
+        self.words = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(len(self.doc), self.reach + passage)
+        #: for each way to extend, from all to the left to all to the right: whether the document has these words
+        self.there = ((ways[:, None] >> np.arange(self.reach + 1)) & 1).astype(bool) & ~again[:, None]
+        sums = np.zeros((len(self.doc), self.words.shape[1] + 1), np.uint64)
+        np.cumsum(self.words * powers(_P, self.words.shape[1]), 1, out=sums[:, 1:])
+        self.sums = sums
+
+    def passages(self, k: int) -> np.ndarray:
+        """A hash of each row's passage that begins k words after the leftmost one."""
+        return mixed((self.sums[:, k + self.passage] - self.sums[:, k]) * powers(_P_INVERSE, k + 1)[k])
+
+    def extended(self) -> dict[str, np.ndarray]:
+        """Repeats in documents: where they start, over how many following starts they go on, and the document they are
+        from: the row's own if it has the words before, else the earliest."""
+        n, ways = self.there.shape
+        found, source = np.zeros((n, ways), bool), np.zeros((n, ways), np.int64)
+        for k in range(ways):
+            rows = np.flatnonzero(self.there[:, k])
+            key = mixed(self.passages(k)[rows] + self.alike[rows].astype(np.uint64))
+            order = np.argsort(key, kind="stable")
+            key, rows = key[order], rows[order]
+            fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
+            first = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
+            later = np.flatnonzero(~fresh)
+            agree = (self.words[rows[later], k : k + self.passage] == self.words[first[later], k : k + self.passage]).all(1)
+            later = later[agree]
+            found[rows[later], k] = True
+            source[rows[later], k] = np.where(self.doc[rows[later]] == self.doc[rows[later - 1]], self.doc[rows[later]], self.doc[first[later]])
+        goes_on = np.zeros((n, ways), bool)
+        goes_on[:, 1:] = found[:, 1:] & found[:, :-1] & (source[:, 1:] == source[:, :-1])
+        row, k = np.nonzero(found & ~goes_on)
+        at = np.flatnonzero((found & ~goes_on)[found])
+        return {"hash": None, "doc_id": self.doc[row], "start": self.place[row] - self.reach + k, "run": np.diff(np.append(at, int(found.sum()))), "source": source[row, k]}
+
+    def spread(self) -> dict[str, np.ndarray]:
+        """All passages of the rows, to be sorted over all partitions."""
+        row, k = np.nonzero(self.there)
+        every = np.stack([self.passages(j) for j in range(self.there.shape[1])], 1)
+        return {"hash": every[row, k].view(np.int64), "doc_id": self.doc[row], "start": self.place[row] - self.reach + k, "run": np.ones(len(row), np.int64), "source": None}
+
+
+def _rows(c: dict) -> pa.RecordBatch:
+    n = len(c["doc_id"])
+    whole = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.record_batch({"hash": whole(c["hash"]), "doc_id": whole(c["doc_id"]), "start": pa.array(c["start"].astype(np.int32)), "run": pa.array(c["run"].astype(np.int32)), "source": whole(c["source"])})
+
+
+def extensions(around: DataFrame, passage: int, prefix: int, block: int = BLOCK) -> DataFrame:
+    """Suffixes in sorted order, those that begin alike extended together: repeats (doc_id, start, run, source), and with
+    a hash the passages of those whose run a block does not hold."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, spreading = 0, True  # the first run may have begun in the range before
+
+        def keys(b: pa.RecordBatch) -> list[np.ndarray]:
+            return [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+
+        def closed(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, spreading
+            whole = pa.concat_batches(held)
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys(whole)], 0)) + 1
+            if spreading:
+                upto = int(cuts[0]) if len(cuts) else whole.num_rows
+                yield _rows(_Run(whole.slice(0, upto), passage, prefix).spread())
+                spreading = not len(cuts)
+                whole, cuts = whole.slice(upto), cuts[1:] - upto
+            end = int(cuts[-1]) if len(cuts) else 0
+            if end:
+                yield _rows(_Run(whole.slice(0, end), passage, prefix).extended())
+            rest = whole.slice(end)
+            if rest.num_rows and (last or rest.num_rows >= block):
+                yield _rows(_Run(rest, passage, prefix).spread())
+                spreading, rest = True, rest.slice(rest.num_rows)
+            held, size = [rest] if rest.num_rows else [], rest.num_rows
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+                if size >= block:
+                    yield from closed(False)
+        if held:
+            yield from closed(True)
+
+    columns = (*_ORDER, "ways", "words")
+    return around.select(*columns).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(run, "hash long, doc_id long, start int, run int, source long")
 
 
 def _later_ones(found: DataFrame) -> DataFrame:
-    """Of passages that are equal, all but the earliest, with the earliest's document. Rows are sorted by hash and place
+    """Of passages that are equal, all but the earliest, with the document they are from. Rows are sorted by hash and place
     over all partitions; a range that begins within a run of equal ones learns where the run began from the ranges before."""
     ordered = found.repartitionByRange("hash", "doc_id", "start").sortWithinPartitions("hash", "doc_id", "start").select("hash", "doc_id", "start")
 
@@ -127,44 +244,51 @@ def _later_ones(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, origin, head = TaskContext.get().partitionId(), None, None, True
         for b in batches:
-            if not b.num_rows:
-                continue
             key, doc, start = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            fresh = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+            # a passage may be reached from two of its suffixes that hash alike, and counts once
+            old = last or (None, None, None)
+            other = np.append(not len(key) or (key[0], doc[0], start[0]) != old, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))[: len(key)]
+            key, doc, start = key[other], doc[other], start[other]
+            if not len(key):
+                continue
+            fresh = np.append(key[0] != old[0], key[1:] != key[:-1])
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
             source = np.where(first >= 0, doc[np.maximum(first, 0)], -1 if origin is None else origin)
+            own = ~fresh & np.append(doc[0] == old[1], doc[1:] == doc[:-1])
             opening = np.zeros(len(key), bool)
             if head:
                 cuts = np.flatnonzero(fresh)
                 stop = int(cuts[1]) if last is None and len(cuts) > 1 else int(cuts[0]) if last is not None and len(cuts) else len(key)
                 opening[:stop], head = True, stop == len(key)
-            last, origin = key[-1], source[-1]
+            last, origin = (key[-1], doc[-1], start[-1]), source[-1]
             keep = ~fresh | opening
             # of the opening run, whether even its first row is a repeat is not known here: it carries its hash
-            yield pa.record_batch({"part": pa.array(np.full(int(keep.sum()), part, np.int32)), "doc_id": pa.array(doc[keep]), "start": pa.array(start[keep]), "source": pa.array(source[keep]), "hash": pa.array(key[keep], mask=~opening[keep]), "is_first": pa.array(fresh[keep])})
+            yield pa.record_batch({"part": pa.array(np.full(int(keep.sum()), part, np.int32)), "doc_id": pa.array(doc[keep]), "start": pa.array(start[keep]), "source": pa.array(np.where(own, doc, source)[keep]), "hash": pa.array(key[keep], mask=~opening[keep]), "is_first": pa.array(fresh[keep]), "own": pa.array(own[keep])})
         if last is not None:
-            yield pa.record_batch({"part": pa.array([part], pa.int32()), "doc_id": pa.array([None], pa.int64()), "start": pa.array([None], pa.int32()), "source": pa.array([origin], pa.int64()), "hash": pa.array([last], pa.int64()), "is_first": pa.array([False])})
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "doc_id": pa.array([None], pa.int64()), "start": pa.array([None], pa.int32()), "source": pa.array([origin], pa.int64()), "hash": pa.array([last[0]], pa.int64()), "is_first": pa.array([False]), "own": pa.array([False])})
 
-    rows = staged(ordered.mapInArrow(run, "part int, doc_id long, start int, source long, hash long, is_first boolean"), "neighbours")
+    rows = staged(ordered.mapInArrow(run, "part int, doc_id long, start int, source long, hash long, is_first boolean, own boolean"), "neighbours")
     # one row for each sorted range: the hash it ends with, and where that run of equal ones began
     ends = rows.where("doc_id is null").select(F.col("part").alias("end_part"), F.col("hash").alias("end_hash"), F.col("source").alias("end_source"))
     began = ends.groupBy("end_hash").agg(F.min_by("end_source", "end_part").alias("from_doc"), F.min("end_part").alias("from_part"))
     body = rows.where("doc_id is not null")
     opened = (body.where("hash is not null").join(F.broadcast(began), F.col("hash") == F.col("end_hash"), "left")
               .withColumn("before", F.coalesce(F.col("from_part") < F.col("part"), F.lit(False)))
-              .where("before or not is_first").select("doc_id", "start", F.when(F.col("before"), F.col("from_doc")).otherwise(F.col("source")).alias("source")))
+              .where("before or not is_first").select("doc_id", "start", F.when(F.col("before") & ~F.col("own"), F.col("from_doc")).otherwise(F.col("source")).alias("source")))
     return body.where("hash is null").select("doc_id", "start", "source").unionByName(opened)
 
 
-def repeated_spans(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX) -> DataFrame:
+def repeated_spans(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, block: int = BLOCK) -> DataFrame:
     """doc_id, start and end (words), n_words and sources (documents in which the repeated passages occur first)."""
-    suffixes = staged(anchors(docs, passage, prefix), "suffixes")
-    keys = staged(repeated_anchors(suffixes).groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "repeated-suffixes")
-    texts = semi_by_id(docs.select(F.col("doc_id").cast("long"), "text"), keys.select("doc_id"), "doc_id")
-    found = staged(passages(texts.join(keys.hint("shuffle_merge"), "doc_id"), passage, prefix), "passages")
-    local = found.where("hash is null").select("doc_id", "start", "run", F.col("doc_id").alias("source"))
+    if not SORTED_WORDS <= prefix <= passage:
+        raise ValueError("a prefix has at least four words and no more than a passage")
+    kept = staged(suffixes(docs, passage, prefix), "suffixes")
+    places = staged(repeated_suffixes(kept).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "repeated-suffixes")
+    texts = semi_by_id(docs.select(F.col("doc_id").cast("long"), "text"), places.select("doc_id"), "doc_id")
+    around = staged(with_words_around(texts.join(places.hint("shuffle_merge"), "doc_id"), passage, prefix), "words-around")
+    found = staged(extensions(around, passage, prefix, block), "extensions")
     later = _later_ones(found.where("hash is not null")).select("doc_id", "start", F.lit(1).alias("run"), "source")
-    flagged = later.unionByName(local).groupBy("doc_id").agg(F.collect_list(F.struct("start", "run", "source")).alias("found"))
+    flagged = found.where("hash is null").select("doc_id", "start", "run", "source").unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "run", "source")).alias("found"))
 
     @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,11 +312,12 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     """docs with their repeated spans cut out of text (and n_chars set anew, if there); documents of which no word is
-    left go. Documents without repeats stay as they are."""
-    spans = staged(repeated_spans(docs, **settings).groupBy(F.col("doc_id").alias("_spans_of")).agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
-    few = spans.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
-    joined = docs.join(F.broadcast(spans) if few else spans.hint("shuffle_merge"), docs.doc_id == spans._spans_of, "left").drop("_spans_of")
+    left go. Documents without repeats stay as they are. Columns may have any names."""
     names = docs.columns
+    of, at = (next(x for k in range(len(names) + 1) if (x := f"{want}{k}") not in {n.lower() for n in names}) for want in ("spans_of_", "spans_"))
+    spans = staged(repeated_spans(docs, **settings).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start", "end")).alias(at)), "spans")
+    few = spans.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
+    joined = docs.join(F.broadcast(spans) if few else spans.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(of), "left").select(*[F.col(f"`{n}`") for n in names], at)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

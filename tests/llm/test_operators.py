@@ -238,9 +238,10 @@ def spans_by_brute_force(rows, passage):
     return out
 
 
-@pytest.mark.parametrize("passage,prefix", [(50, 25), (12, 6)])
-def test_repeated_spans(spark, passage, prefix):
-    got = {(r.doc_id, r.start, r.end): list(r.sources) for r in suffix_dedup.repeated_spans(frame(spark), passage, prefix).collect()}
+@pytest.mark.parametrize("passage,prefix,block", [(50, 25, 1 << 15), (12, 6, 1 << 15), (12, 6, 3)])
+def test_repeated_spans(spark, passage, prefix, block):
+    """Blocks of three rows send most runs the other way, by the order of all passages."""
+    got = {(r.doc_id, r.start, r.end): list(r.sources) for r in suffix_dedup.repeated_spans(frame(spark), passage, prefix, block).collect()}
     assert got == spans_by_brute_force(documents(), passage)
 
 
