@@ -1,16 +1,23 @@
 """Near-duplicate join: pairs of texts whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 Chosen paths. A set's samples are the smallest of its n-gram hashes under independent orders; two sets share a sample
-with the probability of their similarity. A run splits all sets on DEPTH of them at once, then recursively splits every
-bucket that is still large and loose on two further ones, until it is small, or so alike inside that splitting would not
-part it. Runs are repeated, as many as the target recall asks for. Buckets are compared by brute force, large ones block
-by block. What a bucket finds alike is linked to the bucket's smallest member, never listed pair by pair; the groups so
-linked are then compared by their exact sets, which gives each document's number of links and its class.
+with the probability of their similarity. A run splits all sets by one sampled n-gram, then every bucket that is still
+large by two further samples, chosen by the bucket's path, and so on until buckets are small. Small buckets are compared by
+brute force. Large ones that splitting does not part (most members share the sample it splits by) are so alike inside
+that their members are linked to the smallest one as they are. Runs are repeated, as many as the target recall asks for,
+losses of the splits included. All of this only says what has to be compared; the groups so linked are then compared by
+their exact sets, which gives each document's number of links and its class.
+
+Exact comparison of a large group begins with representatives: texts within half the distance that makes a link of one
+representative are all linked to each other, since 1 - Jaccard similarity is a metric, so they are counted, not compared.
+What no representative covers is compared, block by block, with all of the group, and so are the texts of different
+representatives. The work is linear for a group of copies that are all close to a few texts, however large.
 
 Texts with the same set of n-grams are one node, with a number of copies, before anything is compared. A text of fewer
 words than n has one n-gram, all its words; null texts and texts without words have none, and so no links. Rows without
-doc_id are returned with a null class and no links. Rows that repeat count as documents, rows without doc_id as nobody's link. Other columns are not read.
-An empty table gives an empty result. Memory is bounded by the blocks compared, not by groups.
+doc_id are returned with a null class and no links. Rows that repeat count as documents, rows without doc_id as nobody's
+link. Other columns are not read, whatever their names. An empty table gives an empty result. Memory is bounded by the
+blocks compared, not by groups; a text of any length is taken whole, in one task.
 """
 
 from __future__ import annotations
@@ -22,16 +29,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import BROADCAST_ROWS, cut, lean, linked_groups, semi_by_id, staged
+from .shared import BROADCAST_ROWS, cut, lean, linked_groups, met, semi_by_id, staged
 from .textarrays import Texts, mixed, ngram_hashes, text_slices, _P
 
-THRESHOLD, WORDS, RECALL, DEPTH, LEAF, EXTRA, LEVELS = 0.8, 5, 0.99999, 3, 256, 16, 4
+THRESHOLD, WORDS, RECALL, LEAF, LEVELS = 0.8, 5, 0.99999, 256, 4
+#: Samples besides each run's first: buckets choose among them what to split by, SPLITS at a time.
+POOL, SPLITS = 32, 2
+#: Representatives of a large group chosen at a time, and how often.
+REPRESENTATIVES, ROUNDS = 4, 3
 
 
-def runs_for(recall: float, threshold: float, depth: int) -> int:
+def recall_of_run(threshold: float, levels: int = LEVELS) -> float:
+    """The least probability that a pair at the threshold meets in a run: it shares the first sample, and at each level
+    at least one of those split by."""
+    return threshold * (1 - (1 - threshold) ** SPLITS) ** levels
+
+
+def runs_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
     """Runs until a pair at the threshold is missed with a probability of at most 1 - recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - recall_of_run(threshold, levels))))
 
 
 def ngram_sets(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,55 +138,52 @@ def _paired_blocks(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
             .withColumn("same", F.col("_own") == F.col("_other")).withColumn("block", F.col("_own")).drop("_blocks", "_own", "_other"))
 
 
-def candidate_links(classes: DataFrame, runs: int, depth: int, coordinates: int, threshold: float, leaf: int = LEAF) -> DataFrame:
-    """Links (a, b) that join whatever the runs' buckets show to be near the threshold or above."""
+def candidate_links(classes: DataFrame, runs: int, threshold: float, leaf: int = LEAF) -> DataFrame:
+    """Links (a, b) that join whatever the runs' buckets show to be near the threshold or above. classes: cid, samples."""
+    coordinates = runs + POOL
 
     @lean
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             s = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, coordinates).astype(np.uint64)
             for r in range(runs):
-                key = np.full(b.num_rows, r + 1, np.uint64)
-                for d in range(depth):
-                    key = mixed(key * np.uint64(_P) + s[:, r * depth + d])
-                yield pa.record_batch({"key": pa.array(key.view(np.int64)), "cid": b.column(0)})
-
-    def sized(rows: DataFrame) -> DataFrame:
-        """Rows of buckets with two members or more, with the bucket's size."""
-        return rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-
-    placed = cut(sized(classes.select("cid", "samples").mapInArrow(paths, "key long, cid long")))
-    rows = placed.join(classes.select("cid", "samples"), "cid")
-    small, whole = [rows.where(F.col("size") <= leaf).select("key", "cid", "samples")], []
-    large = cut(rows.where(F.col("size") > leaf).select("key", "cid", "samples", "size"))
-    for level in range(LEVELS):
+                yield pa.record_batch({"key": pa.array(mixed(s[:, r] + np.uint64(((r + 1) * _P) % 2**64)).view(np.int64)), "cid": b.column(0)})
+
+    placed = cut(classes.select("cid", "samples").mapInArrow(roots, "key long, cid long"))
+    tight, small, level = [], None, 0
+    while True:
+        # the members of each bucket, counted before they are moved; what is alone in its bucket goes
+        sizes = cut(placed.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1"))
+        few = met(placed, sizes.where(F.col("size") <= leaf), ["key"], "size").select("key", "cid")
+        small = few if small is None else small.unionByName(few)
+        large = sizes.where(F.col("size") > leaf)
         if large.isEmpty():
             break
-        spot = lambda j: F.lit(coordinates - EXTRA) + F.pmod(F.xxhash64("key") + 2 * level + j, F.lit(EXTRA))  # noqa: B023, E731
-        child = F.explode(F.array(*[F.xxhash64("key", F.lit(level), F.lit(j), F.substring(F.col("samples"), (spot(j) * 4 + 1).cast("int"), F.lit(4))) for j in (0, 1)]))
-        split = large.select(F.col("key").alias("parent"), F.col("size").alias("parent_size"), "cid", "samples", child.alias("key"))
+        rows = cut(met(placed, large, ["key"], "size").select("key", "cid", "size", "least"))
+        if level == LEVELS:
+            tight.append(rows.select(F.col("cid").alias("a"), F.col("least").alias("b")))
+            break
+        spot = lambda j: runs + F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(POOL))  # noqa: B023, E731
+        child = F.explode(F.array(*[F.xxhash64("key", F.lit(j), F.substring(F.col("samples"), (spot(j) * 4 + 1).cast("int"), F.lit(4))) for j in range(SPLITS)]))
+        split = rows.join(classes.select("cid", "samples"), "cid").select(F.col("key").alias("parent"), F.col("size").alias("parent_size"), "cid", child.alias("key"))
+        split = cut(split)
         counts = split.groupBy("key", "parent", "parent_size").agg(F.count("*").alias("size"))
-        loose = counts.groupBy("parent").agg(F.max(F.col("size") / F.col("parent_size")).alias("share")).where("share < 0.5").select("parent")
-        whole.append(large.join(loose, large.key == loose.parent, "left_anti").select("key", "cid", "samples", "size"))
-        parts = split.join(loose, "parent", "left_semi").join(counts.where("size > 1").select("key", "size"), "key").select("key", "cid", "samples", "size")
-        small.append(parts.where(F.col("size") <= leaf).select("key", "cid", "samples"))
-        large = cut(parts.where(F.col("size") > leaf))
-    else:
-        whole.append(large)
-    dealt = [s.withColumn("group", F.col("key")) for s in small]
-    dealt += [_paired_blocks(w, "key", "cid", F.ceil(F.col("size") * 2 / leaf)) for w in whole]
-    every = dealt[0].select("group", "cid", "samples")
-    for d in dealt[1:]:
-        every = every.unionByName(d.select("group", "cid", "samples"))
+        alike = cut(counts.groupBy("parent", "parent_size").agg(F.max(F.col("size") / F.col("parent_size")).alias("share"), (F.sum("size")).alias("_rows")).withColumnRenamed("parent", "key"))
+        tight.append(met(rows, alike.where("share >= 0.5").select("key", F.col("parent_size").alias("_rows")), ["key"], "_rows").select(F.col("cid").alias("a"), F.col("least").alias("b")))
+        # a bucket that is linked as a whole is done; the others go on in their parts
+        loose = alike.where("share < 0.5").select(F.col("key").alias("parent"), "_rows")
+        placed = cut(met(split, loose, ["parent"], "_rows").select("key", "cid"))
+        level += 1
+    every = small.join(classes.select("cid", "samples"), "cid").select("key", "cid", "samples")
     floor = coordinates * (threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / coordinates))
 
     @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         held = 0
-        for g in grouped(batches, "group"):
+        for g in grouped(batches, "key"):
             if g.num_rows < 2:
                 continue
             cid = g.column(1).to_numpy(zero_copy_only=False)
@@ -191,24 +206,100 @@ def candidate_links(classes: DataFrame, runs: int, depth: int, coordinates: int,
             a, b = np.unique(np.concatenate(found, 1), axis=1)
             yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
-    return every.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    links = every.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    for t in tight:
+        links = links.unionByName(t)
+    return links
+
+
+def _similar(sets: list[np.ndarray], to: np.ndarray) -> np.ndarray:
+    """The similarity of each set (sorted distinct values) to one."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(to, flat), len(to) - 1)
+    both = np.add.reduceat((to[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+    return both / (size + len(to) - both)
+
+
+def covered(full: DataFrame, threshold: float, leaf: int) -> DataFrame:
+    """(cid, root, ball) of the nodes of large groups that are within half a link's distance of a representative, `ball`.
+    A node belongs to the first round's closest one. full: cid, root, nodes, grams_set (sorted)."""
+    close = 1 - (1 - threshold) / 2
+    left = full.select("cid", "root", "nodes", "grams_set")
+    out = None
+    for k in range(ROUNDS):
+        pick = left.groupBy("root").agg(F.max("nodes").alias("nodes"), F.array_distinct(F.array(*[F.min_by("cid", F.xxhash64("cid", F.lit(k), F.lit(j))) for j in range(REPRESENTATIVES)])).alias("balls"))
+        chosen = pick.select("root", F.ceil(F.col("nodes") * 2 / leaf).cast("long").alias("parts"), F.explode("balls").alias("cid"))
+        sets = left.select("cid", "grams_set").join(chosen, "cid").select("root", "cid", "grams_set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("chosen"))
+        rows = left.select("root", "cid", "grams_set", F.pmod(F.xxhash64("cid", F.lit(11)), F.ceil(F.col("nodes") * 2 / leaf).cast("long")).alias("part"), F.lit(False).alias("chosen"))
+        dealt = sets.unionByName(rows).withColumn("group", F.xxhash64("root", "part")).drop("part")
+
+        @lean
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g in grouped(batches, "group"):
+                root, cid, chosen = (g.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+                every = [np.frombuffer(x, np.uint64) for x in g.column(2).to_pylist()]
+                mine = np.flatnonzero(~chosen)
+                if not len(mine) or len(mine) == len(cid):
+                    continue
+                best, ball = np.zeros(len(mine)), np.zeros(len(mine), np.int64)
+                for c in sorted(np.flatnonzero(chosen), key=lambda c: cid[c]):
+                    like = np.where(root[mine] == root[c], _similar([every[m] for m in mine], every[c]), 0.0)  # noqa: B023
+                    ball = np.where(like > best, cid[c], ball)
+                    best = np.maximum(best, like)
+                took = best >= close + 1e-9
+                yield pa.record_batch({"cid": pa.array(cid[mine][took]), "root": pa.array(root[mine][took]), "ball": pa.array(ball[took])})
+
+        got = cut(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(near, "cid long, root long, ball long"))
+        out = got if out is None else out.unionByName(got)
+        left = left.join(got.select("cid"), "cid", "left_anti")
+    return out
 
 
 def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int, threshold: float, leaf: int = LEAF) -> DataFrame:
-    """For each node with links: how many documents it is linked to outside its own copies, and the least node that its
-    block of comparisons connects it to. groups: (cid, root) of what may be linked."""
+    """For each node with links: how many documents it is linked to outside its own copies, and a node of its connected
+    part that comparisons link it to (`low`). groups: (cid, root) of what may be linked."""
     members = groups.join(classes.select("cid", "k1", "k2", "n", "copies"), "cid")
     about = members.groupBy("root").agg(F.count("*").alias("nodes"), F.sum(F.col("n").cast("long")).alias("grams"))
-    members = cut(members.join(about, "root"))
+    members = cut(met(members, about, ["root"], "nodes"))
 
     @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, size, _, begin, keys in _ids_and_sets(batches, n):
-            yield pa.record_batch({"cid": ids, "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "grams_set": pa.array([h[begin[i] : begin[i + 1]].tobytes() for i in range(len(size))], pa.binary())})
+            yield pa.record_batch({"cid": ids, "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "grams_set": pa.array([np.sort(h[begin[i] : begin[i + 1]]).tobytes() for i in range(len(size))], pa.binary())})
 
     texts = semi_by_id(docs.select(F.col("doc_id").cast("long").alias("cid"), "text"), members.select("cid"), "cid")
-    full = texts.mapInArrow(sets, "cid long, k1 long, k2 long, grams_set binary").join(members, ["cid", "k1", "k2"])
-    dealt = _paired_blocks(full, "root", "cid", F.greatest(F.ceil(F.col("nodes") * 2 / leaf), F.ceil(F.col("grams") / 2_000_000)))
+    # rows that share an id and a set of n-grams stand for one node
+    found = texts.mapInArrow(sets, "cid long, _k1 long, _k2 long, grams_set binary").join(members, "cid").where("k1 = _k1 and k2 = _k2")
+    full = found.dropDuplicates(["cid"])
+    full = staged(full.select("cid", "root", "copies", "nodes", "grams", "grams_set"), "ngram-sets")
+    wide = F.greatest(F.ceil(F.col("nodes") * 2 / leaf), F.ceil(F.col("grams") / 2_000_000)).cast("long")
+    large = F.col("nodes") > leaf
+    whole = full.where(~large).withColumn("parts", wide)
+    spread = full.where(large)
+    counted = None
+    if spread.isEmpty():
+        dealt = _paired_blocks(whole, "root", "cid", F.col("parts"))
+    else:
+        balls = covered(spread, threshold, leaf)
+        known = cut(spread.select("cid", "root", "copies", "nodes", "grams").join(balls.select("cid", "ball"), "cid", "left"))
+        share = known.groupBy("root", "ball").agg(F.count("*").alias("_rows"), F.sum("copies").alias("held"), F.max("grams").alias("grams"), F.max("nodes").alias("nodes"))
+        # blocks are numbered through a group, each ball's one after another, those of what is left last
+        share = share.withColumn("many", F.greatest(F.ceil(F.col("_rows") * 2 / leaf), F.ceil(F.col("grams") * F.col("_rows") / F.col("nodes") / 2_000_000)).cast("long"))
+        order = Window.partitionBy("root").orderBy(F.col("ball").isNull(), "ball")
+        share = share.withColumn("from", F.coalesce(F.sum("many").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("many").over(Window.partitionBy("root")))
+        share = cut(share.withColumn("b", F.xxhash64("root", F.coalesce(F.col("ball").cast("string"), F.lit("rest")))).select("b", "_rows", "held", "many", "from", "all"))
+        known = known.withColumn("b", F.xxhash64("root", F.coalesce(F.col("ball").cast("string"), F.lit("rest"))))
+        placed = cut(met(known, share, ["b"], "_rows").select("cid", "root", "ball", "copies", "held", "many", "from", "all"))
+        counted = placed.where("ball is not null and held > copies").select("cid", (F.col("held") - F.col("copies")).alias("links"), F.col("ball").alias("low"))
+        before = F.when(F.col("from") > 0, F.sequence(F.lit(0).cast("long"), F.col("from") - 1)).otherwise(F.array().cast("array<bigint>"))
+        behind = F.when(F.col("from") + F.col("many") < F.col("all"), F.sequence(F.col("from") + F.col("many"), F.col("all") - 1)).otherwise(F.array().cast("array<bigint>"))
+        own = F.col("from") + F.pmod(F.xxhash64("cid", F.lit(7)), F.col("many"))
+        other = F.when(F.col("ball").isNull(), F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).otherwise(F.concat(before, behind))
+        met_by = placed.where(F.size(other) > 0).withColumn("block", own).withColumn("_other", F.explode(other))
+        met_by = met_by.select("cid", F.xxhash64("root", F.least("block", "_other"), F.greatest("block", "_other")).alias("group"), (F.col("block") == F.col("_other")).alias("same"), "block")
+        rest = spread.select("cid", "copies", "grams_set").join(met_by, "cid")
+        dealt = _paired_blocks(whole, "root", "cid", F.col("parts")).select("cid", "copies", "grams_set", "group", "same", "block").unionByName(rest)
     dealt = dealt.select("group", "cid", "copies", "block", "grams_set", "same")
 
     @lean
@@ -244,30 +335,28 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
             if some.any():
                 yield pa.record_batch({"cid": pa.array(cid[some]), "links": pa.array(links[some]), "low": pa.array(cid[label[some]])})
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "cid long, links long, low long")
+    out = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "cid long, links long, low long")
+    return out if counted is None else out.unionByName(counted)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """doc_id, class_id (the smallest id of those linked to it, directly or over others) and n_links."""
-    runs = runs_for(recall, threshold, DEPTH)
-    coordinates = runs * DEPTH + EXTRA
-    sketch = staged(sketches(docs, words, coordinates), "sketches")
-    classes = (sketch.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"), F.count("doc_id").alias("copies"), F.first("samples").alias("samples"))
+    runs = runs_for(recall, threshold)
+    sketch = staged(sketches(docs, words, runs + POOL), "sketches")
+    classes = (sketch.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"), F.count("doc_id").alias("copies"), F.count("*").alias("_rows"), F.first("samples").alias("samples"))
                .where("cid is not null"))
     # two different sets may have one smallest id only where an id repeats with different texts; one of them stands for it
     classes = staged(classes, "classes")
-    groups = linked_groups(candidate_links(classes, runs, DEPTH, coordinates, threshold, leaf)).withColumnRenamed("node", "cid")
+    groups = linked_groups(candidate_links(classes, runs, threshold, leaf)).withColumnRenamed("node", "cid")
     links = cut(exact_links(docs, classes, groups, words, threshold, leaf))
     roots = linked_groups(links.select(F.col("cid").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cid")
     counted = links.groupBy("cid").agg(F.sum("links").alias("links")).join(roots, "cid", "left")
-    known = classes.select("k1", "k2", "cid", "copies").join(counted, "cid", "left")
-    rows = sketch.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2"], "left")
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return rows.select(
-        "doc_id",
-        F.when(linked, F.coalesce("root", "cid")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(linked, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-    )
+    known = staged(classes.select("k1", "k2", "cid", "copies", "_rows").join(counted, "cid", "left"), "counted-classes")
+    # texts without words have no set and meet nothing
+    wordless = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    rows = met(sketch.where("n > 0 and doc_id is not null").select("doc_id", "k1", "k2"), known, ["k1", "k2"], "_rows")
+    linked = rows.select("doc_id", F.coalesce("root", "cid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    return linked.unionByName(wordless)
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
