@@ -7,22 +7,6 @@ from lodestone.operators import answers, chunking, evaluation, incremental, rank
 from lodestone.operators.filters import matching
 
 
-def test_packing_overlaps_and_covers():
-    units = [f"unit{k} " + "word " * 39 for k in range(30)]
-    out = chunking.packed(units, chunking.Sizes(target=200, overlap=50))
-    assert all(chunking.size(t) <= 260 for t, _ in out) and out[0][1] == 0
-    assert all(b[1] > a[1] for a, b in zip(out, out[1:]))
-    assert all(any(u.strip() in t for t, _ in out) for u in units)
-    big = "x " * 2000
-    assert chunking.packed(["a", big, "b"], chunking.Sizes()) == [("a", 0), (big, 1), ("b", 2)]
-
-
-def test_sections_and_fences():
-    got = chunking.sections("# A\ntext\n## B\n```\n# no\n```\n# C\nend")
-    assert [s[0] for s in got] == [["A"], ["A", "B"], ["C"]]
-    assert chunking.balanced("```\ncode") == "```\n```\ncode" and chunking.balanced("a\n```\ncode").endswith("\n```") and chunking.balanced("a") == "a"
-
-
 def test_chunks_of_each_kind(spark):
     code = "import os\n\ndef first(a):\n" + "    x = a + 1\n" * 60 + "\nclass Second:\n" + "    y = 2\n" * 60
     rows = [("p", "fs", "u", "T", "# H\n" + "Some words here. " * 400, "prose", None), ("c", "fs", "u", "f.py", code, "code", "python"), ("t", "youtube", "https://youtu.be/x", "V", "\n".join(f"[0:{k:02d}] cue {k} " + "w " * 30 for k in range(40)), "transcript", None),
@@ -35,12 +19,6 @@ def test_chunks_of_each_kind(spark):
     assert by["t"][1].metadata["deep_link"].startswith("https://youtu.be/x?t=") and by["h"][0].metadata["role"] == "assistant"
 
 
-def test_merging_names_what_was_merged():
-    out = chunking.merged([("a " * 5, {"symbol": "f"}), ("b " * 5, {"symbol": "g"})], chunking.Sizes())
-    assert len(out) == 1 and out[0][1] == {"symbol": "f", "symbols": "f\x1fg"}
-    assert chunking.header("s", "t", out[0][1]) == "[s] t | definitions: f, g"
-
-
 def test_longest_run_against_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(k, [str(v) for v in rng.integers(0, 4, rng.integers(0, 9))], [str(v) for v in rng.integers(0, 4, rng.integers(0, 30))]) for k in range(80)]
