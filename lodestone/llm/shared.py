@@ -56,11 +56,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: later jobs start from these files."""
+    """df written as Parquet to the shared folder and read again: later jobs start from these files. They go when the
+    driver ends, or before by ``discarded``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing will read any more: what was made of them is written itself."""
+    for t in tables:
+        files, place = _files(t.sparkSession, t.staged_at)
+        files.delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
