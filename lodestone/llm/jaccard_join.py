@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_ROWS, cut, lean, linked_groups, met, semi_by_id, staged
+from .shared import BROADCAST_ROWS, cut, discarded, lean, linked_groups, met, semi_by_id, staged
 from .textarrays import Texts, mixed, ngram_hashes, text_slices, _P
 
 THRESHOLD, WORDS, RECALL, LEAF, LEVELS = 0.8, 5, 0.99999, 256, 4
@@ -336,7 +336,9 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
                 yield pa.record_batch({"cid": pa.array(cid[some]), "links": pa.array(links[some]), "low": pa.array(cid[label[some]])})
 
     out = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "cid long, links long, low long")
-    return out if counted is None else out.unionByName(counted)
+    links = cut(out if counted is None else out.unionByName(counted))
+    discarded(full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
@@ -348,10 +350,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     # two different sets may have one smallest id only where an id repeats with different texts; one of them stands for it
     classes = staged(classes, "classes")
     groups = linked_groups(candidate_links(classes, runs, threshold, leaf)).withColumnRenamed("node", "cid")
-    links = cut(exact_links(docs, classes, groups, words, threshold, leaf))
+    links = exact_links(docs, classes, groups, words, threshold, leaf)
     roots = linked_groups(links.select(F.col("cid").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cid")
     counted = links.groupBy("cid").agg(F.sum("links").alias("links")).join(roots, "cid", "left")
     known = staged(classes.select("k1", "k2", "cid", "copies", "_rows").join(counted, "cid", "left"), "counted-classes")
+    discarded(classes)
     # texts without words have no set and meet nothing
     wordless = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     rows = met(sketch.where("n > 0 and doc_id is not null").select("doc_id", "k1", "k2"), known, ["k1", "k2"], "_rows")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, lean, semi_by_id, staged
+from .shared import BROADCAST_ROWS, discarded, lean, semi_by_id, staged
 from .textarrays import mixed, ngram_hashes, powers, sliding, text_slices, _P, _P_INVERSE
 
 PASSAGE, PREFIX, SORTED_WORDS = 50, 25, 4
@@ -284,9 +284,11 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX
         raise ValueError("a prefix has at least four words and no more than a passage")
     kept = staged(suffixes(docs, passage, prefix), "suffixes")
     places = staged(repeated_suffixes(kept).groupBy("doc_id").agg(F.collect_list("place").alias("places")), "repeated-suffixes")
+    discarded(kept)
     texts = semi_by_id(docs.select(F.col("doc_id").cast("long"), "text"), places.select("doc_id"), "doc_id")
     around = staged(with_words_around(texts.join(places.hint("shuffle_merge"), "doc_id"), passage, prefix), "words-around")
     found = staged(extensions(around, passage, prefix, block), "extensions")
+    discarded(places, around)
     later = _later_ones(found.where("hash is not null")).select("doc_id", "start", F.lit(1).alias("run"), "source")
     flagged = found.where("hash is null").select("doc_id", "start", "run", "source").unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "run", "source")).alias("found"))
 
