@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lexical import QUESTION_TERMS, small_side
+from .lexical import QUESTION_TERMS
+from .staging import running_sums, small_side
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, question: str, doc: str, k: int) -> DataFrame:
@@ -35,42 +36,72 @@ def aggregate(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(f"mean_{c}") for c in ("recall", "precision", "hit", "reciprocal_rank", "ndcg")])
 
 
-def contamination(docs: DataFrame, questions: DataFrame, doc: str, question: str, idf: DataFrame, words,
-                  text: str = "text", verbatim: float = 0.85, overlap: float = 0.9) -> DataFrame:
+def contamination(docs: DataFrame, questions: DataFrame, doc: str, question: str, words, text: str = "text",
+                  verbatim: float = 0.85, overlap: float = 0.9, question_words=None) -> DataFrame:
     """Documents that hold a question: (question, doc, kind, score). Kind is "verbatim" where a run of the question's
     words of at least a share `verbatim` of them is in the text, else "overlap" where the words in common have a share
-    `overlap` of the question's idf. The questions' distinct terms (a bounded table) are broadcast; only documents that
-    share terms are looked at, found from their terms rather than by pairing all with all. A term that is in no document
-    has the largest idf."""
+    `overlap` of the question's idf. A term that is in no document has the largest idf.
+
+    Candidates come from each question's rarest terms alone: as many of them as a document cannot lack all of, either
+    because a run leaves out too few words or because the rest has too little weight. Only these are compared, each as
+    one row with both texts' words. questions are bounded (QUESTION_TERMS) and broadcast; words gives the tokens of docs'
+    text (which may be tokens already)."""
     from .ranking import longest_run
 
-    asked = questions.select(question, words(F.col(text)).alias("_sequence"))
-    terms = asked.select(question, F.explode(F.array_distinct("_sequence")).alias("term")).join(idf.select("term", "idf"), "term", "left")
-    # a term that no document has weighs most
+    have = docs.select(doc, words(F.col(text)).alias("_words"))
+    asked = questions.select(question, (question_words or words)(F.col(text)).alias("_sequence"))
+    terms = asked.select(question, F.size("_sequence").alias("_length"), F.explode(F.array_distinct("_sequence")).alias("term"))
+    wanted = small_side(terms.select("term").distinct(), QUESTION_TERMS)
+    df = have.select(F.explode(F.array_distinct("_words")).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("_df"))
     n = docs.agg(F.count("*").alias("_n"))
-    terms = terms.crossJoin(F.broadcast(n)).withColumn("idf", F.coalesce("idf", F.round(F.ln(1 + (F.col("_n") + 0.5) / 0.5), 4))).drop("_n")
-    terms = small_side(terms, QUESTION_TERMS)
-    total = terms.groupBy(question).agg(F.sum("idf").alias("_total"), F.count("*").alias("_terms")).join(asked.select(question, F.size("_sequence").alias("_length")), question)
-    found = docs.select(doc, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).join(terms, "term")
-    shared = found.groupBy(question, doc).agg(F.sum("idf").alias("_shared"), F.count("*").alias("_common")).join(F.broadcast(total), question)
-    # words outside a run of a share of all are the only ones that may be missing: so many distinct ones at most
+    c = F.coalesce("_df", F.lit(0))
+    weighed = terms.join(small_side(df, QUESTION_TERMS), "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", F.round(F.ln(1 + (F.col("_n") - c + 0.5) / (c + 0.5)), 4))
+    each = Window.partitionBy(question)
+    rarest = each.orderBy(F.desc("idf"), "term")
     outside = F.floor(F.col("_length") * (1 - verbatim) + 1e-9)
-    likely = shared.where((F.col("_shared") >= overlap * F.col("_total")) | (F.col("_common") >= F.col("_terms") - outside))
-    full = likely.join(docs.select(doc, words(F.col(text)).alias("_words")), doc).join(F.broadcast(asked), question)
+    ranked = weighed.withColumn("_total", F.sum("idf").over(each)).withColumn("_before", F.coalesce(F.sum("idf").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_k", F.row_number().over(rarest))
+    key = ranked.where((F.col("_k") <= outside + 1) | (F.col("_before") <= (1 - overlap) * F.col("_total") + 1e-6)).select(question, "term")
+    pairs = have.select(doc, F.explode(F.array_distinct("_words")).alias("term")).join(small_side(key, QUESTION_TERMS), "term").select(question, doc).distinct()
+    facts = ranked.groupBy(question).agg(F.first("_total").alias("_total"), F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_terms")).join(asked, question)
+    full = have.join(small_side(pairs), doc).join(small_side(facts, QUESTION_TERMS), question)
+    shared = F.aggregate(F.filter("_terms", lambda t: F.array_contains("_words", t["term"])), F.lit(0.0), lambda s, t: s + t["idf"])
     padded = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
     run = longest_run(F.col("_sequence"), padded) / F.greatest(F.size("_sequence"), F.lit(1))
-    scored = full.withColumn("_run", run).withColumn("_share", F.when(F.col("_total") > 0, F.col("_shared") / F.col("_total")).otherwise(0.0))
+    scored = full.withColumn("_run", run).withColumn("_share", F.when(F.col("_total") > 0, shared / F.col("_total")).otherwise(0.0))
     kind = F.when(F.col("_run") >= verbatim, "verbatim").when(F.col("_share") >= overlap, "overlap")
     return scored.withColumn("kind", kind).where("kind is not null").select(question, doc, "kind", F.round(F.when(F.col("kind") == "verbatim", F.col("_run")).otherwise(F.col("_share")), 6).alias("score"))
 
 
+def contamination_by_source(found: DataFrame, docs: DataFrame, question: str, doc: str, source: str) -> DataFrame:
+    """For each source: distinct questions found in it, its documents that hold one, and pairs of both."""
+    held = found.join(docs.select(doc, source), doc)
+    return held.groupBy(source).agg(F.countDistinct(question).alias("questions"), F.countDistinct(doc).alias("documents"), F.count("*").alias("pairs"))
+
+
+def report(cases: DataFrame) -> DataFrame:
+    """One row for a run. cases: expect_abstain, abstained, passed, coverage (of citations), and a case's metrics, null
+    where it is not graded. Metrics are over graded cases; citations over graded ones that were answered."""
+    graded = ~F.col("expect_abstain")
+    over = lambda c, when: F.round(F.avg(F.when(when, F.col(c).cast("double"))), 4)
+    return cases.agg(
+        F.count("*").alias("cases"), F.round(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate"), F.round(F.avg(F.col("abstained").cast("double")), 4).alias("abstention_rate"),
+        F.count(F.when(F.col("expect_abstain") & ~F.col("abstained"), 1)).alias("answered_negatives"), F.count(F.when(graded & F.col("abstained"), 1)).alias("refused_positives"),
+        over("coverage", graded & ~F.col("abstained")).alias("citation_coverage"), *[over(c, graded).alias(f"mean_{c}") for c in ("recall", "precision", "hit", "reciprocal_rank", "ndcg")],
+    )
+
+
 def discrimination(docs: DataFrame, expectations: DataFrame, blob: str, expectation: str, share: float = 0.2) -> DataFrame:
-    """How many documents each expected substring matches; "nothing" for none, "broad" beyond a share of all. The
-    expectations are few and broadcast; a document is tested against each, and only counts are kept."""
-    few = small_side(expectations.select(expectation).distinct(), QUESTION_TERMS)
+    """How many documents each expected substring matches; "nothing" for none, "broad" beyond a share of all. A golden
+    set's expectations are bounded (QUESTION_TERMS, else an error): they travel as one row, and each document is looked
+    through once for all of them, which leaves only the ones that match."""
+    distinct = expectations.select(expectation).distinct()
+    if distinct.limit(QUESTION_TERMS + 1).count() > QUESTION_TERMS:
+        raise ValueError("more expected substrings than a golden set has")
+    every = distinct.agg(F.collect_list(F.struct(F.col(expectation).alias("e"), F.lower(F.col(expectation)).alias("low"))).alias("_every"))
     n = docs.agg(F.count("*").alias("total"))
-    matched = docs.select(F.lower(F.col(blob)).alias("_b")).join(few, F.col("_b").contains(F.lower(F.col(expectation)))).groupBy(expectation).agg(F.count("*").alias("matched"))
-    out = few.join(matched, expectation, "left").crossJoin(F.broadcast(n)).withColumn("matched", F.coalesce("matched", F.lit(0)))
+    blobs = docs.select(F.lower(F.col(blob)).alias("_b")).crossJoin(F.broadcast(every))
+    matched = blobs.select(F.explode(F.filter("_every", lambda x: F.col("_b").contains(x["low"]))).alias("x")).groupBy(F.col("x.e").alias(expectation)).agg(F.count("*").alias("matched"))
+    out = distinct.join(matched, expectation, "left").crossJoin(F.broadcast(n)).withColumn("matched", F.coalesce("matched", F.lit(0)))
     return out.withColumn("kind", F.when(F.col("matched") == 0, "nothing").when(F.col("matched") > share * F.col("total"), "broad").otherwise("fine"))
 
 
@@ -86,18 +117,20 @@ def quarantined(ranked: DataFrame, contaminated: DataFrame, question: str, doc:
 
 
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
-    """Share of (positive, negative) pairs in order, ties counting half, from counts by score: no pairs are formed."""
+    """Share of (positive, negative) pairs in order, ties counting half, from counts by score: no pairs are formed, and
+    scores are added up range by range."""
     by = scored.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    below = by.withColumn("_below", F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = running_sums(by, score, {"_below": "n"}, inclusive=False)
     return below.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), (F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc")).select("positives", "negatives", F.round(F.coalesce("auc", F.lit(0.5)), 6).alias("auc"))
 
 
 def floors(scored: DataFrame, score: str, positive: str, digits: int = 2) -> DataFrame:
     """For each floor (the rounded scores that occur): positives below it and negatives at or above it."""
     by = scored.groupBy(F.round(score, digits).alias("floor")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    up = Window.orderBy("floor").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy("floor").rowsBetween(0, Window.unboundedFollowing)
-    return by.select("floor", F.coalesce(F.sum("p").over(up), F.lit(0)).alias("refused_positives"), F.sum("n").over(down).alias("answered_negatives")).withColumn("errors", F.col("refused_positives") + F.col("answered_negatives"))
+    sums = running_sums(by, "floor", {"refused_positives": "p", "_answered": "n"}, inclusive=False)
+    total = by.agg(F.sum("n").alias("_all"))
+    out = sums.crossJoin(F.broadcast(total)).withColumn("answered_negatives", F.col("_all") - F.col("_answered"))
+    return out.select("floor", "refused_positives", "answered_negatives", (F.col("refused_positives") + F.col("answered_negatives")).alias("errors"))
 
 
 def signals(ranked: DataFrame, question: str) -> DataFrame:
@@ -121,7 +154,7 @@ def cooccurrence(docs: DataFrame, question_terms: DataFrame, question: str, doc:
     tf = docs.select(doc, F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(small_side(question_terms.select("term").distinct(), QUESTION_TERMS), "term")
     n = docs.agg(F.count("*").alias("n"))
     rare = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") <= F.col("n") * rarity).select("term")
-    kept = question_terms.join(F.broadcast(rare), "term")
+    kept = question_terms.join(small_side(rare, QUESTION_TERMS), "term")
     size = kept.groupBy(question).agg(F.count("*").alias("terms"))
-    best = tf.join(F.broadcast(kept), "term").groupBy(question, doc).agg(F.count("*").alias("c")).groupBy(question).agg(F.max("c").alias("best"))
+    best = tf.join(small_side(kept, QUESTION_TERMS), "term").groupBy(question, doc).agg(F.count("*").alias("c")).groupBy(question).agg(F.max("c").alias("best"))
     return size.join(best, question).select(question, "terms", F.round(F.col("best") / F.col("terms"), 6).alias("share"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .staging import small_side
+
 
 def delta(previous: DataFrame, current: DataFrame, keys: list[str], digest: str = "content_hash") -> DataFrame:
     """Every key of either snapshot (keys, digest) with its status: new, changed, unchanged or removed."""
@@ -44,7 +46,7 @@ def pruned(docs: DataFrame, gone: DataFrame, key: str, source: str, most: float
     """docs without what its source removed, but for sources that would lose more than a share: these stay whole."""
     marked = docs.join(gone.select(key, F.lit(True).alias("_gone")).distinct(), key, "left")
     share = marked.groupBy(source).agg((F.count("_gone") / F.count("*")).alias("_share"))
-    return marked.join(F.broadcast(share), source).where(F.col("_gone").isNull() | (F.col("_share") > most)).select(*docs.columns)
+    return marked.join(small_side(share), source).where(F.col("_gone").isNull() | (F.col("_share") > most)).select(*docs.columns)
 
 
 def needs_refit(documents: int, text_bytes: int, fitted_documents: int | None, fitted_bytes: int | None, by: float = 0.25) -> bool:
@@ -59,7 +61,7 @@ def source_health(runs: DataFrame, source: str, at: str, failed: str, now: Colum
     The last success is an aggregate, so a source's runs are combined map-side whatever their number."""
     ok = F.max(F.when(~F.col(failed), F.col(at)))
     last = runs.groupBy(source).agg(F.count("*").alias("runs"), F.round(F.avg(F.col(failed).cast("double")), 4).alias("failure_rate"), ok.alias("last_success"))
-    since = runs.join(F.broadcast(last.select(source, "last_success")), source).where(F.col(failed) & (F.col("last_success").isNull() | (F.col(at) > F.col("last_success"))))
+    since = runs.join(small_side(last.select(source, "last_success")), source).where(F.col(failed) & (F.col("last_success").isNull() | (F.col(at) > F.col("last_success"))))
     streak = since.groupBy(source).agg(F.count("*").alias("consecutive_failures"))
     hours = F.when(F.col("last_success").isNull(), 999.0).otherwise(F.round(F.timestamp_diff("MICROSECOND", F.col("last_success"), now) / 3.6e9, 2))
     return last.join(streak, source, "left").select(source, "runs", "failure_rate", F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"), hours.alias("hours_since_success"))
@@ -98,9 +100,11 @@ def corpus_actions(situation: DataFrame) -> DataFrame:
 
 
 def budgeted(found: DataFrame, order: list, budget: int = 6) -> DataFrame:
-    """The first actions by priority, and one row for the first that has to wait."""
-    ranked = found.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("priority"), *order)))
-    return ranked.where(F.col("seq") <= budget + 1).withColumn("deferred", F.col("seq") > budget)
+    """The first actions by priority, and one row for the first that has to wait: a limit by order, of which each
+    partition keeps no more than it may need, and numbers for what is left."""
+    first = found.orderBy(F.desc("priority"), *order).limit(budget + 1)
+    ranked = first.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("priority"), *order)))
+    return ranked.withColumn("deferred", F.col("seq") > budget)
 
 
 def first_of_equal(df: DataFrame, digest: str, order: list[str]) -> DataFrame:
@@ -111,6 +115,17 @@ def first_of_equal(df: DataFrame, digest: str, order: list[str]) -> DataFrame:
 
 
 def carried_forward(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Each row's latest value at or before it, within its key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    """Each row's latest value at or before it, within its key. Rows are sorted over ranges of (key, order), so a key with
+    any share of all rows is spread; a range begins with what the last value of its first key was in the ranges before."""
+    from .staging import shared_folder
+
+    shared_folder(df.sparkSession)
+    ranged = df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    has = F.col(value).isNotNull()
+    last = ranged.where(has).groupBy(key, "_part").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    # one row for each key and range that holds it; carried from range to range
+    held = ranged.select(key, "_part").distinct().join(last, [key, "_part"], "left")
+    w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("_before", F.last("_last", ignorenulls=True).over(w)).select(key, "_part", "_before").where("_before is not null")
+    w = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(small_side(before), [key, "_part"], "left").withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("_before"))).select(*[c for c in df.columns if c != out], out)

@@ -1,7 +1,9 @@
 """BM25 search of a batch of questions over a corpus.
 
 Questions are a table of bounded size (QUESTION_TERMS question-term rows): they are broadcast, so the corpus is read
-once, its tokens are filtered by the questions' terms before anything is shuffled, and only matches are grouped.
+once and its tokens are filtered by the questions' terms before anything is shuffled. What is left is dealt by document,
+once: term counts, scores of a document's matches and each partition's own best follow from that without a further
+shuffle of matches; only k rows for each question and partition are dealt again by question.
 """
 
 from __future__ import annotations
@@ -11,37 +13,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .staging import small_side
 
 QUESTION_TERMS = 200_000
+# Weights of a chunk's text, title and context header.
+FIELDS = {"text": 1.0, "title": 0.6, "context_header": 0.4}
 
 
 def question_terms(questions: DataFrame, key: str, words: Column) -> DataFrame:
     return questions.select(key, F.explode(F.array_distinct(words)).alias("term"))
 
 
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has no more than `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def bm25(docs: DataFrame, questions: DataFrame, doc: str, question: str, text: str = "text", question_text: str = "text",
-         k1: float = 1.5, b: float = 0.75, words=T.tokens, positive: bool = True) -> DataFrame:
-    """(question, doc, score) of all matches. positive: ln(1 + ...) as idf; else the plain one, floored at 1e-6."""
-    asked = small_side(question_terms(questions, question, words(F.col(question_text))), QUESTION_TERMS)
+         k1: float = 1.5, b: float = 0.75, words=T.tokens, positive: bool = True, question_words=None) -> DataFrame:
+    """(question, doc, score) of all matches. positive: ln(1 + ...) as idf; else the plain one, floored at 1e-6. words
+    gives the tokens of docs' text (which may be tokens already), question_words those of the questions'."""
+    asked = small_side(question_terms(questions, question, (question_words or words)(F.col(question_text))), QUESTION_TERMS)
     prepared = docs.select(doc, words(F.col(text)).alias("_w")).withColumn("_len", F.size("_w"))
     about = prepared.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    wanted = asked.select("term").distinct()
-    tf = (prepared.select(doc, "_len", F.explode("_w").alias("term")).join(small_side(wanted, QUESTION_TERMS), "term")
-          .groupBy(doc, "term").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len")))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    weighed = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(about))
+    wanted = small_side(asked.select("term").distinct(), QUESTION_TERMS)
+    matched = prepared.select(doc, "_len", F.explode("_w").alias("term")).join(wanted, "term").repartition(doc)
+    tf = matched.groupBy(doc, "term").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len"))
+    # one row for each of the questions' terms, and one for the corpus
+    df = small_side(tf.groupBy("term").agg(F.count("*").alias("_df")), QUESTION_TERMS)
+    weighed = tf.join(df, "term").crossJoin(F.broadcast(about))
     n, d = F.col("_n"), F.col("_df")
     weight = F.ln(1 + (n - d + 0.5) / (d + 0.5)) if positive else F.greatest(F.lit(1e-6), F.ln((n - d + 0.5) / (d + 0.5)))
     part = weight * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     return weighed.select(doc, "term", part.alias("_part")).join(asked, "term").groupBy(question, doc).agg(F.sum("_part").alias("score"))
 
 
+def plain_words(text: Column) -> Column:
+    """Letters and digits in a row, lower-cased: compounds fall apart, nothing is a stopword."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def field_bm25(chunks: DataFrame, questions: DataFrame, chunk: str, question: str, fields: dict[str, float] | None = None,
+               question_text: str = "text", k1: float = 1.2, b: float = 0.75, stems: bool = True) -> DataFrame:
+    """(question, chunk, score) over several columns, each with a weight. Each of a question's distinct tokens is a phrase
+    of its parts ("in-process": in, process), counted where the parts follow one another within a column.
+
+    With stems, parts match by their Porter stems: the corpus' distinct words are stemmed once, and those with a stem that
+    is asked for are broadcast (counted before), so its texts never leave the JVM."""
+    fields = fields or FIELDS
+    phrases = question_terms(questions, question, T.tokens(F.col(question_text))).withColumn("_parts", plain_words(F.col("term")))
+    stem = T.stem if stems else (lambda x: x)
+    parts = phrases.select(question, "term", F.size("_parts").alias("_m"), F.posexplode("_parts").alias("_i", "_word"))
+    asked = parts.select(question, "term", "_m", "_i", stem(F.col("_word")).alias("_stem"))
+    rows = chunks.select(chunk, F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), plain_words(F.col(c)).alias("words")) for c, w in fields.items()])).alias("f"))
+    sized = chunks.select(sum((F.size(plain_words(F.col(c))) for c in fields), F.lit(0)).alias("_d"))
+    about = sized.agg(F.count("*").alias("_n"), F.avg("_d").alias("_avg"))
+    lengths = F.aggregate(F.array(*[F.size(plain_words(F.col(c))) for c in fields]), F.lit(0), lambda s, x: s + x)
+    tokens = rows.select(chunk, F.col("f.weight").alias("_weight"), F.posexplode("f.words").alias("_pos", "_word"))
+    spoken = asked.select("_stem").distinct()
+    if stems:
+        known = tokens.select("_word").distinct().withColumn("_stem", T.stem(F.col("_word"))).join(small_side(spoken, QUESTION_TERMS), "_stem")
+        found = tokens.join(small_side(known, QUESTION_TERMS), "_word")
+    else:
+        found = tokens.withColumnRenamed("_word", "_stem").join(small_side(spoken, QUESTION_TERMS), "_stem")
+    distinct_parts = asked.select("term", "_m", "_i", "_stem").distinct()
+    placed = found.join(small_side(distinct_parts, QUESTION_TERMS), "_stem").select(chunk, "_weight", "term", "_m", (F.col("_pos") - F.col("_i")).alias("_start")).repartition(chunk)
+    # a phrase is where all of its parts are
+    whole = placed.groupBy(chunk, "term", "_weight", "_start").agg(F.count("*").alias("_c"), F.first("_m").alias("_m")).where("_c = _m")
+    f = whole.groupBy(chunk, "term").agg(F.sum("_weight").alias("_f"))
+    df = small_side(f.groupBy("term").agg(F.count("*").alias("_df")), QUESTION_TERMS)
+    n, d = F.col("_n"), F.col("_df")
+    idf = F.greatest(F.lit(1e-6), F.ln((n - d + 0.5) / (d + 0.5)))
+    length = chunks.select(chunk, lengths.alias("_d"))
+    weighed = f.join(df, "term").join(length, chunk).crossJoin(F.broadcast(about))
+    part = idf * F.col("_f") * (k1 + 1) / (F.col("_f") + k1 * (1 - b + b * F.col("_d") / F.col("_avg")))
+    pairs = small_side(phrases.select(question, "term"), QUESTION_TERMS)
+    return weighed.select(chunk, "term", part.alias("_part")).join(pairs, "term").groupBy(question, chunk).agg(F.sum("_part").alias("score"))
+
+
 def top(scored: DataFrame, by: list[str], k: int, doc: str, digits: int = 6) -> DataFrame:
-    """The k best of each question: rounded score downward, then document."""
+    """The k best of each question: rounded score downward, then document. Spark keeps each partition's k best before it
+    deals them by question."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), doc)
     return scored.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import small_side
+
 
 def learned(docs: DataFrame, source: str, doc: str, lines: Column, share: float = 0.5, least: int = 5) -> DataFrame:
     """(source, line, documents) of lines in at least a share of a source's documents, for sources of `least` or more."""
     n = docs.groupBy(source).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     each = docs.select(source, F.explode(F.array_distinct(F.transform(lines, lambda x: F.trim(x)))).alias("line")).where("line <> ''")
-    return each.groupBy(source, "line").agg(F.count("*").alias("documents")).join(F.broadcast(n), source).where(F.col("documents") >= share * F.col("_n")).select(source, "line", "documents")
+    return each.groupBy(source, "line").agg(F.count("*").alias("documents")).join(small_side(n), source).where(F.col("documents") >= share * F.col("_n")).select(source, "line", "documents")
 
 
 def stripped(docs: DataFrame, template: DataFrame, source: str, text: str = "text") -> DataFrame:
     """docs without their source's template lines. A source's lines are at most 1/share of a document's, so its list is
     short and travels with each row."""
     lists = template.groupBy(source).agg(F.collect_set("line").alias("_template"))
-    joined = docs.join(F.broadcast(lists), source, "left")
+    joined = docs.join(small_side(lists), source, "left")
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("_template", F.trim(x)), F.lit(False)))
     return joined.withColumn(text, F.array_join(kept, "\n")).select(*docs.columns)
