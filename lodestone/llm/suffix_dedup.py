@@ -268,13 +268,23 @@ def _later_ones(found: DataFrame) -> DataFrame:
             yield pa.record_batch({"part": pa.array([part], pa.int32()), "doc_id": pa.array([None], pa.int64()), "start": pa.array([None], pa.int32()), "source": pa.array([origin], pa.int64()), "hash": pa.array([last[0]], pa.int64()), "is_first": pa.array([False]), "own": pa.array([False])})
 
     rows = staged(ordered.mapInArrow(run, "part int, doc_id long, start int, source long, hash long, is_first boolean, own boolean"), "neighbours")
-    # one row for each sorted range: the hash it ends with, and where that run of equal ones began
-    ends = rows.where("doc_id is null").select(F.col("part").alias("end_part"), F.col("hash").alias("end_hash"), F.col("source").alias("end_source"))
-    began = ends.groupBy("end_hash").agg(F.min_by("end_source", "end_part").alias("from_doc"), F.min("end_part").alias("from_part"))
+    # one row for each sorted range, as many as there are partitions: the hash it ends with, and where that run began
+    ends = sorted(rows.where("doc_id is null").select("part", "hash", "source").collect())
+    began: dict[int, int] = {}
+    closing: list[int | None] = []  # for each range, what the one before it that has rows ends with
+    source: list[int | None] = []
+    for e in ends:
+        fill = e["part"] + 1 - len(closing)
+        closing += closing[-1:] * fill if closing else [None] * fill
+        source += source[-1:] * fill if source else [None] * fill
+        began.setdefault(e["hash"], e["source"])
+        closing.append(e["hash"])
+        source.append(began[e["hash"]])
+    closing, source = closing or [None], source or [None]
     body = rows.where("doc_id is not null")
-    opened = (body.where("hash is not null").join(F.broadcast(began), F.col("hash") == F.col("end_hash"), "left")
-              .withColumn("before", F.coalesce(F.col("from_part") < F.col("part"), F.lit(False)))
-              .where("before or not is_first").select("doc_id", "start", F.when(F.col("before") & ~F.col("own"), F.col("from_doc")).otherwise(F.col("source")).alias("source")))
+    of_range = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("part"))
+    opened = (body.where("hash is not null").withColumn("before", F.coalesce(of_range(closing) == F.col("hash"), F.lit(False)))
+              .where("before or not is_first").select("doc_id", "start", F.when(F.col("before") & ~F.col("own"), of_range(source)).otherwise(F.col("source")).alias("source")))
     return body.where("hash is null").select("doc_id", "start", "source").unionByName(opened)
 
 
