@@ -76,7 +76,7 @@ def _noise(value: str, article: bool) -> set[str]:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header", "foreign", "embedded", "mark", "named", "certain", "muted", "code")
+    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header", "foreign", "embedded", "mark", "named", "certain", "muted", "code", "paths")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
@@ -114,7 +114,9 @@ class _Element:
         self.certain = certain
         self.named = self if noisy and not (main and not (tag == "article" and inside)) and tag not in _NEVER_NAMED and not (inline and self.code) else outer
         self.muted = inline and (bool(parent and parent.muted) or self.named is self and certain)
-        self.path = parent.path if parent and tag not in _BLOCK else (f"{parent.path}/" if parent else "") + name
+        # paths are numbered by the path above and the last step, so that depth costs nothing
+        self.paths: dict[tuple[int, str], int] = parent.paths if parent else {}
+        self.path: int = parent.path if parent and inline else self.paths.setdefault((parent.path if parent else -1, name), len(self.paths))
 
 
 def _blocks(page: str) -> list[tuple[str, _Element]]:
@@ -210,8 +212,7 @@ def _blocks(page: str) -> list[tuple[str, _Element]]:
 
 def path_ratios(blocks: list[tuple[str, _Element]]) -> tuple[np.ndarray, np.ndarray]:
     """For each block the mean text length and the mean punctuation of its path."""
-    paths: dict[str, int] = {}
-    which = np.array([paths.setdefault(e.path, len(paths)) for _, e in blocks])
+    _, which = np.unique([e.path for _, e in blocks], return_inverse=True)
     chars = np.array([len(t) for t, _ in blocks], float)
     marks = np.array([len(_PUNCT.findall(t)) for t, _ in blocks], float)
     count = np.bincount(which)
@@ -364,9 +365,13 @@ def main_text(page: str | None) -> str:
     held: dict[_Element, float] = {}
     for k in chosen:
         node = blocks[k][1]
-        while node:
-            held[node] = held.get(node, 0.0) + score[k] * len(blocks[k][0])
+        while node and node not in held:
+            held[node] = 0.0
             node = node.parent
+        held[blocks[k][1]] += score[k] * len(blocks[k][0])
+    for node in sorted(held, key=lambda e: -e.depth):
+        if node.parent:
+            held[node.parent] += held[node]
     named = [e for e in held if e.main]
     if named:
         most = max(held[e] for e in named)
@@ -378,14 +383,18 @@ def main_text(page: str | None) -> str:
             region = region.parent
     keep = kept_around(region, blocks, score)
 
+    # an element is outside if a header holds it within the region, with no heading between
+    known: dict[_Element | None, bool] = {region: False, None: False}
+
     def outside(e: _Element) -> bool:
-        heading = False
-        while e and e is not region:
-            if e.tag == "header" and not heading:
-                return True
-            heading |= e.tag in _TITLES
+        way = []
+        while e not in known and e.tag != "header" and e.tag not in _TITLES:
+            way.append(e)
             e = e.parent
-        return False
+        found = known[e] if e in known else e.tag == "header"
+        for w in way:
+            known[w] = found
+        return found
 
     return "\n".join(t for (t, e), kept in zip(blocks, keep, strict=True) if kept and not outside(e))
 
