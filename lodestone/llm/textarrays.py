@@ -60,12 +60,19 @@ class Texts:
         #: the words of text i are words word_bounds[i] to word_bounds[i + 1]
         self.word_bounds = np.searchsorted(self.starts, bounds)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * powers(_P, n), out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * powers(_P_INVERSE, n + 1)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, most: int = 1 << 21) -> np.ndarray:
+        """A 64-bit hash of each word, from about `most` bytes at a time: a long text takes no more than its words do."""
+        out, at = np.zeros(len(self.starts), np.uint64), 0
+        while at < len(out):
+            low = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, low + most, "right")))
+            part = self.data[low : self.ends[to - 1]]
+            starts, ends = self.starts[at:to] - low, self.ends[at:to] - low
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * powers(_P, len(part)), out=sums[1:])
+            out[at:to] = mixed((sums[ends] - sums[starts]) * powers(_P_INVERSE, len(part) + 1)[starts] + (ends - starts).astype(np.uint64))
+            at = to
+        return out
 
     def owners(self) -> np.ndarray:
         """The text of each word."""
