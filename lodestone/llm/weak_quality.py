@@ -5,8 +5,9 @@ of votes occurs (all documents count; there are at most 3**labellers patterns) e
 either class and every pattern's posterior. A bounded sample of documents, labelled by their posteriors, then trains a
 linear scorer over hashed words and hashed buckets of statistics, which judges every document by itself.
 
-The sample is the documents with the smallest hashed ids, SAMPLE at most; nothing else is bounded. Null and empty texts
-have no words and are judged bad. Repeated rows are judged alike.
+The sample is the documents with the smallest hashed ids, SAMPLE at most; nothing else is bounded. What reaches the
+driver of a sampled document is how often it has each of the DIMS hashed words, so a text of any length is taken whole
+and its share of memory is bounded. Null and empty texts have no words and are judged bad. Repeated rows are judged alike.
 Columns other than doc_id and text play no part and pass through ``keep_good``. If no pattern has a majority of bad
 votes, all documents are good. An empty table gives an empty result.
 """
@@ -124,18 +125,18 @@ class Scorer:
         return np.where(np.diff(t.word_bounds) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def train(words: list[np.ndarray], buckets: np.ndarray, target: np.ndarray, epochs: int = 80, rate: float = 0.3, ridge: float = 1e-4) -> Scorer:
-    """Logistic regression on soft targets by full-batch Adagrad."""
-    size = np.array([len(w) for w in words])
-    bounds = np.concatenate([[0], np.cumsum(size)])
+def train(words: list[np.ndarray], counts: list[np.ndarray], buckets: np.ndarray, target: np.ndarray, epochs: int = 80, rate: float = 0.3, ridge: float = 1e-4) -> Scorer:
+    """Logistic regression on soft targets by full-batch Adagrad. Of each document its distinct hashed words and how often
+    it has them."""
     flat = np.concatenate(words) if len(words) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    share = np.concatenate([c / max(1, c.sum()) for c in counts]) if len(words) else np.zeros(0)
     w, b, bias = np.zeros(DIMS), np.zeros(DIMS), 0.0
     sw, sb, s0 = np.full(DIMS, 1e-3), np.full(DIMS, 1e-3), 1e-3
     for _ in range(epochs):
-        z = bias + _means(w[flat], bounds) + b[buckets].sum(1)
+        z = bias + np.bincount(owner, w[flat] * share, len(words)) + b[buckets].sum(1)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(target)
-        gw = np.bincount(flat, (g / np.maximum(size, 1))[owner], DIMS) + ridge * w
+        gw = np.bincount(flat, g[owner] * share, DIMS) + ridge * w
         gb = np.bincount(buckets.ravel(), np.repeat(g, buckets.shape[1]), DIMS) + ridge * b
         sw, sb, s0 = sw + gw**2, sb + gb**2, s0 + g.sum() ** 2
         w, b, bias = w - rate * gw / np.sqrt(sw), b - rate * gb / np.sqrt(sb), bias - rate * g.sum() / np.sqrt(s0)
@@ -168,16 +169,16 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[WeakLabels | None, Sc
         for b in batches:
             for t in text_slices(b):
                 words, buckets = hashed_features(t, feature_matrix(statistics(t)))
-                words = words.astype(np.uint16)
-                rows = [(words[a:e].tobytes(), buckets[i].tolist()) for i, (a, e) in enumerate(zip(t.word_bounds, t.word_bounds[1:], strict=False))]
-                yield pa.record_batch({"doc_id": b.column(0).slice(t.first, t.n), "pattern": b.column(2).slice(t.first, t.n), "words": pa.array([r[0] for r in rows], pa.binary()), "buckets": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
+                found = [np.unique(words[a:e], return_counts=True) for a, e in zip(t.word_bounds, t.word_bounds[1:], strict=False)]
+                yield pa.record_batch({"doc_id": b.column(0).slice(t.first, t.n), "pattern": b.column(2).slice(t.first, t.n), "words": pa.array([w.astype(np.uint16).tobytes() for w, _ in found], pa.binary()),
+                                       "counts": pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary()), "buckets": pa.array(buckets.tolist(), pa.list_(pa.int64()))})
 
     got = (docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "pattern")
-           .mapInArrow(features, "doc_id long, pattern long, words binary, buckets array<long>").orderBy("doc_id", "words").collect())
+           .mapInArrow(features, "doc_id long, pattern long, words binary, counts binary, buckets array<long>").orderBy("doc_id", "words").collect())
     if not got:
         return weak, None
     target = np.array([weak.posterior[r["pattern"]] for r in got])
-    return weak, train([np.frombuffer(r["words"], np.uint16).astype(np.int64) for r in got], np.array([r["buckets"] for r in got]), target)
+    return weak, train([np.frombuffer(r["words"], np.uint16).astype(np.int64) for r in got], [np.frombuffer(r["counts"], np.uint32) for r in got], np.array([r["buckets"] for r in got]), target)
 
 
 def _verdicts(b: pa.RecordBatch, scorer: Scorer | None) -> np.ndarray:
