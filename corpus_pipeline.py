@@ -1,4 +1,11 @@
-"""From raw documents to packed sequences: each stage works on all that the one before it kept."""
+"""From raw documents to packed sequences: each stage works on all that the one before it kept.
+
+All columns of documents stay, extra ones and such with clashing names too, until packing. Null texts count as empty ones:
+the rules reject what has too few words. Rows without doc_id are judged by their text, never anybody's duplicate, and keep
+their passages. Repeated rows are judged alike; of equal documents the smallest id stays, and rows that share this id and
+a text stay together. Texts of any length are taken whole. An empty table passes every stage as an empty table, and
+packing gives no sequences.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +17,22 @@ from lodestone.llm.shared import staged
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the rules reject go."""
+    """Operator 8: documents that the rules reject go. Ties of the model's score with its threshold are kept."""
     return quality_rules.keep_good(docs, quality_rules.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents that the classifier rejects go."""
+    """Operator 3: documents that the classifier rejects go. Where nothing is voted bad, all stay."""
     return weak_quality.keep_good(docs, weak_quality.fitted(docs)[1])
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each class of near duplicates the document of the smallest id stays."""
+    """Operator 1: of each class of near duplicates the document of the smallest id stays, and every row without an id."""
     return jaccard_join.keep_one(docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: repeated passages are cut out, but for their first occurrence."""
+    """Operator 5: repeated passages are cut out, but for their first occurrence. Documents of which nothing is left go."""
     return suffix_dedup.without_repeats(docs)
 
 
