@@ -2,7 +2,8 @@
 
 Null or empty texts count as texts without words: they fail the base rule. Rows that repeat are judged alike. Columns
 other than doc_id and text play no part in a verdict and pass through ``keep_good`` untouched. Without labels of both
-classes there is no model, and the base rule alone decides.
+classes there is no model, and the base rule alone decides. Texts are taken whole, of any length; hashes of a long one
+are made a part at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import lean
-from .textarrays import Texts, mixed, ngram_hashes, powers, text_slices, _BYTE, _P, _P_INVERSE
+from .textarrays import Texts, mixed, ngram_hashes, span_hashes, text_slices, _P
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: what the trees see, and how a score may change with it: 1 only up, -1 only down, 0 either way
@@ -32,9 +33,7 @@ _LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
 def _per_text(flags: np.ndarray, t: Texts) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return np.diff(sums[t.bounds])
+    return np.array([np.count_nonzero(flags[a:b]) for a, b in zip(t.bounds, t.bounds[1:], strict=False)], np.int64)
 
 
 def _repeated_lines(t: Texts) -> np.ndarray:
@@ -46,11 +45,8 @@ def _repeated_lines(t: Texts) -> np.ndarray:
     ends = np.where((ends > starts) & (t.data[np.maximum(ends - 1, 0)] == 10), ends - 1, ends) if n else ends
     worded = np.searchsorted(t.starts, ends) > np.searchsorted(t.starts, starts)
     starts, ends = starts[worded], ends[worded]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[t.data] * powers(_P, n), out=sums[1:])
     text = np.searchsorted(t.bounds, starts, "right") - 1
-    hashed = mixed((sums[ends] - sums[starts]) * powers(_P_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
-    key = mixed(hashed + text.astype(np.uint64) * np.uint64(_P))
+    key = mixed(span_hashes(t.data, starts, ends) + text.astype(np.uint64) * np.uint64(_P))
     _, at = np.unique(key, return_index=True)
     return np.bincount(text, minlength=t.n) - np.bincount(text[at], minlength=t.n)
 

@@ -42,6 +42,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, of spans in order and apart, from about `most` bytes at a time: a long text
+    takes no more memory than its spans do."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(out):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + most, "right")))
+        part = data[low : ends[to - 1]]
+        a, b = starts[at:to] - low, ends[at:to] - low
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * powers(_P, len(part)), out=sums[1:])
+        out[at:to] = mixed((sums[b] - sums[a]) * powers(_P_INVERSE, len(part) + 1)[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
+
+
 class Texts:
     """Some whole texts of a batch: data (bytes, end to end), bounds (where each begins, and the end), first (row)."""
 
@@ -60,19 +76,9 @@ class Texts:
         #: the words of text i are words word_bounds[i] to word_bounds[i + 1]
         self.word_bounds = np.searchsorted(self.starts, bounds)
 
-    def hashes(self, most: int = 1 << 21) -> np.ndarray:
-        """A 64-bit hash of each word, from about `most` bytes at a time: a long text takes no more than its words do."""
-        out, at = np.zeros(len(self.starts), np.uint64), 0
-        while at < len(out):
-            low = int(self.starts[at])
-            to = max(at + 1, int(np.searchsorted(self.ends, low + most, "right")))
-            part = self.data[low : self.ends[to - 1]]
-            starts, ends = self.starts[at:to] - low, self.ends[at:to] - low
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * powers(_P, len(part)), out=sums[1:])
-            out[at:to] = mixed((sums[ends] - sums[starts]) * powers(_P_INVERSE, len(part) + 1)[starts] + (ends - starts).astype(np.uint64))
-            at = to
-        return out
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return span_hashes(self.data, self.starts, self.ends)
 
     def owners(self) -> np.ndarray:
         """The text of each word."""
