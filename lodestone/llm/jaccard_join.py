@@ -3,10 +3,11 @@
 Chosen paths. A set's samples are the smallest of its n-gram hashes under independent orders; two sets share a sample
 with the probability of their similarity. A run splits all sets by one sampled n-gram, then every bucket that is still
 large by two further samples, chosen by the bucket's path, and so on until buckets are small. Small buckets are compared by
-brute force. Large ones that splitting does not part (most members share the sample it splits by) are so alike inside
-that their members are linked to the smallest one as they are. Runs are repeated, as many as the target recall asks for,
-losses of the splits included. All of this only says what has to be compared; the groups so linked are then compared by
-their exact sets, which gives each document's number of links and its class.
+brute force. In large ones that splitting would not part (most members share the sample it splits by) members are linked
+to representatives that they are like, and what is like none of them is split on. Runs are repeated, as many as the target
+recall asks for, losses of the splits included; each takes other representatives. All of this only says what has to be
+compared; the groups so linked are then compared by their exact sets, which gives each document's number of links and its
+class.
 
 Exact comparison of a large group begins with representatives: texts within half the distance that makes a link of one
 representative are all linked to each other, since 1 - Jaccard similarity is a metric, so they are counted, not compared.
@@ -36,7 +37,7 @@ from .textarrays import Texts, mixed, ngram_hashes, text_slices, _P
 
 THRESHOLD, WORDS, RECALL, LEAF, LEVELS = 0.8, 5, 0.99999, 256, 4
 #: Samples besides each run's first: buckets choose among them what to split by, SPLITS at a time.
-POOL, SPLITS = 32, 2
+POOL, SPLITS = 48, 2
 #: Representatives of a large group chosen at a time, and how often.
 REPRESENTATIVES, ROUNDS = 4, 3
 
@@ -138,9 +139,37 @@ def _paired_blocks(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
             .withColumn("same", F.col("_own") == F.col("_other")).withColumn("block", F.col("_own")).drop("_blocks", "_own", "_other"))
 
 
+def _like_representatives(rows: DataFrame, classes: DataFrame, coordinates: int, floor: float) -> DataFrame:
+    """(key, cid, ball) for members of large dense buckets: the representative of the bucket, one of a few, that shares
+    enough samples with it, or none. rows: key, cid, size."""
+    pick = rows.groupBy("key").agg(F.max("size").alias("_rows"), F.array_distinct(F.array(*[F.min_by("cid", F.xxhash64("cid", "key", F.lit(j))) for j in range(REPRESENTATIVES)])).alias("balls"))
+    chosen = pick.select("key", "_rows", F.explode("balls").alias("cid")).join(classes.select("cid", "samples"), "cid")
+    balls = cut(chosen.groupBy("key").agg(F.max("_rows").alias("_rows"), F.sort_array(F.collect_list(F.struct("cid", "samples"))).alias("b")).select("key", "_rows", F.col("b.cid").alias("of"), F.col("b.samples").alias("of_samples")))
+    members = met(rows.select("key", "cid").join(classes.select("cid", "samples"), "cid"), balls, ["key"], "_rows").select("key", "cid", "samples", "of", "of_samples")
+
+    @lean
+    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(b.num_rows, coordinates)
+            of, count = b.column(3), np.diff(b.column(3).offsets.to_numpy())
+            other = np.frombuffer(b"".join(x for row in b.column(4).to_pylist() for x in row), np.uint32).reshape(-1, coordinates)
+            owner = np.repeat(np.arange(b.num_rows), count)
+            shared = (s[owner] == other).sum(1)
+            ids = of.flatten().to_numpy(zero_copy_only=False)
+            # the first of those that share most
+            order = np.lexsort((ids, -shared, owner))
+            first = order[np.searchsorted(owner[order], np.arange(b.num_rows))]
+            yield pa.record_batch({"key": b.column(0), "cid": b.column(1), "ball": pa.array(ids[first], mask=shared[first] < floor)})
+
+    return members.mapInArrow(like, "key long, cid long, ball long")
+
+
 def candidate_links(classes: DataFrame, runs: int, threshold: float, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) that join whatever the runs' buckets show to be near the threshold or above. classes: cid, samples."""
     coordinates = runs + POOL
+    floor = coordinates * (threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / coordinates))
 
     @lean
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +192,7 @@ def candidate_links(classes: DataFrame, runs: int, threshold: float, leaf: int =
             break
         rows = cut(met(placed, large, ["key"], "size").select("key", "cid", "size", "least"))
         if level == LEVELS:
+            # what four splits have left together is few, and compared as a whole
             tight.append(rows.select(F.col("cid").alias("a"), F.col("least").alias("b")))
             break
         spot = lambda j: runs + F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(POOL))  # noqa: B023, E731
@@ -171,13 +201,15 @@ def candidate_links(classes: DataFrame, runs: int, threshold: float, leaf: int =
         split = cut(split)
         counts = split.groupBy("key", "parent", "parent_size").agg(F.count("*").alias("size"))
         alike = cut(counts.groupBy("parent", "parent_size").agg(F.max(F.col("size") / F.col("parent_size")).alias("share"), (F.sum("size")).alias("_rows")).withColumnRenamed("parent", "key"))
-        tight.append(met(rows, alike.where("share >= 0.5").select("key", F.col("parent_size").alias("_rows")), ["key"], "_rows").select(F.col("cid").alias("a"), F.col("least").alias("b")))
-        # a bucket that is linked as a whole is done; the others go on in their parts
+        dense = cut(_like_representatives(met(rows, alike.where("share >= 0.5").select("key", F.col("parent_size").alias("_rows")), ["key"], "_rows").select("key", "cid", "size"), classes, coordinates, floor))
+        near = dense.where("ball is not null").select(F.col("cid").alias("a"), F.col("ball").alias("b"))
+        tight.append(near)
+        # what is linked to a representative is done here; all others go on in their parts
         loose = alike.where("share < 0.5").select(F.col("key").alias("parent"), "_rows")
-        placed = cut(met(split, loose, ["parent"], "_rows").select("key", "cid"))
+        rest = split.withColumnRenamed("key", "child").join(dense.where("ball is null").select(F.col("key").alias("parent"), "cid"), ["parent", "cid"], "left_semi").select(F.col("child").alias("key"), "cid")
+        placed = cut(met(split, loose, ["parent"], "_rows").select("key", "cid").unionByName(rest))
         level += 1
     every = small.join(classes.select("cid", "samples"), "cid").select("key", "cid", "samples")
-    floor = coordinates * (threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / coordinates))
 
     @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
