@@ -265,14 +265,61 @@ def floor_sweep(spark, sf):
     return evaluation.floors(scored, "s", "good")
 
 
-@query()
-def chunks(spark, sf):
+def _sql_size(t: str) -> str:
+    return f"(CASE WHEN length({t}) = 0 THEN 0 ELSE greatest(length({t}) - length(translate({t}, ' ' || chr(10), '')) + 1, length({t}) // 4) END)"
+
+
+def _sql_strip(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+#: Documents without headings or fences in chunks: sentences packed unit by unit, then small pieces merged, by recursions.
+_CHUNKS = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_sql_strip("text")} AS s FROM documents WHERE text IS NOT NULL), big AS (SELECT * FROM d WHERE {_sql_size("s")} > 640),
+ cut AS (SELECT doc_id, unnest(p) AS raw, unnest(range(len(p))) AS unit FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(s, '([.!?])\\s+([A-Z0-9"''(\\[])', '\\1' || chr(30) || '\\2', 'g'), '\n{{2,}}', chr(30), 'g'), chr(30)) AS p FROM big)),
+ u AS (SELECT doc_id, unit, {_sql_strip("raw")} AS t FROM cut WHERE {_sql_strip("raw")} <> ''), v AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l, {_sql_size("t")} > 640 AS over FROM u),
+ w AS (SELECT doc_id, unit, unnest(CASE WHEN over AND len(l) > 1 THEN l ELSE [t] END) AS t, unnest(range(CASE WHEN over AND len(l) > 1 THEN len(l) ELSE 1 END)) AS line, over AND len(l) > 1 AS apart FROM v),
+ z AS (SELECT *, {_sql_size("t")} AS z, CASE WHEN {_sql_size("t")} > 640 THEN unit || '/' || line WHEN apart THEN unit || '' ELSE '' END AS o FROM w),
+ nw AS (SELECT *, (lag(o) OVER (PARTITION BY doc_id ORDER BY unit, line) IS DISTINCT FROM o)::INT AS fresh FROM z), rn AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY unit, line) AS run FROM nw),
+ r AS (SELECT doc_id, run, t, z, apart, row_number() OVER e - 1 AS k, coalesce(sum(z) OVER (PARTITION BY doc_id, run ORDER BY unit, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM rn WINDOW e AS (PARTITION BY doc_id, run ORDER BY unit, line)),
+ c AS (SELECT a.doc_id, a.run, a.k, any_value(a.x) AS x, any_value(a.z) AS z, min(b.k) FILTER (a.x - b.x <= 64) AS back, min(b.x) FILTER (a.x - b.x <= 64) AS backx FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.run = b.run AND b.k BETWEEN a.k - 65 AND a.k GROUP BY a.doc_id, a.run, a.k),
+ g AS (SELECT doc_id, run, 0::BIGINT AS k, 0::BIGINT AS f, 0::HUGEINT AS fx, NULL::BIGINT AS ef FROM c WHERE k = 0
+  UNION ALL SELECT g.doc_id, g.run, c.k, CASE WHEN c.x - fx + c.z > 320 THEN greatest(f, back) ELSE f END, CASE WHEN c.x - fx + c.z > 320 THEN greatest(fx, backx) ELSE fx END, CASE WHEN c.x - fx + c.z > 320 THEN f END FROM g JOIN c ON c.doc_id = g.doc_id AND c.run = g.run AND c.k = g.k + 1),
+ e AS (SELECT doc_id, run, ef AS a, k AS b FROM g WHERE ef IS NOT NULL UNION ALL SELECT doc_id, run, max_by(f, k), max(k) + 1 FROM g GROUP BY doc_id, run),
+ pc AS (SELECT e.doc_id, e.run, e.a, CASE WHEN apart THEN string_agg(t, chr(10) ORDER BY k) ELSE string_agg(t, ' ' ORDER BY k) END AS t FROM e JOIN r ON r.doc_id = e.doc_id AND r.run = e.run AND r.k >= e.a AND r.k < e.b GROUP BY e.doc_id, e.run, e.a, apart),
+ p AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY run, a) - 1 AS p, length(t) AS n, length(t) - length(translate(t, ' ' || chr(10), '')) AS br FROM pc),
+ m AS (SELECT doc_id, 0::BIGINT AS p, n::BIGINT AS n, br::BIGINT AS br, 0 AS grp FROM p WHERE p = 0
+  UNION ALL SELECT m.doc_id, p.p, CASE WHEN j THEN m.n + p.n + 2 ELSE p.n END, CASE WHEN j THEN m.br + p.br + 2 ELSE p.br END, CASE WHEN j THEN grp ELSE grp + 1 END FROM m JOIN p ON p.doc_id = m.doc_id AND p.p = m.p + 1, LATERAL (SELECT greatest(p.br + 1, p.n // 4) < 32 AND greatest(m.br + 1, m.n // 4) + greatest(p.br + 1, p.n // 4) <= 640 AS j)),
+ gs AS (SELECT doc_id, grp, max_by(greatest(br + 1, n // 4), p) AS z FROM m GROUP BY doc_id, grp), f AS (SELECT a.doc_id FROM gs a JOIN gs b ON a.doc_id = b.doc_id AND a.grp = 0 AND b.grp = 1 WHERE a.z < 32 AND a.z + b.z <= 640),
+ o AS (SELECT doc_id, 0 AS place, s AS t FROM d WHERE {_sql_size("s")} <= 640 AND s <> '' UNION ALL SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY grp) - 1, {_sql_strip("t")} FROM (SELECT doc_id, grp, string_agg(t, chr(10) || chr(10) ORDER BY p) AS t FROM (SELECT m.doc_id, CASE WHEN grp = 1 AND f.doc_id IS NOT NULL THEN 0 ELSE grp END AS grp, m.p, p.t FROM m JOIN p ON p.doc_id = m.doc_id AND p.p = m.p LEFT JOIN f ON f.doc_id = m.doc_id) GROUP BY doc_id, grp))
+ """
+
+
+def _chunked(spark, sf):
     from ..operators.chunking import chunked
 
     docs = table(spark, sf, "documents")
     return chunked(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_system"), F.concat(F.lit("doc://"), "source").alias("uri"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), "text", F.lit("prose").alias("kind"), F.lit("").alias("language")))
 
 
+@query(_CHUNKS + f"""SELECT o.doc_id::VARCHAR AS doc_id, place::INT AS ordinal, substr(sha256(o.doc_id || chr(31) || place || chr(31) || substr(t, 1, 200) || chr(31)), 1, 24) AS chunk_id, '[' || source || '] ' || source || '/' || o.doc_id AS context_header, t AS text, {_sql_size("t")}::INT AS tokens FROM o JOIN documents USING (doc_id)""")
+def chunks(spark, sf):
+    return _chunked(spark, sf).select("doc_id", "ordinal", "chunk_id", "context_header", "text", "tokens")
+
+
+@query(_CHUNKS + f""", s AS (SELECT source, {_sql_size("t")} AS v FROM o JOIN documents USING (doc_id)), q AS (SELECT source, v, row_number() OVER (PARTITION BY source ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM s)
+ SELECT source, n::BIGINT AS n, round(sum(v) / n, 1) AS mean, min(v)::INT AS min, max(CASE WHEN i = floor(n * 0.5) THEN v END)::INT AS p50, max(CASE WHEN i = floor(n * 0.95) THEN v END)::INT AS p95, max(v)::INT AS max FROM q GROUP BY source, n""")
+def chunk_sizes(spark, sf):
+    """How long each source's chunks are."""
+    return statistics.indexed_summary(_chunked(spark, sf).select(F.col("source_system").alias("source"), F.col("tokens").alias("v")), "v", ["source"])
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9"''(\\[])', '\\1' || chr(30) || '\\2', 'g'), '\n{{2,}}', chr(30), 'g'), chr(30))) AS raw FROM documents), t AS (SELECT doc_id, {_sql_strip("raw")} AS s FROM s WHERE {_sql_strip("raw")} <> '')
+ SELECT d.doc_id, count(s)::BIGINT AS sentences, coalesce(sum({_sql_size("s")}), 0)::BIGINT AS tokens FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
+def sentence_sizes(spark, sf):
+    s = T.sentences(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.aggregate(F.transform(s, T.estimate_tokens), F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"))
+
+
 @query()
 def page_markdown(spark, sf):
     from ..sources.pages import extracted
