@@ -40,7 +40,8 @@ def build(raw: DataFrame, sizes: chunking.Sizes | None = None, dim: int = vector
         docs = docs if c in docs.columns else docs.withColumn(c, F.lit("prose" if c == "kind" else ""))
     chunks = chunking.chunked(docs, sizes)
     terms = statistics.embedder_idf(docs)
-    mark = vectors.fingerprint(dim, vectors.GRAM, 0)
+    # how many documents the weights were fitted to is part of the space's name: a refit is another space
+    mark = vectors.fingerprint(dim, vectors.GRAM, docs.count())
     return Index(docs, chunks, terms, _embedded(chunks, terms, dim, mark))
 
 

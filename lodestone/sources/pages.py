@@ -10,8 +10,10 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T, urls
+from ..operators.staging import small_side
 
 # Elements by how they are read.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -147,3 +149,22 @@ def crawl(web: DataFrame, seeds: DataFrame, max_depth: int = 2, thin: int = 40)
         if frontier.isEmpty():
             break
     return out.select(F.col("_key").alias("url"), "depth", "status")
+
+
+def sitemap_urls(maps: DataFrame, most: int = 5) -> DataFrame:
+    """Addresses that sitemaps name. maps: site, url, body (XML), the first `most` of a site by address. Rows (site, url,
+    is_index): entries of an index are further sitemaps, to be read like these."""
+    first = maps.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where(F.col("_n") <= most)
+    places = F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*([^<\]]+?)\s*(?:\]\]>)?\s*</loc>"), F.lit(1))
+    rows = first.select("site", F.explode(places).alias("url"), F.col("body").rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"))
+    return rows.withColumn("url", F.replace("url", F.lit("&amp;"), F.lit("&"))).distinct()
+
+
+def admitted(links: DataFrame, seen: DataFrame, sites: DataFrame, depth: int, max_depth: int = 2, most: int = 1000) -> DataFrame:
+    """What a crawl reads next. links: url, depth, nofollow; seen: url; sites: site. Followed links of the sites (or below
+    them), not seen, not too deep, each once, the first `most` of a site by address."""
+    url = urls.normalize_url(F.col("url"))
+    wanted = links.where(~F.col("nofollow") & (F.col("depth") <= min(depth, max_depth))).select(url.alias("url")).distinct().withColumn("_host", urls.host(F.col("url")))
+    inside = wanted.join(small_side(sites.select("site").distinct()), (F.col("_host") == F.col("site")) | F.col("_host").endswith(F.concat(F.lit("."), F.col("site"))))
+    fresh = inside.join(seen.select(urls.normalize_url(F.col("url")).alias("url")).distinct(), "url", "left_anti")
+    return fresh.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where(F.col("_n") <= most).select("site", "url")
