@@ -39,7 +39,7 @@ THRESHOLD, WORDS, RECALL, LEAF, LEVELS = 0.8, 5, 0.99999, 256, 4
 #: Samples besides each run's first: buckets choose among them what to split by, SPLITS at a time.
 POOL, SPLITS = 48, 2
 #: Representatives of a large group chosen at a time, and how often.
-REPRESENTATIVES, ROUNDS = 4, 3
+REPRESENTATIVES, ROUNDS = 4, 2
 
 
 def recall_of_run(threshold: float, levels: int = LEVELS) -> float:
@@ -180,17 +180,19 @@ def candidate_links(classes: DataFrame, runs: int, threshold: float, leaf: int =
             for r in range(runs):
                 yield pa.record_batch({"key": pa.array(mixed(s[:, r] + np.uint64(((r + 1) * _P) % 2**64)).view(np.int64)), "cid": b.column(0)})
 
-    placed = cut(classes.select("cid", "samples").mapInArrow(roots, "key long, cid long"))
+    held = classes.count() * runs
+    placed = cut(classes.select("cid", "samples").mapInArrow(roots, "key long, cid long"), held)
     tight, small, level = [], None, 0
     while True:
         # the members of each bucket, counted before they are moved; what is alone in its bucket goes
-        sizes = cut(placed.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1"))
+        sizes = cut(placed.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1"), held)
         few = met(placed, sizes.where(F.col("size") <= leaf), ["key"], "size").select("key", "cid")
         small = few if small is None else small.unionByName(few)
         large = sizes.where(F.col("size") > leaf)
-        if large.isEmpty():
+        held = large.agg(F.sum("size")).first()[0]
+        if not held:
             break
-        rows = cut(met(placed, large, ["key"], "size").select("key", "cid", "size", "least"))
+        rows = cut(met(placed, large, ["key"], "size").select("key", "cid", "size", "least"), held)
         if level == LEVELS:
             # what four splits have left together is few, and compared as a whole
             tight.append(rows.select(F.col("cid").alias("a"), F.col("least").alias("b")))
@@ -198,17 +200,17 @@ def candidate_links(classes: DataFrame, runs: int, threshold: float, leaf: int =
         spot = lambda j: runs + F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(POOL))  # noqa: B023, E731
         child = F.explode(F.array(*[F.xxhash64("key", F.lit(j), F.substring(F.col("samples"), (spot(j) * 4 + 1).cast("int"), F.lit(4))) for j in range(SPLITS)]))
         split = rows.join(classes.select("cid", "samples"), "cid").select(F.col("key").alias("parent"), F.col("size").alias("parent_size"), "cid", child.alias("key"))
-        split = cut(split)
+        split = cut(split, SPLITS * held)
         counts = split.groupBy("key", "parent", "parent_size").agg(F.count("*").alias("size"))
-        alike = cut(counts.groupBy("parent", "parent_size").agg(F.max(F.col("size") / F.col("parent_size")).alias("share"), (F.sum("size")).alias("_rows")).withColumnRenamed("parent", "key"))
-        dense = cut(_like_representatives(met(rows, alike.where("share >= 0.5").select("key", F.col("parent_size").alias("_rows")), ["key"], "_rows").select("key", "cid", "size"), classes, coordinates, floor))
+        alike = cut(counts.groupBy("parent", "parent_size").agg(F.max(F.col("size") / F.col("parent_size")).alias("share"), (F.sum("size")).alias("_rows")).withColumnRenamed("parent", "key"), held)
+        dense = cut(_like_representatives(met(rows, alike.where("share >= 0.5").select("key", F.col("parent_size").alias("_rows")), ["key"], "_rows").select("key", "cid", "size"), classes, coordinates, floor), held)
         near = dense.where("ball is not null").select(F.col("cid").alias("a"), F.col("ball").alias("b"))
         tight.append(near)
         # what is linked to a representative is done here; all others go on in their parts
         loose = alike.where("share < 0.5").select(F.col("key").alias("parent"), "_rows")
         rest = split.withColumnRenamed("key", "child").join(dense.where("ball is null").select(F.col("key").alias("parent"), "cid"), ["parent", "cid"], "left_semi").select(F.col("child").alias("key"), "cid")
-        placed = cut(met(split, loose, ["parent"], "_rows").select("key", "cid").unionByName(rest))
-        level += 1
+        placed = cut(met(split, loose, ["parent"], "_rows").select("key", "cid").unionByName(rest), SPLITS * held)
+        level, held = level + 1, SPLITS * held
     every = small.join(classes.select("cid", "samples"), "cid").select("key", "cid", "samples")
 
     @lean
@@ -293,7 +295,9 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
     part that comparisons link it to (`low`). groups: (cid, root) of what may be linked."""
     members = groups.join(classes.select("cid", "k1", "k2", "n", "copies"), "cid")
     about = members.groupBy("root").agg(F.count("*").alias("nodes"), F.sum(F.col("n").cast("long")).alias("grams"))
-    members = cut(met(members, about, ["root"], "nodes"))
+    about = cut(about)
+    nodes = about.agg(F.sum("nodes")).first()[0] or 0
+    members = cut(met(members, about, ["root"], "nodes"), nodes)
 
     @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,9 @@ BROADCAST_ROWS = 500_000
 #: Keys of a join with more rows than LIGHT_ROWS and than a share 1 / HEAVY_KEYS of all rows are met by broadcast.
 LIGHT_ROWS, HEAVY_KEYS = 256, 100_000
 
+#: Rows of a few longs for which a partition of its own is worth its files.
+PART_ROWS = 10_000
+
 #: Rows that Spark hands to Python at once: texts are some KB each, and each task holds a few batches outside the heap.
 BATCH_ROWS = 2000
 
@@ -80,10 +83,11 @@ def discarded(*tables: DataFrame) -> None:
         files.delete(place, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint, for small tables that are used several times."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a reliable checkpoint, for small tables that are used several times. rows: how many it has at most, where that
+    is known: it then has no more partitions than they need, PART_ROWS each, and what follows no more files."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(4, -(-rows // PART_ROWS)))).checkpoint(eager=True)
 
 
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -95,8 +99,11 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def met(big: DataFrame, small: DataFrame, key: list[str], rows: str, how: str = "inner") -> DataFrame:
     """big joined with small, which has one row a key and in `rows` how many rows of big have that key. Keys of many
     rows never share a task: those that have more than a share 1 / HEAVY_KEYS of all rows, so fewer than HEAVY_KEYS of
-    them, are broadcast; the rest is joined by shuffle."""
-    total = small.agg(F.sum(rows)).first()[0] or 0
+    them, are broadcast; the rest is joined by shuffle. If small has no more rows than that, all of it is broadcast."""
+    about = small.agg(F.sum(rows).alias("rows"), F.count("*").alias("keys")).first()
+    if about["keys"] <= HEAVY_KEYS:
+        return big.join(F.broadcast(small), key, how)
+    total = about["rows"] or 0
     heavy = F.col(rows) > max(LIGHT_ROWS, total // HEAVY_KEYS)
     few = F.broadcast(small.where(heavy))
     light = big.join(F.broadcast(small.where(heavy).select(*key)), key, "left_anti")
@@ -112,18 +119,21 @@ def linked_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     e = cut(edges.where("a is not null and b is not null and a <> b")
             .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    n = e.count()
+    e = e.coalesce(max(4, -(-n // PART_ROWS)))
     for _ in range(max_rounds):
-        if e.isEmpty():
+        if not n:
             break
         both = e.select(F.col("hi").alias("v"), "lo").union(e.select(F.col("lo").alias("v"), F.col("hi").alias("lo")))
-        least = cut(both.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")).select("v", F.least("v", "m").alias("m"), "_rows"))
+        least = cut(both.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")).select("v", F.least("v", "m").alias("m"), "_rows"), 2 * n)
         wide = cut(met(both, least, ["v"], "_rows").where("lo > v and lo <> m").select(F.col("lo").alias("v"), F.col("m").alias("lo"))
-                   .union(least.where("v <> m").select("v", F.col("m").alias("lo"))).distinct())
-        low = cut(wide.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")))
+                   .union(least.where("v <> m").select("v", F.col("m").alias("lo"))).distinct(), 2 * n)
+        low = cut(wide.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")), 2 * n)
         new = cut(met(wide, low, ["v"], "_rows").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                  .union(low.select(F.col("v").alias("hi"), F.col("m").alias("lo"))).distinct())
-        settled = new.count() == e.count() and new.join(e, ["hi", "lo"], "left_anti").isEmpty()
-        e = new
+                  .union(low.select(F.col("v").alias("hi"), F.col("m").alias("lo"))).distinct(), 2 * n)
+        many = new.count()
+        settled = many == n and new.join(F.broadcast(e) if n <= HEAVY_KEYS else e, ["hi", "lo"], "left_anti").isEmpty()
+        e, n = new, many
         if settled:
             break
     else:
