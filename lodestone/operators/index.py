@@ -69,13 +69,18 @@ def append_journal(spark: SparkSession, path: str, cycle: int, phase: str, paylo
     spark.createDataFrame([(cycle, phase, json.dumps(payload, sort_keys=True))], "cycle int, phase string, payload string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def newest(rows: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
+    """rows with the latest first; of many, each partition keeps no more than `most`."""
+    rows = rows.orderBy(*[F.desc(c) for c in order])
+    return rows if most is None else rows.limit(most)
+
+
 def read_journal(spark: SparkSession, path: str, limit: int | None = None, cycle: int | None = None) -> DataFrame:
     """The newest entries first, or one cycle's in order."""
     rows = spark.read.parquet(path)
     if cycle is not None:
         return rows.where(F.col("cycle") == cycle).orderBy("at")
-    rows = rows.orderBy(F.desc("at"))
-    return rows.limit(limit) if limit is not None else rows
+    return newest(rows, ["at"], limit)
 
 
 def stale_cursor(cursor: DataFrame, documents: DataFrame) -> DataFrame:

@@ -61,10 +61,10 @@ def gram_frequency(spark, sf):
     return terms.select(F.explode(F.array_distinct(T.char_ngrams(F.col("term")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("terms"))
 
 
-@query("""SELECT source, count(*)::BIGINT AS documents, count(l.doc_id)::BIGINT AS embedded, round(count(l.doc_id) / count(*), 4) AS coverage
- FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""")
+@query("""SELECT source, count(*)::BIGINT AS documents, count(e.vec_id)::BIGINT AS embedded, round(count(e.vec_id) / count(*), 4) AS coverage
+ FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id GROUP BY source""")
 def corpus_stats(spark, sf):
-    return statistics.corpus_stats(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "source")
+    return statistics.corpus_stats(table(spark, sf, "documents"), table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "source")
 
 
 @query("""WITH s AS (SELECT lang, length(text) AS v, row_number() OVER (PARTITION BY lang ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
@@ -132,16 +132,13 @@ def filtered_documents(spark, sf):
     return docs.where(matching({"source": ["src1", "src2", "src3"], "exclude_source": ["src2"], "uri_prefix": "DOC://src", "at_least": ("n_chars", 500)}, source="source", uri="uri")).where("lang is not null").select("doc_id", "source", "lang")
 
 
-@query("""SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 0)""")
+@query("""SELECT d.doc_id AS chunk_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id AND e.label % 2 = 0)""")
 def missing_embeddings(spark, sf):
-    current = table(spark, sf, "labels").where("toxic = 0").select("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "source").join(current, "doc_id", "left_anti")
+    """Rows without a vector, or with one of another space only."""
+    from ..operators.index import missing_vectors
 
-
-@query("""SELECT l.doc_id, coalesce(d.source || '/' || d.doc_id, '') AS title, l.quality FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
-def chunk_titles(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"))
-    return table(spark, sf, "labels").join(docs, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), "quality")
+    made = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("space:"), F.col("label") % 2).alias("fingerprint"))
+    return missing_vectors(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source"), made, "space:0")
 
 
 _SNAPSHOTS = """WITH a AS (SELECT source, doc_id, substr(sha256(CASE WHEN lang = 'de' THEN lower(text) ELSE text END || chr(31)), 1, 16) AS h FROM documents WHERE source <> 'src3'),
@@ -191,7 +188,9 @@ def guarded_prune(spark, sf):
 
 @query("""SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50""")
 def journal_tail(spark, sf):
-    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
+    from ..operators.index import newest
+
+    return newest(table(spark, sf, "events"), ["ts", "event_id"], 50).select("event_id", "user_id", "event_type")
 
 
 _HEALTH = """WITH t AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, count(*) AS runs, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 4) AS failure_rate, max(CASE WHEN event_type <> 'error' THEN ts END) AS ok FROM events GROUP BY user_id),
@@ -313,6 +312,23 @@ def chunk_sizes(spark, sf):
     return statistics.indexed_summary(_chunked(spark, sf).select(F.col("source_system").alias("source"), F.col("tokens").alias("v")), "v", ["source"])
 
 
+@query(_CHUNKS + """SELECT o.doc_id::VARCHAR AS doc_id, place::INT AS ordinal, coalesce(d.source || '/' || d.doc_id, '') AS title FROM o LEFT JOIN (SELECT * FROM documents WHERE source <> 'src3') d ON d.doc_id = o.doc_id""")
+def chunk_titles(spark, sf):
+    """Chunks with their documents' titles; those of unknown documents stay, without one."""
+    docs = table(spark, sf, "documents").where("source <> 'src3'").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"))
+    return _chunked(spark, sf).join(docs, "doc_id", "left").select("doc_id", "ordinal", F.coalesce("name", F.lit("")).alias("title"))
+
+
+@query(_CHUNKS + """SELECT o.doc_id::VARCHAR AS doc_id, place::INT AS ordinal FROM o JOIN documents d ON d.doc_id = o.doc_id JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0) l ON l.doc_id = o.doc_id WHERE d.lang = 'en' AND d.source <> 'src5'""")
+def filtered_chunks(spark, sf):
+    """Chunks whose documents pass filters: their columns by a join, a long list of ids by a semi-join."""
+    from ..operators.filters import in_documents, matching
+
+    docs = table(spark, sf, "documents").where(matching({"exclude_source": ["src5"]}, source="source")).where("lang = 'en'").select(F.col("doc_id").cast("string").alias("doc_id"))
+    known = table(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return in_documents(_chunked(spark, sf).join(docs, "doc_id"), known, "doc_id").select("doc_id", "ordinal")
+
+
 @query(f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9"''(\\[])', '\\1' || chr(30) || '\\2', 'g'), '\n{{2,}}', chr(30), 'g'), chr(30))) AS raw FROM documents), t AS (SELECT doc_id, {_sql_strip("raw")} AS s FROM s WHERE {_sql_strip("raw")} <> '')
  SELECT d.doc_id, count(s)::BIGINT AS sentences, coalesce(sum({_sql_size("s")}), 0)::BIGINT AS tokens FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
 def sentence_sizes(spark, sf):
