@@ -107,16 +107,14 @@ def test_auc_and_floors(spark):
 
 def test_contamination_finds_changed_and_repetitive_passages(spark):
     from lodestone.functions import text as T
-    from lodestone.operators import statistics
 
     words = [f"word{chr(97 + k)}" for k in range(20)]
     chant = " ".join(["hum"] * 36 + ["alpha", "beta", "gamma", "delta"])
     docs = [(0, " ".join(["start", *words[:18], "other", "end"])), (1, " ".join(words[::-1])), (2, " ".join(words[:10])), (3, " ".join(["hum"] * 36)), (4, "hum alpha words of no passage")]
     asked = [(0, " ".join(words)), (1, chant), (2, "beta unseenterm")]
     d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")
-    idf = statistics.idf_table(d, T.tokens(F.col("text")))
-    got = {(r.item_id, r.doc_id): (r.kind, r.score) for r in evaluation.contamination(d, q, "doc_id", "item_id", idf, T.tokens).collect()}
+    got = {(r.item_id, r.doc_id): (r.kind, r.score) for r in evaluation.contamination(d, q, "doc_id", "item_id", T.tokens).collect()}
     assert got == {(0, 0): ("verbatim", 0.9), (0, 1): ("overlap", 1.0), (1, 3): ("verbatim", 0.9)}
     # of "alpha unseenterm", a document with alpha alone has a small share of the weight
     few = spark.createDataFrame([(0, "alpha unseenterm")], "item_id long, text string")
-    assert evaluation.contamination(d, few, "doc_id", "item_id", idf, T.tokens).count() == 0
+    assert evaluation.contamination(d, few, "doc_id", "item_id", T.tokens).count() == 0
