@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_ROWS, cut, discarded, lean, linked_groups, met, semi_by_id, staged
+from .shared import BROADCAST_ROWS, cut, discarded, grouped, lean, linked_groups, met, semi_by_id, staged
 from .textarrays import Texts, mixed, ngram_hashes, text_slices, _P
 
 THRESHOLD, WORDS, RECALL, LEAF, LEVELS = 0.8, 5, 0.99999, 256, 4
@@ -100,24 +100,6 @@ def sketches(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n int, samples binary")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Rows of equal key, which follow one another, as one batch each; of rows across batches only one key's are held."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            part = b.slice(lo, hi - lo)
-            if held and held[0].column(b.schema.get_field_index(key))[0] != part.column(b.schema.get_field_index(key))[0]:
-                yield pa.concat_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.concat_batches(held)
-
-
 def labels_of(near: np.ndarray) -> np.ndarray:
     """The smallest member of each member's connected part, for a symmetric matrix of links."""
     n = len(near)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,24 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows of equal key, which follow one another, as one batch each; of rows across batches only one key's are held."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = b.slice(lo, hi - lo)
+            if held and held[0].column(b.schema.get_field_index(key))[0] != part.column(b.schema.get_field_index(key))[0]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is configured, a local session (tests) gets a folder of its
     own; a cluster is refused, since its machines would not see that folder."""
