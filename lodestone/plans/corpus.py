@@ -284,8 +284,8 @@ _CHUNKS = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_sql_strip("text")} A
  g AS (SELECT doc_id, run, 0::BIGINT AS k, 0::BIGINT AS f, 0::HUGEINT AS fx, NULL::BIGINT AS ef FROM c WHERE k = 0
   UNION ALL SELECT g.doc_id, g.run, c.k, CASE WHEN c.x - fx + c.z > 320 THEN greatest(f, back) ELSE f END, CASE WHEN c.x - fx + c.z > 320 THEN greatest(fx, backx) ELSE fx END, CASE WHEN c.x - fx + c.z > 320 THEN f END FROM g JOIN c ON c.doc_id = g.doc_id AND c.run = g.run AND c.k = g.k + 1),
  e AS (SELECT doc_id, run, ef AS a, k AS b FROM g WHERE ef IS NOT NULL UNION ALL SELECT doc_id, run, max_by(f, k), max(k) + 1 FROM g GROUP BY doc_id, run),
- pc AS (SELECT e.doc_id, e.run, e.a, CASE WHEN apart THEN string_agg(t, chr(10) ORDER BY k) ELSE string_agg(t, ' ' ORDER BY k) END AS t FROM e JOIN r ON r.doc_id = e.doc_id AND r.run = e.run AND r.k >= e.a AND r.k < e.b GROUP BY e.doc_id, e.run, e.a, apart),
- p AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY run, a) - 1 AS p, length(t) AS n, length(t) - length(translate(t, ' ' || chr(10), '')) AS br FROM pc),
+ pc AS (SELECT e.doc_id, e.run, e.a, e.b, CASE WHEN apart THEN string_agg(t, chr(10) ORDER BY k) ELSE string_agg(t, ' ' ORDER BY k) END AS t FROM e JOIN r ON r.doc_id = e.doc_id AND r.run = e.run AND r.k >= e.a AND r.k < e.b GROUP BY e.doc_id, e.run, e.a, e.b, apart),
+ p AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY run, a, b) - 1 AS p, length(t) AS n, length(t) - length(translate(t, ' ' || chr(10), '')) AS br FROM pc),
  m AS (SELECT doc_id, 0::BIGINT AS p, n::BIGINT AS n, br::BIGINT AS br, 0 AS grp FROM p WHERE p = 0
   UNION ALL SELECT m.doc_id, p.p, CASE WHEN j THEN m.n + p.n + 2 ELSE p.n END, CASE WHEN j THEN m.br + p.br + 2 ELSE p.br END, CASE WHEN j THEN grp ELSE grp + 1 END FROM m JOIN p ON p.doc_id = m.doc_id AND p.p = m.p + 1, LATERAL (SELECT greatest(p.br + 1, p.n // 4) < 32 AND greatest(m.br + 1, m.n // 4) + greatest(p.br + 1, p.n // 4) <= 640 AS j)),
  gs AS (SELECT doc_id, grp, max_by(greatest(br + 1, n // 4), p) AS z FROM m GROUP BY doc_id, grp), f AS (SELECT a.doc_id FROM gs a JOIN gs b ON a.doc_id = b.doc_id AND a.grp = 0 AND b.grp = 1 WHERE a.z < 32 AND a.z + b.z <= 640),
