@@ -14,8 +14,9 @@ compared, so a passage of a third of all documents is spread over ranges and sti
 
 A passage is a repeat if an equal one begins earlier, in a document of smaller id or before it in the same document; the
 earliest stays. Words are as everywhere here (cut at ASCII white space), compared as 32-bit hashes, PASSAGE in a row.
-Null, empty and short texts have no repeats. Rows without doc_id are left alone. Rows with one id are one document.
-Texts are taken whole, of any length. An empty table has no repeats. Columns other than doc_id and text (and n_chars in
+Null, empty and short texts have no repeats. Rows without doc_id are left alone. Rows with one id and one text are one
+document; different texts of one id are different documents, in the order of a hash of their texts: only then are all
+documents numbered by a sort of ids and hashes, without texts. Texts are taken whole, of any length. An empty table has no repeats. Columns other than doc_id and text (and n_chars in
 ``without_repeats``) only pass through there, whatever their names.
 """
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import BROADCAST_ROWS, discarded, lean, semi_by_id, staged
 from .textarrays import mixed, ngram_hashes, powers, sliding, text_slices, _P, _P_INVERSE
@@ -288,8 +290,44 @@ def _later_ones(found: DataFrame) -> DataFrame:
     return body.where("hash is null").select("doc_id", "start", "source").unionByName(opened)
 
 
+def _numbers(docs: DataFrame) -> DataFrame | None:
+    """doc_id, text_hash and number of every document, in the order of both, if an id has different texts; else None."""
+    each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    if each.groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").isEmpty():
+        return None
+    w = Window.partitionBy("part").orderBy("doc_id", "text_hash")
+    ranged = staged(each.distinct().repartitionByRange("doc_id", "text_hash").withColumn("part", F.spark_partition_id()), "documents-in-order")
+    # one row for each range: how many documents are before it
+    before, total = {}, 0
+    for part, n in sorted(ranged.groupBy("part").count().collect()):
+        before[part], total = total, total + n
+    at = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    return staged(ranged.select("doc_id", "text_hash", (F.element_at(at, F.col("part")) + F.row_number().over(w)).cast("long").alias("number")), "numbers")
+
+
+def _with_number(docs: DataFrame, numbers: DataFrame | None, name: str) -> DataFrame:
+    """docs with each document's number: its id, unless documents are numbered."""
+    if numbers is None:
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    n = numbers.select(F.col("doc_id").alias(f"{name}_id"), F.col("text_hash").alias(f"{name}_hash"), F.col("number").alias(name))
+    same = (docs["doc_id"].cast("long") == n[f"{name}_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == n[f"{name}_hash"])
+    return docs.join(n, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], name)
+
+
 def repeated_spans(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, block: int = BLOCK) -> DataFrame:
     """doc_id, start and end (words), n_words and sources (documents in which the repeated passages occur first)."""
+    docs = docs.select("doc_id", "text")
+    numbers = _numbers(docs)
+    if numbers is None:
+        return _spans(docs, passage, prefix, block)
+    spans = staged(_spans(_with_number(docs, numbers, "number").select(F.col("number").alias("doc_id"), "text"), passage, prefix, block), "numbered-spans")
+    ids = numbers.select("number", F.col("doc_id").alias("id"))
+    sources = spans.select("doc_id", "start", F.explode("sources").alias("number")).join(ids, "number").groupBy("doc_id", "start").agg(F.sort_array(F.collect_set("id")).alias("sources"))
+    return spans.drop("sources").join(sources, ["doc_id", "start"]).withColumnRenamed("doc_id", "number").join(ids, "number").select(F.col("id").alias("doc_id"), "start", "end", "n_words", "sources")
+
+
+def _spans(docs: DataFrame, passage: int, prefix: int, block: int) -> DataFrame:
+    """The same where every id has one text."""
     if not SORTED_WORDS <= prefix <= passage:
         raise ValueError("a prefix has at least four words and no more than a passage")
     kept = staged(suffixes(docs, passage, prefix), "suffixes")
@@ -322,14 +360,20 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX
     return flagged.mapInArrow(merge, "doc_id long, start int, end int, n_words int, sources array<long>")
 
 
-def without_repeats(docs: DataFrame, **settings) -> DataFrame:
+def without_repeats(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, block: int = BLOCK) -> DataFrame:
     """docs with their repeated spans cut out of text (and n_chars set anew, if there); documents of which no word is
     left go. Documents without repeats stay as they are. Columns may have any names."""
     names = docs.columns
-    of, at = (next(x for k in range(len(names) + 1) if (x := f"{want}{k}") not in {n.lower() for n in names}) for want in ("spans_of_", "spans_"))
-    spans = staged(repeated_spans(docs, **settings).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start", "end")).alias(at)), "spans")
-    few = spans.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
-    joined = docs.join(F.broadcast(spans) if few else spans.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(of), "left").select(*[F.col(f"`{n}`") for n in names], at)
+    of, at, number = (next(x for k in range(len(names) + 1) if (x := f"{want}{k}") not in {n.lower() for n in names}) for want in ("spans_of_", "spans_", "number_"))
+    numbers = _numbers(docs.select("doc_id", "text"))
+    docs = _with_number(docs, numbers, number)
+    found = _spans(docs.select(F.col(number).alias("doc_id"), "text"), passage, prefix, block)
+    spans = staged(found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start", "end")).alias(at)), "spans")
+    # by broadcast if all lists together are small: 8 bytes a span, and as much again for each list
+    size = spans.agg(F.sum(F.size(at) + 4)).first()[0] or 0
+    few = size <= BROADCAST_ROWS
+    joined = docs.join(F.broadcast(spans) if few else spans.hint("shuffle_merge"), F.col(number) == F.col(of), "left").select(*[F.col(f"`{n}`") for n in names], at)
+    schema = docs.select(*[F.col(f"`{n}`") for n in names]).schema
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,4 +402,4 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
                 arrays["n_chars"] = pa.array([o if s is None else len(t) for o, s, t in zip(old.to_pylist(), spans_at.to_pylist(), texts, strict=True)], old.type)
             yield pa.record_batch(arrays).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema)
