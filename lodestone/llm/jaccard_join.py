@@ -16,7 +16,8 @@ representatives. The work is linear for a group of copies that are all close to
 
 Texts with the same set of n-grams are one node, with a number of copies, before anything is compared. A text of fewer
 words than n has one n-gram, all its words; null texts and texts without words have none, and so no links. Rows without
-doc_id are returned with a null class and no links. Rows that repeat count as documents, rows without doc_id as nobody's
+doc_id are returned with a null class and no links. Different texts of one id are different documents, each with the class
+and links of its text. Rows that repeat count as documents, rows without doc_id as nobody's
 link. Other columns are not read, whatever their names. An empty table gives an empty result. Memory is bounded by the
 blocks compared, not by groups; a text of any length is taken whole, in one task.
 """
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,8 +84,12 @@ def _ids_and_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             yield b.column(0).slice(t.first, t.n), h, size, full, begin, keys.view(np.int64)
 
 
+def _text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def sketches(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
-    """doc_id, the set's identity (k1, k2) and size, and its samples, 4 bytes each."""
+    """doc_id, a hash of the text, the set's identity (k1, k2) and size, and its samples, 4 bytes each."""
     orders = np.random.default_rng(5).integers(1, 2**62, coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
 
     @lean
@@ -95,9 +100,10 @@ def sketches(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
                 sample[full, c] = (np.minimum.reduceat(h * orders[c], begin[full]) >> np.uint64(32)).astype(np.uint32)
             raw = sample.tobytes()
             width = 4 * coordinates
-            yield pa.record_batch({"doc_id": ids, "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "n": pa.array(size, pa.int32()), "samples": pa.array([raw[i * width : (i + 1) * width] for i in range(len(size))], pa.binary())})
+            yield pa.record_batch({"doc_id": ids.field(0), "text_hash": ids.field(1), "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "n": pa.array(size, pa.int32()), "samples": pa.array([raw[i * width : (i + 1) * width] for i in range(len(size))], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n int, samples binary")
+    named = docs.select(F.struct(F.col("doc_id").cast("long"), _text_hash()).alias("name"), "text")
+    return named.mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, n int, samples binary")
 
 
 def labels_of(near: np.ndarray) -> np.ndarray:
@@ -275,7 +281,7 @@ def covered(full: DataFrame, threshold: float, leaf: int) -> DataFrame:
 def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int, threshold: float, leaf: int = LEAF) -> DataFrame:
     """For each node with links: how many documents it is linked to outside its own copies, and a node of its connected
     part that comparisons link it to (`low`). groups: (cid, root) of what may be linked."""
-    members = groups.join(classes.select("cid", "k1", "k2", "n", "copies"), "cid")
+    members = groups.join(classes.select("cid", "least_id", "k1", "k2", "n", "copies"), "cid")
     about = members.groupBy("root").agg(F.count("*").alias("nodes"), F.sum(F.col("n").cast("long")).alias("grams"))
     about = cut(about)
     nodes = about.agg(F.sum("nodes")).first()[0] or 0
@@ -284,11 +290,11 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
     @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, size, _, begin, keys in _ids_and_sets(batches, n):
-            yield pa.record_batch({"cid": ids, "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "grams_set": pa.array([np.sort(h[begin[i] : begin[i + 1]]).tobytes() for i in range(len(size))], pa.binary())})
+            yield pa.record_batch({"least_id": ids, "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "grams_set": pa.array([np.sort(h[begin[i] : begin[i + 1]]).tobytes() for i in range(len(size))], pa.binary())})
 
-    texts = semi_by_id(docs.select(F.col("doc_id").cast("long").alias("cid"), "text"), members.select("cid"), "cid")
+    texts = semi_by_id(docs.select(F.col("doc_id").cast("long").alias("least_id"), "text"), members.select("least_id").distinct(), "least_id")
     # rows that share an id and a set of n-grams stand for one node
-    found = texts.mapInArrow(sets, "cid long, _k1 long, _k2 long, grams_set binary").join(members, "cid").where("k1 = _k1 and k2 = _k2")
+    found = texts.mapInArrow(sets, "least_id long, k1 long, k2 long, grams_set binary").join(members, ["least_id", "k1", "k2"])
     full = found.dropDuplicates(["cid"])
     full = staged(full.select("cid", "root", "copies", "nodes", "grams", "grams_set"), "ngram-sets")
     wide = F.greatest(F.ceil(F.col("nodes") * 2 / leaf), F.ceil(F.col("grams") / 2_000_000)).cast("long")
@@ -359,29 +365,39 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int,
     return links
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
-    """doc_id, class_id (the smallest id of those linked to it, directly or over others) and n_links."""
+def _classified(docs: DataFrame, threshold: float, words: int, recall: float, leaf: int) -> DataFrame:
+    """doc_id, text_hash, class_id and n_links of every row."""
     runs = runs_for(recall, threshold)
     sketch = staged(sketches(docs, words, runs + POOL), "sketches")
-    classes = (sketch.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"), F.count("doc_id").alias("copies"), F.count("*").alias("_rows"), F.first("samples").alias("samples"))
-               .where("cid is not null"))
-    # two different sets may have one smallest id only where an id repeats with different texts; one of them stands for it
+    # a node is a set of n-grams, so one id with different texts is as many nodes
+    classes = (sketch.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least_id"), F.count("doc_id").alias("copies"), F.count("*").alias("_rows"), F.first("samples").alias("samples"))
+               .where("least_id is not null").withColumn("cid", F.xxhash64("k1", "k2", "n")))
     classes = staged(classes, "classes")
     groups = linked_groups(candidate_links(classes, runs, threshold, leaf)).withColumnRenamed("node", "cid")
     links = exact_links(docs, classes, groups, words, threshold, leaf)
-    roots = linked_groups(links.select(F.col("cid").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cid")
-    counted = links.groupBy("cid").agg(F.sum("links").alias("links")).join(roots, "cid", "left")
-    known = staged(classes.select("k1", "k2", "cid", "copies", "_rows").join(counted, "cid", "left"), "counted-classes")
+    roots = cut(linked_groups(links.select(F.col("cid").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cid").join(classes.select("cid", "least_id"), "cid"))
+    least = cut(roots.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("_rows")))
+    named = met(roots.select("cid", "root"), least, ["root"], "_rows").select("cid", "class_id")
+    counted = links.groupBy("cid").agg(F.sum("links").alias("links")).join(named, "cid", "left")
+    known = staged(classes.select("k1", "k2", "cid", "least_id", "copies", "_rows").join(counted, "cid", "left"), "counted-classes")
     discarded(classes)
     # texts without words have no set and meet nothing
-    wordless = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    rows = met(sketch.where("n > 0 and doc_id is not null").select("doc_id", "k1", "k2"), known, ["k1", "k2"], "_rows")
-    linked = rows.select("doc_id", F.coalesce("root", "cid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    wordless = sketch.where("n = 0 or doc_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    rows = met(sketch.where("n > 0 and doc_id is not null").select("doc_id", "text_hash", "k1", "k2"), known, ["k1", "k2"], "_rows")
+    linked = rows.select("doc_id", "text_hash", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     return linked.unionByName(wordless)
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
+    """doc_id, class_id (the smallest id of those linked to it, directly or over others) and n_links."""
+    return _classified(docs, threshold, words, recall, leaf).drop("text_hash")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """docs without the documents that have a smaller id in their class; all columns stay."""
-    away = cut(near_duplicates(docs, **settings).where("class_id <> doc_id").select("doc_id").distinct())
+    names = docs.columns
+    of, key = (next(x for k in range(len(names) + 1) if (x := f"{want}{k}") not in {n.lower() for n in names}) for want in ("away_", "text_"))
+    away = cut(_classified(docs, threshold, words, recall, leaf).where("class_id <> doc_id").select(F.col("doc_id").alias(of), F.col("text_hash").alias(key)).distinct())
     few = away.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(away) if few else away.hint("shuffle_merge"), "doc_id", "left_anti")
+    same = (F.col("doc_id").cast("long") == F.col(of)) & (_text_hash() == F.col(key))
+    return docs.join(F.broadcast(away) if few else away.hint("shuffle_merge"), same, "left_anti")
