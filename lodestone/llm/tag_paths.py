@@ -7,7 +7,11 @@ blocks above a threshold (a share of the spread of all) are content nodes. The c
 element that holds most of their score, or else the smallest element that holds nearly all of it, with what is around it
 and passes the threshold by its own path, and titles and leads next to it (kept_around); every block there is kept, whatever its own length, except those in elements that are no text (menus, page headers, footers, asides, forms,
 scripts) and in parts whose class, id or role names a sidebar, notice, advert, reader comments or the like and whose path
-ratio is low for such a name. Headings, layout switches (has-sidebar) and an article's own header are never left out so.
+ratio is low for such a name. Comments, replies, notices and promotions may be prose, so a block-level part of such a name
+goes unless it holds most of the page; but a section that opens with a heading of its own, is named by its id alone by a
+word that is also a subject (discussion, notice) and does not consist of entries (elements of one path that each begin with
+a byline, a time or a reply link) is a section of the article. Headings, table cells, layout switches (has-sidebar) and an
+article's own header are never left out so.
 
 Null and empty html give an empty text, and so do pages with nothing but such parts. Damaged markup is read as browsers
 do where it is cheap: unclosed paragraphs and list items end at the next one, stray end tags are dropped. Scripts and
@@ -41,9 +45,13 @@ _CLOSES_P = _BLOCK - set("body html option optgroup".split())
 _ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = set("ul ol dl table article section div main body html blockquote td th aside nav footer header form".split())
 # Words of class, id and role that name a part which is not the main text.
-_NOISE = set("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent gdpr footer header masthead menu menubar nav navbar navigation newsletter notice notices notification alert popup modal overlay promo promoted promotion recommended recommendations related rail share sharing sidebar sidenav social sponsor sponsored subscribe subscription signup login search toolbar toc widget widgets pager pagination contentinfo complementary dialog paywall outbrain taboola reply replies feedback discussion skip".split())
+_NOISE = set("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent gdpr footer header masthead menu menubar nav navbar navigation newsletter notice notices notification alert popup modal overlay promo promoted promotion recommended recommendations related rail share sharing sidebar sidenav social sponsor sponsored subscribe subscription signup login search toolbar toc widget widgets pager pagination contentinfo complementary dialog paywall outbrain taboola reply replies feedback discussion skip responses notifications".split())
 # Those of them that are also ordinary subjects or parts of an article.
 _AMBIGUOUS = set("alert banner comment consent dialog discussion feedback footer header login masthead menu modal navigation notice notices notification overlay popup promotion rail recommended recommendations related reply replies search share sharing signup skip social subscribe subscription toolbar widget widgets".split())
+# Names of what readers or the site add, which may be prose; those of them that are subjects too.
+_ADDED = set("alert comment comments commentlist discussion feedback notice notices notification notifications promo promoted promotion replies reply respond responses".split())
+_SUBJECT = set("alert discussion feedback notice notices notification notifications promotion responses".split())
+_CELLS = set("dd dt td th tr tbody table pre".split())
 _MODIFIER = re.compile(r"(?:has|no|not|is|with|without|hide|show)[-_]")
 _OWN_HEADER = set("article chapter content entry page post section story title".split())
 _MAIN = set("articlebody mainentity".split())
@@ -76,7 +84,7 @@ def _noise(value: str, article: bool) -> set[str]:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header", "foreign", "embedded", "mark", "named", "certain", "muted", "code", "paths")
+    __slots__ = ("tag", "parent", "path", "dropped", "main", "depth", "header", "foreign", "embedded", "mark", "named", "certain", "added", "muted", "code", "paths")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
@@ -85,6 +93,7 @@ class _Element:
         self.foreign = tag in _FOREIGN or bool(parent and parent.foreign) and tag not in ("foreignobject", "desc")
         self.embedded = self if tag in _EMBEDDED else parent and parent.embedded
         name, noisy, certain, hidden, main = tag, False, False, False, tag in ("article", "main")
+        added: set[tuple[str, str]] = set()
         inline = tag not in _BLOCK
         article = bool(parent and (parent.main or parent.header == "main"))
         if attrs:
@@ -95,6 +104,7 @@ class _Element:
                     if not (k == "id" and inline):
                         found = _noise(v, article)
                         noisy |= bool(found)
+                        added |= {(k, x) for x in found & _ADDED}
                         certain |= k == "role" and bool(found) or not found <= _AMBIGUOUS
                     main |= k == "role" and words == ["main"]
                     if k == "class":
@@ -112,6 +122,8 @@ class _Element:
         outer = parent and parent.named
         self.code = tag in ("pre", "code") or bool(parent and parent.code)
         self.certain = certain
+        #: names what readers or the site added: 2 if surely, 1 if it may name a subject
+        self.added = 0 if inline or not added or tag in _CELLS else 1 if tag == "section" and all(k == "id" and x in _SUBJECT for k, x in added) else 2
         self.named = self if noisy and not (main and not (tag == "article" and inside)) and tag not in _NEVER_NAMED and not (inline and self.code) else outer
         self.muted = inline and (bool(parent and parent.muted) or self.named is self and certain)
         # paths are numbered by the path above and the last step, so that depth costs nothing
@@ -219,10 +231,27 @@ def path_ratios(blocks: list[tuple[str, _Element]]) -> tuple[np.ndarray, np.ndar
     return (np.bincount(which, chars) / count)[which], (np.bincount(which, marks) / count)[which]
 
 
+_BYLINE = 60
+_REPLY = re.compile(r"\b(?:reply|replies|says|said|wrote|ago|\d{1,2}:\d\d|\d{4})\b", re.I)
+
+
+def own_section(part: _Element, inside: list[tuple[str, _Element]]) -> bool:
+    """Whether a part named by a subject is a section of the article: it opens with a heading and is no list of entries."""
+    if inside[0][1].tag not in _TITLES:
+        return False
+    entries: dict[int, dict[_Element, str]] = {}
+    for text, e in inside:
+        node = e.parent if e.tag not in ("li", "div", "article") else e
+        if node is not part and node.depth > part.depth:
+            entries.setdefault(node.path, {}).setdefault(node, text)
+    return not any(len(found) > 1 and 2 * sum(len(t) < _BYLINE and bool(_REPLY.search(t)) for t in found.values()) >= len(found) for found in entries.values())
+
+
 def without_named(blocks: list[tuple[str, _Element]]) -> list[tuple[str, _Element]]:
     """blocks but for those in parts whose names say that they are not the main text and whose path ratios agree. A name
     lowers a part's ratio to a quarter, or not at all if the word is ambiguous; the part goes if that is below the ratio
-    of the unnamed blocks (half of it for an ambiguous word). It stays if it holds most of the page's lowered score, or
+    of the unnamed blocks (half of it for an ambiguous word), and whatever its ratio if it names what readers or the site
+    added, unless that is a section of the article (own_section). It stays if it holds most of the page's lowered score, or
     is a section that shares its paths with unnamed blocks. If nothing would be left, nothing goes."""
     if not any(e.named for _, e in blocks):
         return blocks
@@ -250,10 +279,19 @@ def without_named(blocks: list[tuple[str, _Element]]) -> list[tuple[str, _Elemen
         outer = node.parent and node.parent.named
         if outer:
             whole[outer] = [x + y for x, y in zip(whole[outer], whole[node], strict=True)]
+    maybe: dict[_Element, list[tuple[str, _Element]]] = {e: [] for e in whole if e.added == 1}
+    for text, e in blocks if maybe else ():
+        node = e.named
+        while node:
+            if node in maybe:
+                maybe[node].append((text, e))
+                break
+            node = node.parent and node.parent.named
+    added = {e: e.added == 2 or e.added == 1 and bool(maybe[e]) and not own_section(e, maybe[e]) for e in whole}
     surely: dict[_Element, bool] = {}
     for node in inward:
         outer = node.parent and node.parent.named
-        surely[node] = node.certain or bool(outer and surely[outer])
+        surely[node] = node.certain or added[node] or bool(outer and surely[outer])
     total = level[0] + sum(sums[0] * (0.25 if surely[e] else 1.0) for e, sums in own.items())
     gone: set[_Element] = set()
     for node in inward:
@@ -262,10 +300,10 @@ def without_named(blocks: list[tuple[str, _Element]]) -> list[tuple[str, _Elemen
             gone.add(node)
             continue
         held, length, shared = whole[node]
-        most = held * (0.25 if node.certain else 1.0) > 0.5 * total
-        series = node.tag == "section" and shared * 2 >= length
+        most = held * (0.25 if node.certain or added[node] else 1.0) > 0.5 * total
+        series = node.tag == "section" and shared * 2 >= length and not added[node]
         common = level[0] / level[1] if level[1] else np.inf
-        low = held / length < common * (4.0 if node.certain else 0.5)
+        low = added[node] or held / length < common * (4.0 if node.certain else 0.5)
         if low and not most and not series:
             gone.add(node)
         elif node in own:
