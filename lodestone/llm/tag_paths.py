@@ -51,7 +51,7 @@ _AMBIGUOUS = set("alert banner comment consent dialog discussion feedback footer
 # Names of what readers or the site add, which may be prose; those of them that are subjects too.
 _ADDED = set("alert comment comments commentlist discussion feedback notice notices notification notifications promo promoted promotion replies reply respond responses".split())
 _SUBJECT = set("alert discussion feedback notice notices notification notifications promotion responses".split())
-_CELLS = set("dd dt td th tr tbody table pre".split())
+_CELLS = set("dd dt td th pre".split())
 _MODIFIER = re.compile(r"(?:has|no|not|is|with|without|hide|show)[-_]")
 _OWN_HEADER = set("article chapter content entry page post section story title".split())
 _MAIN = set("articlebody mainentity".split())
@@ -103,6 +103,8 @@ class _Element:
                     words = _WORDS.findall(v.lower())
                     if not (k == "id" and inline):
                         found = _noise(v, article)
+                        if tag in _CELLS and found <= _AMBIGUOUS | _ADDED:
+                            found = set()  # a column of that name
                         noisy |= bool(found)
                         added |= {(k, x) for x in found & _ADDED}
                         certain |= k == "role" and bool(found) or not found <= _AMBIGUOUS
