@@ -6,8 +6,8 @@ where each begins in the block, and the end), ``bits`` and ``payload``. Id k of
 significant first, so any id or document can be unpacked alone. A block is closed once it has BLOCK ids; a longer
 document has a block of its own.
 
-Null texts are empty ones and hold the end id alone. Rows whose doc_id is null come first; repeated ids stay apart, in
-any order. Columns other than doc_id and text are not read. An empty table gives files without blocks.
+Null texts are empty ones and hold the end id alone. Rows whose doc_id is null come first; rows of one id stay apart, in
+the order of a hash of their texts and of their places, so however many they are they fill more than one range. Columns other than doc_id and text are not read. An empty table gives files without blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, staged
+from .shared import discarded, lean, staged
 from .textarrays import in_slices
 from .tokens import library_tokenizer, piece_ids
 
@@ -46,39 +46,53 @@ def unpack_bits(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """The blocks of all documents, written to the shared folder and read again."""
+    """The blocks of all documents, written to the shared folder and read again. Texts are encoded where they lie; what is
+    sorted are their ids."""
     bits = max(1, int(max(library_tokenizer(tokenizer).get_vocab_size(True) - 1, end_id)).bit_length())
-    end = np.array([end_id], "<u4").tobytes()
+    kind = "<u2" if bits <= 16 else "<u4"
+    end = np.array([end_id], kind).tobytes()
+
+    @lean
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = piece_ids(tokenizer)
+        for whole in batches:
+            for b in in_slices(whole, most=1 << 20):
+                ids = [np.frombuffer(got, "<u4").astype(kind).tobytes() + end for got in of([t or "" for t in b.column(3).to_pylist()])]
+                yield pa.record_batch([*b.columns[:3], pa.array(ids, pa.binary())], names=["doc_id", "text_hash", "place", "ids"])
 
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, block, first = piece_ids(tokenizer), TaskContext.get().partitionId(), 0, 0
+        part, block, first = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         names: list[int | None] = []
 
         def closed() -> pa.RecordBatch:
             nonlocal block, first
-            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            row = pa.record_batch({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "bits": pa.array([bits], pa.int32()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "starts": pa.array([starts.tolist()], pa.list_(pa.int32())), "payload": pa.array([pack_bits(np.frombuffer(b"".join(ids), "<u4"), bits)], pa.binary())})
+            starts = np.concatenate([[0], np.cumsum([len(x) // np.dtype(kind).itemsize for x in ids])])
+            row = pa.record_batch({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "bits": pa.array([bits], pa.int32()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "starts": pa.array([starts.tolist()], pa.list_(pa.int32())), "payload": pa.array([pack_bits(np.frombuffer(b"".join(ids), kind), bits)], pa.binary())})
             block, first = block + 1, first + int(starts[-1])
             return row
 
         size = 0
-        for whole in batches:
-            for b in in_slices(whole, most=1 << 20):
-                for name, got in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    n = len(got) // 4 + 1
-                    if ids and size + n > BLOCK:
-                        yield closed()
-                        ids, names, size = [], [], 0
-                    ids.append(got + end)
-                    names.append(name)
-                    size += n
+        for b in batches:
+            for name, got in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = got.as_py()
+                n = len(raw) // np.dtype(kind).itemsize
+                if ids and size + n > BLOCK:
+                    yield closed()
+                    ids, names, size = [], [], 0
+                ids.append(raw)
+                names.append(name)
+                size += n
         if ids:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").orderBy("doc_id")
-    return staged(ordered.mapInArrow(pack, BLOCKS), "token-blocks")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.monotonically_increasing_id().alias("place"), "text")
+    encoded = staged(rows.mapInArrow(encode, "doc_id long, text_hash long, place long, ids binary"), "token-ids")
+    # rows of one id, or of one id and text, are spread over ranges too
+    out = staged(encoded.orderBy("doc_id", "text_hash", "place").select("doc_id", "ids").mapInArrow(pack, BLOCKS), "token-blocks")
+    discarded(encoded)
+    return out
 
 
 def document_digests(blocks: DataFrame) -> DataFrame:

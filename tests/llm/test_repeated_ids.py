@@ -7,7 +7,8 @@ from collections import Counter
 
 import pytest
 
-from lodestone.llm import jaccard_join, suffix_dedup
+from lodestone.llm import jaccard_join, suffix_dedup, token_files
+from lodestone.llm.queries import TOKENIZER
 
 from .fixtures import frame, words
 
@@ -71,3 +72,17 @@ def test_clashing_names(spark, passage):
     d = frame(spark, [(i, t, "en", "s", len(t), "k", "c", "s") for i, t in rows]).selectExpr("*", "1 as number_0", "2 as away_0", "3 as text_0", "4 as text_hash")
     for out, left in ((suffix_dedup.without_repeats(d), 3), (jaccard_join.keep_one(d), 2)):
         assert out.columns == d.columns and out.count() == left
+
+
+def test_token_blocks_of_one_id(spark):
+    """Rows without ids, and rows of one id and text, are sorted over several ranges."""
+    rows = [(None, f"text {k}") for k in range(600)] + [(4, "the same text")] * 600 + [(1, "first")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = token_files.write_blocks(table(spark, rows).repartition(4), TOKENIZER, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert blocks.where("array_contains(doc_ids, 4)").select("part").distinct().count() > 1
+    got = token_files.document_digests(blocks).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 600 + [1] + [4] * 600
+    assert [r.start for r in got[1:]] == [r.start + r.n_tokens for r in got[:-1]] and len({r.ids_crc32 for r in got[601:]}) == 1
