@@ -32,8 +32,8 @@ from .shared import cut, lean, met, staged
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 #: Words a shard, code points that the words of a shard or block may fill as a table, bytes that are broadcast at once.
 SHARD_WORDS, CELLS, PASS_BYTES = 1 << 15, 1 << 22, 64 << 20
-#: Words that are asked together, states that are moved together, and up to which length words are sorted as one class.
-ASKED, STATES, PLAIN_LENGTH = 1 << 12, 1 << 16, 64
+#: Words a task, words that are asked together, states that are moved together, and up to which length words are sorted as one class.
+TASK_WORDS, ASKED, STATES, PLAIN_LENGTH = 1 << 14, 1 << 12, 1 << 16, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -270,7 +270,9 @@ def near_words(words: DataFrame, shards: DataFrame, pass_bytes: int = PASS_BYTES
 def grouped_variants(words: DataFrame, times: int = TIMES, shard_words: int = SHARD_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """word, form, root, n, n_near and form_n of counted words (word, n; distinct words)."""
     words = staged(words, "words")
-    near = near_words(words.repartition("word"), staged(trie_shards(words, shard_words), "tries"), pass_bytes)
+    # words are few bytes and much work, so they are dealt by their number
+    tasks = max(1, -(-words.count() // TASK_WORDS))
+    near = near_words(words.repartition(tasks, "word"), staged(trie_shards(words, shard_words), "tries"), pass_bytes)
     rare = F.col("near_n") >= times * F.col("n")
     known = staged(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(rare, F.col("near")).alias("form"), F.when(rare, F.col("near_n")).alias("form_n")), "forms")
     step = cut(known.where("form is not null").select("word", F.col("form").alias("root")))
