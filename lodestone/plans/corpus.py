@@ -100,7 +100,9 @@ def secrets_found(spark, sf):
     return table(spark, sf, "documents").select(F.explode(each).alias("x")).groupBy("x.kind").agg(F.sum("x.c").cast("long").alias("found"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9"''(\\[])', '\\1' || chr(30) || '\\2', 'g'), '\n{{2,}}', chr(30), 'g'), chr(30))) AS raw FROM documents), t AS (SELECT doc_id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS s FROM s),
+ c AS (SELECT doc_id, CASE WHEN regexp_matches(s, '{T.CODE_START}') THEN 0.6 ELSE 0 END + least(0.4, 2 * (length(s) - length(translate(s, '{T.SYMBOLS}', ''))) / length(s)) AS code FROM t WHERE s <> '')
+ SELECT d.doc_id, count(code)::INT AS sentences, round(coalesce(sum(code::DOUBLE), 0), 6) AS code FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""")
 def sentence_counts(spark, sf):
     s = T.sentences(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.size(s).alias("sentences"), F.round(F.aggregate(F.transform(s, T.code_likeness), F.lit(0.0), lambda a, x: a + x), 6).alias("code"))

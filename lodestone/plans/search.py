@@ -337,7 +337,7 @@ def _answered(spark, sf):
     found = texts.join(small_side(found), "doc_id")
     best = found.groupBy("item_id").agg(F.max("score").alias("top"), F.max("relevance").alias("relevance"), F.min("score").alias("least"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.col("rank").cast("int"))).alias("markers"))
     said = A.extractive(A.citations(found.select("item_id", "rank", "text", "score", "asked", "idfs"), "item_id"), "item_id")
-    checked = said.join(best, "item_id").withColumn("check", A.verify("answer", "markers"))
+    checked = said.join(best, "item_id").withColumn("check", A.verify(F.col("answer"), F.col("markers")))
     no = A.abstains(F.col("top"), F.col("relevance"))
     return checked.select("item_id", no.alias("abstained"), F.when(~no, F.col("check.text")).alias("answer"), "check.coverage", A.confidence(F.col("top"), F.col("least"), F.col("n"), F.col("check.coverage")).alias("confidence"))
 

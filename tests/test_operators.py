@@ -85,11 +85,47 @@ def test_templates(spark):
     assert {r.text for r in templates.stripped(d, t, "source").collect()} == {*(f"body {k}" for k in range(6)), "Menu\nx"}
 
 
+def checked(spark, rows):
+    df = spark.createDataFrame([*enumerate(rows)], "k int, row struct<a: string, m: array<int>>").select("k", answers.verify(F.col("row.a"), F.col("row.m")).alias("v"))
+    return [(r.v.used, r.v.invalid, r.v.coverage, r.v.text) for r in sorted(df.collect())]
+
+
 def test_citations_are_checked(spark):
-    assert answers.check_citations("This is a claim with words [1]. Another claim made of words [7].", [1]) == ([1], [7], 0.5, "This is a claim with words [1]. Another claim made of words .")
-    assert answers.check_citations("This claim is long enough. [1]", [1])[2] == 1.0 and answers.check_citations("", [1])[2] == 0.0
-    df = spark.createDataFrame([("A long claim stands right here [2].", [2])], "a string, m array<int>").select(answers.verify("a", "m").alias("v")).first().v
-    assert df.used == [2] and df.coverage == 1.0
+    rows = [
+        (("This is a claim with words [1]. Another claim made of words [7].", [1]), ([1], [7], 0.5, "This is a claim with words [1]. Another claim made of words .")),
+        (("This claim is long enough. [1]", [1]), ([1], [], 1.0, "This claim is long enough. [1]")),
+        (("", [1]), ([], [], 0.0, "")),
+        ((None, None), ([], [], 0.0, "")),
+        (("Too short.", None), ([], [], 1.0, "Too short.")),
+        (("A long claim stands right here [2][3] and array[4] too (x)[5].", [2]), ([2], [], 1.0, "A long claim stands right here [2][3] and array[4] too (x)[5].")),
+        (("Before it goes [9] on.\n\n```\nx = [9]\n```\n\nAfter it goes [9] on [01].", [1]), ([1], [9], 1.0, "Before it goes on.\n\n```\nx = [9]\n```\n\nAfter it goes on [01].")),
+        (("~~~a [1]~~~ [99999999999] then  more  words follow here", [1]), ([], [], 1.0, "~~~a [1]~~~ then more words follow here")),
+        (("- a list item of many words\n\n3. another item of many words\n\nOne claim of five words [2]", [2]), ([2], [], 1.0, "- a list item of many words\n\n3. another item of many words\n\nOne claim of five words [2]")),
+    ]
+    assert checked(spark, [r[0] for r in rows]) == [r[1] for r in rows]
+
+
+def test_citations_against_a_loop(spark):
+    """Random answers, checked word by word."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for _ in range(150):
+        said = [f"{'Aa' if rng.random() < 0.9 else '*'} " + " ".join(rng.choice(["bb", "cc", "[1]", "[2]", "[5]", "x[1]"]) for _ in range(rng.randrange(2, 9))) + rng.choice([".", "!", ". [1]", ". [6]"]) for _ in range(rng.randrange(5))]
+        rows.append(("\n\n".join(said), [1, 2, 3]))
+
+    def by_hand(text, known):
+        words = text.replace("\n\n", " ").split()
+        marks = list(dict.fromkeys(int(w.strip("[].!")) for w in words if w.startswith("[")))
+        kept = [[w for w in p.split() if not (w.startswith("[") and int(w.strip("[].!")) not in known and not w.endswith((".", "!")))] for p in text.split("\n\n") if p]
+        kept = [[("." if w.endswith(".") else "!") if w.startswith("[") and int(w.strip("[].!")) not in known else w for w in p] for p in kept]
+        said = [p for p in kept if len(p) >= 5 and p[0] != "*"]
+        # a marker after the full stop counts as a word of its sentence
+        cited = sum(any(w.startswith("[") for w in p) for p in said)
+        return [m for m in marks if m in known], [m for m in marks if m not in known], round(cited / len(said), 4) if said else float(bool(kept))
+
+    got = checked(spark, rows)
+    assert [g[:3] for g in got] == [by_hand(*r) for r in rows]
 
 
 def test_extractive_answers(spark):
