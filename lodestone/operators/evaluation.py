@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lexical import QUESTION_TERMS
-from .staging import running_sums, small_side
+from .patterns import containing
+from .staging import bounded, running_sums, small_side, staged
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, question: str, doc: str, k: int) -> DataFrame:
@@ -37,41 +37,64 @@ def aggregate(cases: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, questions: DataFrame, doc: str, question: str, words, text: str = "text",
-                  verbatim: float = 0.85, overlap: float = 0.9, question_words=None) -> DataFrame:
+                  verbatim: float = 0.85, overlap: float = 0.9, question_words=None, negative: str | None = None,
+                  negative_verbatim: float = 0.5, negative_overlap: float = 0.6) -> DataFrame:
     """Documents that hold a question: (question, doc, kind, score). Kind is "verbatim" where a run of the question's
     words of at least a share `verbatim` of them is in the text, else "overlap" where the words in common have a share
     `overlap` of the question's idf. A term that is in no document has the largest idf.
 
     Candidates come from each question's rarest terms alone: as many of them as a document cannot lack all of, either
     because a run leaves out too few words or because the rest has too little weight. Only these are compared, each as
-    one row with both texts' words. questions are bounded (QUESTION_TERMS) and broadcast; words gives the tokens of docs'
+    one row with both texts' words. questions are broadcast if they are small; words gives the tokens of docs'
     text (which may be tokens already)."""
     from .ranking import longest_run
 
     have = docs.select(doc, words(F.col(text)).alias("_words"))
-    asked = questions.select(question, (question_words or words)(F.col(text)).alias("_sequence"))
-    terms = asked.select(question, F.size("_sequence").alias("_length"), F.explode(F.array_distinct("_sequence")).alias("term"))
-    wanted = small_side(terms.select("term").distinct(), QUESTION_TERMS)
+    no = F.coalesce(F.col(negative), F.lit(False)) if negative else F.lit(False)
+    floors = [F.when(no, F.lit(b)).otherwise(F.lit(a)).alias(name) for name, a, b in (("_run_floor", verbatim, negative_verbatim), ("_share_floor", overlap, negative_overlap))]
+    asked = questions.select(question, (question_words or words)(F.col(text)).alias("_sequence"), *floors)
+    terms = asked.select(question, "_run_floor", "_share_floor", F.size("_sequence").alias("_length"), F.explode(F.array_distinct("_sequence")).alias("term"))
+    terms, hint = bounded(terms)
+    wanted = hint(terms.select("term").distinct())
     df = have.select(F.explode(F.array_distinct("_words")).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("_df"))
     n = docs.agg(F.count("*").alias("_n"))
     c = F.coalesce("_df", F.lit(0))
-    weighed = terms.join(small_side(df, QUESTION_TERMS), "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", F.round(F.ln(1 + (F.col("_n") - c + 0.5) / (c + 0.5)), 4))
+    weighed = terms.join(hint(df), "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", F.round(F.ln(1 + (F.col("_n") - c + 0.5) / (c + 0.5)), 4))
     each = Window.partitionBy(question)
     rarest = each.orderBy(F.desc("idf"), "term")
-    outside = F.floor(F.col("_length") * (1 - verbatim) + 1e-9)
+    outside = F.floor(F.col("_length") * (1 - F.col("_run_floor")) + 1e-9)
     ranked = weighed.withColumn("_total", F.sum("idf").over(each)).withColumn("_before", F.coalesce(F.sum("idf").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_k", F.row_number().over(rarest))
-    key = ranked.where((F.col("_k") <= outside + 1) | (F.col("_before") <= (1 - overlap) * F.col("_total") + 1e-6)).select(question, "term")
-    pairs = have.select(doc, F.explode(F.array_distinct("_words")).alias("term")).join(small_side(key, QUESTION_TERMS), "term").select(question, doc).distinct()
+    ranked = staged(ranked, "question-weights")
+    key = ranked.where((F.col("_k") <= outside + 1) | (F.col("_before") <= (1 - F.col("_share_floor")) * F.col("_total") + 1e-6)).select(question, "term")
+    pairs = have.select(doc, F.explode(F.array_distinct("_words")).alias("term")).join(hint(key), "term").select(question, doc).distinct()
     facts = ranked.groupBy(question).agg(F.first("_total").alias("_total"), F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_terms")).join(asked, question)
-    full = have.join(small_side(pairs), doc).join(small_side(facts, QUESTION_TERMS), question)
+    full = have.join(small_side(pairs), doc).join(hint(facts), question)
     shared = F.aggregate(F.filter("_terms", lambda t: F.array_contains("_words", t["term"])), F.lit(0.0), lambda s, t: s + t["idf"])
     padded = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
     run = longest_run(F.col("_sequence"), padded) / F.greatest(F.size("_sequence"), F.lit(1))
     scored = full.withColumn("_run", run).withColumn("_share", F.when(F.col("_total") > 0, shared / F.col("_total")).otherwise(0.0))
-    kind = F.when(F.col("_run") >= verbatim, "verbatim").when(F.col("_share") >= overlap, "overlap")
+    kind = F.when(F.col("_run") >= F.col("_run_floor"), "verbatim").when(F.col("_share") >= F.col("_share_floor"), "overlap")
     return scored.withColumn("kind", kind).where("kind is not null").select(question, doc, "kind", F.round(F.when(F.col("kind") == "verbatim", F.col("_run")).otherwise(F.col("_share")), 6).alias("score"))
 
 
+def fatal_findings(found: DataFrame, questions: DataFrame, docs: DataFrame, question: str, doc: str, negative: str, expected: str, blob: str) -> DataFrame:
+    """found (question, doc, kind, score) with `fatal`: whether the document has to be held out for the question. Whatever
+    is found for a negative one is; else a verbatim run is fatal in a document that is not among those the question
+    expects (whose blob has one of the expected substrings, case aside), if it expects any: the expected source that holds
+    the question holds its answer, any other one only talks of it."""
+    side = small_side(questions.select(question, F.coalesce(F.col(negative), F.lit(False)).alias("_no"), F.coalesce(F.col(expected), F.array().cast("array<string>")).alias("_e")))
+    rows = small_side(found).join(docs.select(doc, F.lower(F.coalesce(F.col(blob), F.lit(""))).alias("_b")), doc).join(side, question)
+    wanted = F.exists("_e", lambda e: F.col("_b").contains(F.lower(e)))
+    return rows.withColumn("fatal", F.col("_no") | ((F.col("kind") == "verbatim") & (F.size("_e") > 0) & ~wanted)).drop("_no", "_e", "_b")
+
+
+def contamination_report(findings: DataFrame, questions: DataFrame, question: str) -> DataFrame:
+    """One row: questions checked, those with a fatal finding, findings that are not fatal, and whether there is none."""
+    n = questions.agg(F.count("*").alias("questions_checked"))
+    one = findings.agg(F.countDistinct(F.when(F.col("fatal"), F.col(question))).alias("contaminated_questions"), F.count_if(~F.col("fatal")).alias("informational_findings"))
+    return n.crossJoin(F.broadcast(one)).withColumn("clean", F.col("contaminated_questions") == 0)
+
+
 def contamination_by_source(found: DataFrame, docs: DataFrame, question: str, doc: str, source: str) -> DataFrame:
     """For each source: distinct questions found in it, its documents that hold one, and pairs of both."""
     held = found.join(docs.select(doc, source), doc)
@@ -91,23 +114,18 @@ def report(cases: DataFrame) -> DataFrame:
 
 
 def discrimination(docs: DataFrame, expectations: DataFrame, blob: str, expectation: str, share: float = 0.2) -> DataFrame:
-    """How many documents each expected substring matches; "nothing" for none, "broad" beyond a share of all. A golden
-    set's expectations are bounded (QUESTION_TERMS, else an error): they travel as one row, and each document is looked
-    through once for all of them, which leaves only the ones that match."""
-    distinct = expectations.select(expectation).distinct()
-    if distinct.limit(QUESTION_TERMS + 1).count() > QUESTION_TERMS:
-        raise ValueError("more expected substrings than a golden set has")
-    every = distinct.agg(F.collect_list(F.struct(F.col(expectation).alias("e"), F.lower(F.col(expectation)).alias("low"))).alias("_every"))
+    """How many documents each expected substring matches, case aside; "nothing" for none, "broad" beyond a share of all.
+    All substrings are looked for at once, however many they are (``patterns``)."""
+    distinct = staged(expectations.select(expectation, F.lower(F.col(expectation)).alias("_low")).distinct(), "expectations")
     n = docs.agg(F.count("*").alias("total"))
-    blobs = docs.select(F.lower(F.col(blob)).alias("_b")).crossJoin(F.broadcast(every))
-    matched = blobs.select(F.explode(F.filter("_every", lambda x: F.col("_b").contains(x["low"]))).alias("x")).groupBy(F.col("x.e").alias(expectation)).agg(F.count("*").alias("matched"))
-    out = distinct.join(matched, expectation, "left").crossJoin(F.broadcast(n)).withColumn("matched", F.coalesce("matched", F.lit(0)))
+    matched = containing(docs.select(F.lower(F.col(blob)).alias("_b")), "_b", "_b", distinct, "_low", counts=True)
+    out = distinct.join(matched, "_low", "left").crossJoin(F.broadcast(n)).drop("_low").withColumn("matched", F.coalesce("matched", F.lit(0)))
     return out.withColumn("kind", F.when(F.col("matched") == 0, "nothing").when(F.col("matched") > share * F.col("total"), "broad").otherwise("fine"))
 
 
 def first_expectation(retrieved: DataFrame, expected: DataFrame, question: str, blob: str) -> DataFrame:
     """For each retrieved row the first expected substring, in the golden's order, that it holds; else null."""
-    joined = retrieved.join(small_side(expected, QUESTION_TERMS), question, "left")
+    joined = retrieved.join(small_side(expected), question, "left")
     return joined.withColumn("matched", F.element_at(F.filter("expect_sources", lambda e: F.lower(F.col(blob)).contains(F.lower(e))), 1))
 
 
@@ -151,10 +169,11 @@ def redundancy(ranked: DataFrame, docs: DataFrame, question: str, doc: str, word
 
 def cooccurrence(docs: DataFrame, question_terms: DataFrame, question: str, doc: str, words, rarity: float = 0.2) -> DataFrame:
     """For each question the largest share of its rare terms (in at most a share of the documents) in one document."""
-    tf = docs.select(doc, F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(small_side(question_terms.select("term").distinct(), QUESTION_TERMS), "term")
+    question_terms, hint = bounded(question_terms)
+    tf = docs.select(doc, F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(hint(question_terms.select("term").distinct()), "term")
     n = docs.agg(F.count("*").alias("n"))
     rare = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") <= F.col("n") * rarity).select("term")
-    kept = question_terms.join(small_side(rare, QUESTION_TERMS), "term")
+    kept = question_terms.join(hint(rare), "term")
     size = kept.groupBy(question).agg(F.count("*").alias("terms"))
-    best = tf.join(small_side(kept, QUESTION_TERMS), "term").groupBy(question, doc).agg(F.count("*").alias("c")).groupBy(question).agg(F.max("c").alias("best"))
+    best = tf.join(hint(kept), "term").groupBy(question, doc).agg(F.count("*").alias("c")).groupBy(question).agg(F.max("c").alias("best"))
     return size.join(best, question).select(question, "terms", F.round(F.col("best") / F.col("terms"), 6).alias("share"))

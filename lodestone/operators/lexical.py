@@ -1,9 +1,10 @@
 """BM25 search of a batch of questions over a corpus.
 
-Questions are a table of bounded size (QUESTION_TERMS question-term rows): they are broadcast, so the corpus is read
-once and its tokens are filtered by the questions' terms before anything is shuffled. What is left is dealt by document,
-once: term counts, scores of a document's matches and each partition's own best follow from that without a further
-shuffle of matches; only k rows for each question and partition are dealt again by question.
+Questions are written once and broadcast if their files are small: the corpus is read once, each document's words are
+counted within its row, and counts of words that no question has are dropped before anything is shuffled. What is left is
+dealt by document, once, for document frequencies as well: scores of a document's matches and each partition's own best
+follow from that without a further shuffle of matches; only k rows for each question and partition are dealt again by
+question.
 """
 
 from __future__ import annotations
@@ -13,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .staging import small_side
+from .staging import bounded, small_side
 
-QUESTION_TERMS = 200_000
 # Weights of a chunk's text, title and context header.
 FIELDS = {"text": 1.0, "title": 0.6, "context_header": 0.4}
 
@@ -24,23 +24,33 @@ def question_terms(questions: DataFrame, key: str, words: Column) -> DataFrame:
     return questions.select(key, F.explode(F.array_distinct(words)).alias("term"))
 
 
+def counted(rows: DataFrame, keep: list[str], words: str) -> DataFrame:
+    """The distinct words of each row with how often each occurs: keep, term, tf. One sort within a row, nothing shuffled:
+    where the sorted words change, a count ends. (Each step is a column of its own, so that no step reads one anew for
+    every word.)"""
+    ordered = rows.select(*keep, F.array_sort(words).alias("_sorted")).where(F.size("_sorted") > 0)
+    last = F.size("_sorted")
+    ends = ordered.withColumn("_ends", F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | (F.get("_sorted", i) != F.get("_sorted", i - 1))))
+    each = F.transform("_ends", lambda e, k: F.struct(F.get("_sorted", e - 1).alias("term"), (e - F.coalesce(F.get("_ends", k - 1), F.lit(0))).alias("tf")))
+    return ends.select(*keep, F.explode(each).alias("_c")).select(*keep, "_c.*")
+
+
 def bm25(docs: DataFrame, questions: DataFrame, doc: str, question: str, text: str = "text", question_text: str = "text",
          k1: float = 1.5, b: float = 0.75, words=T.tokens, positive: bool = True, question_words=None) -> DataFrame:
     """(question, doc, score) of all matches. positive: ln(1 + ...) as idf; else the plain one, floored at 1e-6. words
     gives the tokens of docs' text (which may be tokens already), question_words those of the questions'."""
-    asked = small_side(question_terms(questions, question, (question_words or words)(F.col(question_text))), QUESTION_TERMS)
+    asked, hint = bounded(question_terms(questions, question, (question_words or words)(F.col(question_text))))
     prepared = docs.select(doc, words(F.col(text)).alias("_w")).withColumn("_len", F.size("_w"))
     about = prepared.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    wanted = small_side(asked.select("term").distinct(), QUESTION_TERMS)
-    matched = prepared.select(doc, "_len", F.explode("_w").alias("term")).join(wanted, "term").repartition(doc)
-    tf = matched.groupBy(doc, "term").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len"))
+    each = counted(prepared, [doc, "_len"], "_w")
+    tf = each.join(hint(asked.select("term").distinct()), "term").select(doc, "term", F.col("tf").alias("_tf"), "_len").repartition(doc)
     # one row for each of the questions' terms, and one for the corpus
-    df = small_side(tf.groupBy("term").agg(F.count("*").alias("_df")), QUESTION_TERMS)
+    df = hint(tf.groupBy("term").agg(F.count("*").alias("_df")))
     weighed = tf.join(df, "term").crossJoin(F.broadcast(about))
     n, d = F.col("_n"), F.col("_df")
     weight = F.ln(1 + (n - d + 0.5) / (d + 0.5)) if positive else F.greatest(F.lit(1e-6), F.ln((n - d + 0.5) / (d + 0.5)))
     part = weight * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    return weighed.select(doc, "term", part.alias("_part")).join(asked, "term").groupBy(question, doc).agg(F.sum("_part").alias("score"))
+    return weighed.select(doc, "term", part.alias("_part")).join(hint(asked), "term").groupBy(question, doc).agg(F.sum("_part").alias("score"))
 
 
 def plain_words(text: Column) -> Column:
@@ -59,7 +69,7 @@ def field_bm25(chunks: DataFrame, questions: DataFrame, chunk: str, question: st
     phrases = question_terms(questions, question, T.tokens(F.col(question_text))).withColumn("_parts", plain_words(F.col("term")))
     stem = T.stem if stems else (lambda x: x)
     parts = phrases.select(question, "term", F.size("_parts").alias("_m"), F.posexplode("_parts").alias("_i", "_word"))
-    asked = parts.select(question, "term", "_m", "_i", stem(F.col("_word")).alias("_stem"))
+    asked, hint = bounded(parts.select(question, "term", "_m", "_i", stem(F.col("_word")).alias("_stem")))
     rows = chunks.select(chunk, F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), plain_words(F.col(c)).alias("words")) for c, w in fields.items()])).alias("f"))
     sized = chunks.select(sum((F.size(plain_words(F.col(c))) for c in fields), F.lit(0)).alias("_d"))
     about = sized.agg(F.count("*").alias("_n"), F.avg("_d").alias("_avg"))
@@ -67,22 +77,22 @@ def field_bm25(chunks: DataFrame, questions: DataFrame, chunk: str, question: st
     tokens = rows.select(chunk, F.col("f.weight").alias("_weight"), F.posexplode("f.words").alias("_pos", "_word"))
     spoken = asked.select("_stem").distinct()
     if stems:
-        known = tokens.select("_word").distinct().withColumn("_stem", T.stem(F.col("_word"))).join(small_side(spoken, QUESTION_TERMS), "_stem")
-        found = tokens.join(small_side(known, QUESTION_TERMS), "_word")
+        known = tokens.select("_word").distinct().withColumn("_stem", T.stem(F.col("_word"))).join(hint(spoken), "_stem")
+        found = tokens.join(small_side(known), "_word")
     else:
-        found = tokens.withColumnRenamed("_word", "_stem").join(small_side(spoken, QUESTION_TERMS), "_stem")
+        found = tokens.withColumnRenamed("_word", "_stem").join(hint(spoken), "_stem")
     distinct_parts = asked.select("term", "_m", "_i", "_stem").distinct()
-    placed = found.join(small_side(distinct_parts, QUESTION_TERMS), "_stem").select(chunk, "_weight", "term", "_m", (F.col("_pos") - F.col("_i")).alias("_start")).repartition(chunk)
+    placed = found.join(hint(distinct_parts), "_stem").select(chunk, "_weight", "term", "_m", (F.col("_pos") - F.col("_i")).alias("_start")).repartition(chunk)
     # a phrase is where all of its parts are
     whole = placed.groupBy(chunk, "term", "_weight", "_start").agg(F.count("*").alias("_c"), F.first("_m").alias("_m")).where("_c = _m")
     f = whole.groupBy(chunk, "term").agg(F.sum("_weight").alias("_f"))
-    df = small_side(f.groupBy("term").agg(F.count("*").alias("_df")), QUESTION_TERMS)
+    df = hint(f.groupBy("term").agg(F.count("*").alias("_df")))
     n, d = F.col("_n"), F.col("_df")
     idf = F.greatest(F.lit(1e-6), F.ln((n - d + 0.5) / (d + 0.5)))
     length = chunks.select(chunk, lengths.alias("_d"))
     weighed = f.join(df, "term").join(length, chunk).crossJoin(F.broadcast(about))
     part = idf * F.col("_f") * (k1 + 1) / (F.col("_f") + k1 * (1 - b + b * F.col("_d") / F.col("_avg")))
-    pairs = small_side(phrases.select(question, "term"), QUESTION_TERMS)
+    pairs = hint(asked.select(question, "term").distinct())
     return weighed.select(chunk, "term", part.alias("_part")).join(pairs, "term").groupBy(question, chunk).agg(F.sum("_part").alias("score"))
 
 

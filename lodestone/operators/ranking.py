@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .staging import small_side
+from .staging import bounded, staged
 
 # Weights of the reranking features.
 WEIGHTS = {"fused": 1.0, "coverage": 0.45, "phrase": 0.25, "authority": 0.12, "recency": 0.0, "position": 0.15}
@@ -71,10 +71,11 @@ def question_facts(docs: DataFrame, questions: DataFrame, question: str, words:
     Questions are bounded and broadcast: of the corpus only counts of their words are made."""
     asked = questions.select(question, T.tokens(F.col(text)).alias("sequence"))
     distinct = asked.select(question, F.explode(F.array_distinct("sequence")).alias("term")).withColumn("parts", T.compound_parts(F.col("term")))
-    wanted = small_side(distinct.select(F.explode(F.array_union(F.array("term"), "parts")).alias("term")).distinct())
+    distinct, hint = bounded(distinct)
+    wanted = hint(distinct.select(F.explode(F.array_union(F.array("term"), "parts")).alias("term")).distinct())
     here = docs.select(F.array_distinct(words).alias("_w")).withColumn("_p", F.array_distinct(F.flatten(F.transform("_w", T.compound_parts))))
     every = here.select(F.explode(F.concat(F.transform("_w", lambda x: F.struct(x.alias("term"), F.lit(1).alias("own"))), F.transform("_p", lambda x: F.struct(x.alias("term"), F.lit(0).alias("own"))))).alias("x")).select("x.*")
-    known = small_side(every.join(wanted, "term").groupBy("term").agg(F.sum("own").alias("df")))
+    known = hint(staged(every.join(wanted, "term").groupBy("term").agg(F.sum("own").alias("df")), "known-words"))
     large = docs.select(F.explode(words).alias("term")).distinct().limit(least).count() >= least
     n = docs.agg(F.count("*").alias("_n"))
 

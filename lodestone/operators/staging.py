@@ -1,16 +1,17 @@
-"""Tables cut from their lineage, and sides that are broadcast only if they were counted."""
+"""Tables cut from their lineage, and sides that are broadcast only if their size is known."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a side that may be broadcast, of some hundred bytes each.
-BROADCAST_ROWS = 200_000
+#: Bytes of a side's files that may be broadcast; as rows in memory they are some ten times as many.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,14 +32,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df, made once: written to the shared folder and read again (a table that was staged before is not written again);
+    and what gives a broadcast hint to a side that has no more rows than df, or does nothing if df's files have more than
+    `most` bytes, so that such sides are joined by shuffle."""
+    kept = df if hasattr(df, "staged_at") else staged(df, "side")
+    files, place = _files(kept.sparkSession, kept.staged_at)
+    few = files.getContentSummary(place).getLength() <= most
+    return kept, F.broadcast if few else lambda side: side
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than `most` rows; else it is joined by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, made once, with a broadcast hint if it is small."""
+    kept, hint = bounded(df, most)
+    return hint(kept)
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], inclusive: bool = True) -> DataFrame:

@@ -117,6 +117,33 @@ def contamination_by_source(spark, sf):
     return evaluation.contamination_by_source(_contamination(spark, sf), table(spark, sf, "documents"), "item_id", "doc_id", "source")
 
 
+_FINDINGS = _CONTAMINATION.replace("l >= 0.85 * len(s)", "l >= CASE WHEN item_id % 3 = 0 THEN 0.5 ELSE 0.85 END * len(s)") + """, e AS (SELECT item_id, item_id % 3 = 0 AS negative, CASE WHEN item_id % 3 = 1 THEN ['SRC' || (item_id % 20) || '/', 'src7'] ELSE [] END AS expected FROM benchmark),
+ c AS (SELECT o.item_id, doc_id, CASE WHEN run IS NOT NULL THEN 'verbatim' ELSE 'overlap' END AS kind, round(coalesce(run, share), 6) AS score FROM o LEFT JOIN v USING (item_id, doc_id) JOIN e USING (item_id) WHERE run IS NOT NULL OR share >= CASE WHEN negative THEN 0.6 ELSE 0.9 END),
+ findings AS (SELECT item_id, doc_id, kind, score, negative OR kind = 'verbatim' AND len(expected) > 0 AND len(list_filter(expected, lambda x: contains(source || '/' || doc_id, lower(x)))) = 0 AS fatal FROM c JOIN e USING (item_id) JOIN documents USING (doc_id))
+ """
+
+
+def _findings(spark, sf):
+    """A third of the questions may not be answered, a third expects two sources."""
+    d = F.col("item_id")
+    asked = table(spark, sf, "benchmark").withColumn("negative", d % 3 == 0).withColumn("expected", F.when(d % 3 == 1, F.array(F.concat(F.lit("SRC"), (d % 20).cast("string"), F.lit("/")), F.lit("src7"))))
+    questions = asked.withColumn("words", T.tokens(F.col("text")))
+    found = evaluation.contamination(_tokens(spark, sf), questions, "doc_id", "item_id", _as_they_are, "words", negative="negative")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("blob"))
+    return evaluation.fatal_findings(found, asked, docs, "item_id", "doc_id", "negative", "expected", "blob"), asked
+
+
+@query(_FINDINGS + "SELECT * FROM findings")
+def contamination_findings(spark, sf):
+    """The same with questions that may not be answered and expected sources: what has to be held out."""
+    return _findings(spark, sf)[0]
+
+
+@query(_FINDINGS + "SELECT (SELECT count(*) FROM benchmark)::BIGINT AS questions_checked, count(DISTINCT CASE WHEN fatal THEN item_id END)::BIGINT AS contaminated_questions, (count(*) FILTER (NOT fatal))::BIGINT AS informational_findings, count(DISTINCT CASE WHEN fatal THEN item_id END) = 0 AS clean FROM findings")
+def contamination_summary(spark, sf):
+    return evaluation.contamination_report(*_findings(spark, sf), "item_id")
+
+
 _METRICS = "WITH " + _sql_bm25(K) + ", " + _WORDS + """, z AS (SELECT item_id, count(*) AS nrel FROM relevant GROUP BY item_id),
  h AS (SELECT r.item_id, r.rank, (v.doc_id IS NOT NULL) AS hit FROM ranked r LEFT JOIN relevant v USING (item_id, doc_id)),
  p AS (SELECT item_id, count(*) FILTER (hit AND rank <= 8) AS found, count(*) FILTER (rank <= 8) AS shown, min(CASE WHEN hit THEN rank END) AS f, sum(CASE WHEN hit AND rank <= 8 THEN ln(2) / ln(rank + 1) END) AS dcg FROM h GROUP BY item_id),
