@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import evaluation, lexical, ranking, retrieval, statistics, vectors
+from ..operators import evaluation, lexical, postings, ranking, retrieval, statistics, vectors
 from ..operators.chunking import chunked
-from ..operators.staging import small_side, staged
+from ..operators.staging import shared_folder, small_side, staged
 from .tables import sql_tokens, table
 
 QUERIES: dict = {}
@@ -296,6 +298,48 @@ def _with_fields(docs):
     return docs.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("["), "source", F.lit("] "), "lang").alias("context_header"))
 
 
+def _indexed(spark, docs, analysis, key="doc_id"):
+    """A new index of the documents in the shared folder."""
+    index = postings.Postings(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", analysis)
+    index.put(docs, key)
+    return index
+
+
+@query(ORACLE_SQL["search_fields"])
+def search_indexed(spark, sf):
+    """The same from a kept inverted index, of which only the windows are read that can hold one of the best."""
+    index = _indexed(spark, _with_fields(table(spark, sf, "documents")), postings.Analysis(lexical.FIELDS, phrases=True))
+    found = index.search(table(spark, sf, "benchmark"), "item_id", K, k1=1.2, positive=False)
+    return found.select("item_id", F.col("key").alias("doc_id"), "score", "rank")
+
+
+def _without(sql: str) -> str:
+    """The query over the documents that are left, some of them with another text."""
+    return sql.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)")
+
+
+@query(_without("WITH " + _sql_bm25(K) + " SELECT * FROM ranked"))
+def purged_postings(spark, sf):
+    """An index after documents were removed and others replaced: their postings and statistics are gone exactly."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    index = _indexed(spark, docs, postings.Analysis())
+    index.remove(docs.where("doc_id % 7 = 0"), "doc_id")
+    index.put(docs.where("doc_id % 7 <> 0 and doc_id % 5 = 0").withColumn("text", F.concat_ws(" ", F.coalesce("text", F.lit("")), "source")), "doc_id")
+    return index.search(table(spark, sf, "benchmark"), "item_id", K).select("item_id", F.col("key").alias("doc_id"), "score", "rank")
+
+
+@query(_without(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({sql_tokens("text")})) AS term FROM documents) SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term"""))
+def indexed_frequencies(spark, sf):
+    """Document frequencies as the sum of what each segment changed, after removals, replacements and a compaction."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    index = _indexed(spark, docs.where("doc_id % 2 = 0"), postings.Analysis())
+    index.put(docs.where("doc_id % 2 = 1"), "doc_id")
+    index.remove(docs.where("doc_id % 7 = 0"), "doc_id")
+    index.compact()
+    index.put(docs.where("doc_id % 7 <> 0 and doc_id % 5 = 0").withColumn("text", F.concat_ws(" ", F.coalesce("text", F.lit("")), "source")), "doc_id")
+    return index.frequencies()
+
+
 @query()
 def search_stemmed(spark, sf):
     """The same over Porter stems."""
