@@ -127,3 +127,34 @@ def test_keyed_state_equals_snapshots(spark, tmp_path):
                 expected[r.source_system, r.external_id, n, r.status] += 1
         previous = snapshot | kept
     assert got == expected
+
+
+def test_a_batch_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    from lodestone.streaming import ingest
+
+    store, told = ingest.Snapshots(spark, str(tmp_path / "store"), parts=8), []
+    kind = "source_system string, external_id string, uri string, title string, text string"
+    run = ingest.merge_batch(store, lambda d, n: told.append((n, Counter((r.external_id, r.status) for r in d.collect()))))
+    rows = lambda names, text: spark.createDataFrame([("s", n, "u", "t", text) for n in names], kind)
+    run(rows([f"d{k}" for k in range(100)], "one"), 0)
+    first = store.manifest(0)
+    assert len(first) == 8 and store.read().count() == 100
+    run(rows(["d3", "d3", "x"], "two"), 1)
+    second = store.manifest(1)
+    written = {p for p, v in second.items() if v == 1}
+    assert 1 <= len(written) <= 2 and {p: v for p, v in second.items() if p not in written} == {p: v for p, v in first.items() if p not in written}
+    files = [p for p in (tmp_path / "store/data/version=00000001").rglob("*.parquet")]
+    assert {p.parent.name for p in files} == {f"part={p}" for p in written}
+    assert told == [(1, Counter({("d3", "changed"): 1, ("x", "new"): 1}))]
+    whole = lambda: Counter((r.external_id, r.text) for r in store.read().collect())
+    after = whole()
+    assert after == Counter([(f"d{k}", "two" if k == 3 else "one") for k in range(100)] + [("x", "two")])
+    run(rows(["d3", "d3", "x"], "two"), 1)  # again, as after a failure
+    assert whole() == after and told[1] == told[0]
+    run(rows([], ""), 2)
+    assert whole() == after and store.manifest(2) == second
+    # an unfinished snapshot does not count
+    (tmp_path / "store/manifest/snapshot=00000002/_SUCCESS").unlink()
+    assert store.latest() == 1 and store.vacuum() == [] and whole() == after
+    run(rows([f"d{k}" for k in range(100)] + ["x"], "three"), 2)
+    assert store.vacuum() == [0, 1] and set(whole().values()) == {1} and {t for _, t in whole()} == {"three"}
