@@ -343,3 +343,14 @@ def page_markdown(spark, sf):
     from ..sources.pages import extracted
 
     return extracted(table(spark, sf, "pages")).select("page_id", "title", "lang", "text", "word_count", "link_density", "blocked")
+
+
+@query("""WITH a AS (SELECT concat_ws('/', lang, source, doc_id) AS path, md5(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT concat_ws('/', lang, source, doc_id) AS path, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE md5(coalesce(text, '')) END AS digest FROM documents WHERE doc_id % 13 <> 0)
+ SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.path = b.path WHERE a.digest IS DISTINCT FROM b.digest""")
+def tree_changes(spark, sf):
+    """What differs between two listings, found by their hash trees."""
+    from ..operators import trees
+
+    d = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    new = d.where("doc_id % 13 <> 0").withColumn("digest", F.when(F.col("doc_id") % 17 == 0, F.lit("x")).otherwise(F.col("digest")))
+    return trees.changed_files(trees.tree(d.where("doc_id % 11 <> 0")), trees.tree(new))
