@@ -19,6 +19,9 @@ BROADCAST_ROWS = 500_000
 #: Keys of a join with more rows than LIGHT_ROWS and than a share 1 / HEAVY_KEYS of all rows are met by broadcast.
 LIGHT_ROWS, HEAVY_KEYS = 256, 100_000
 
+#: Links of two longs each that one task holds.
+SMALL_GRAPH = 200_000
+
 #: Rows of a few longs for which a partition of its own is worth its files.
 PART_ROWS = 10_000
 
@@ -139,17 +142,19 @@ def linked_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = cut(edges.where("a is not null and b is not null and a <> b")
             .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     n = e.count()
-    e = e.coalesce(max(4, -(-n // PART_ROWS)))
+    # a graph of a few MB is grouped and joined in one task a step, a larger one over partitions
+    near = (lambda df: df.coalesce(1)) if n <= SMALL_GRAPH else (lambda df: df)
+    e = near(e) if n <= SMALL_GRAPH else e.coalesce(-(-n // PART_ROWS))
     for _ in range(max_rounds):
         if not n:
             break
-        both = e.select(F.col("hi").alias("v"), "lo").union(e.select(F.col("lo").alias("v"), F.col("hi").alias("lo")))
-        least = cut(both.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")).select("v", F.least("v", "m").alias("m"), "_rows"), 2 * n)
-        wide = cut(met(both, least, ["v"], "_rows").where("lo > v and lo <> m").select(F.col("lo").alias("v"), F.col("m").alias("lo"))
-                   .union(least.where("v <> m").select("v", F.col("m").alias("lo"))).distinct(), 2 * n)
-        low = cut(wide.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")), 2 * n)
-        new = cut(met(wide, low, ["v"], "_rows").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                  .union(low.select(F.col("v").alias("hi"), F.col("m").alias("lo"))).distinct(), 2 * n)
+        both = near(e.select(F.col("hi").alias("v"), "lo").union(e.select(F.col("lo").alias("v"), F.col("hi").alias("lo"))))
+        least = near(cut(both.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")).select("v", F.least("v", "m").alias("m"), "_rows"), 2 * n))
+        wide = near(cut(near(met(both, least, ["v"], "_rows").where("lo > v and lo <> m").select(F.col("lo").alias("v"), F.col("m").alias("lo"))
+                             .union(least.where("v <> m").select("v", F.col("m").alias("lo")))).distinct(), 2 * n))
+        low = near(cut(wide.groupBy("v").agg(F.min("lo").alias("m"), F.count("*").alias("_rows")), 2 * n))
+        new = near(cut(near(met(wide, low, ["v"], "_rows").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+                            .union(low.select(F.col("v").alias("hi"), F.col("m").alias("lo")))).distinct(), 2 * n))
         many = new.count()
         settled = many == n and new.join(F.broadcast(e) if n <= HEAVY_KEYS else e, ["hi", "lo"], "left_anti").isEmpty()
         e, n = new, many
@@ -157,5 +162,5 @@ def linked_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError("the groups did not settle")
-    nodes = e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
+    nodes = near(e).groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())

@@ -67,6 +67,29 @@ def test_hot_id(spark):
     assert suffix_dedup.without_repeats(table(spark, rows)).count() == 350
 
 
+def test_groups_in_one_task_and_over_partitions(spark, monkeypatch):
+    from lodestone.llm import shared
+
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, 5000 + k) for k in range(100)] + [(None, 1), (2, 2)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    expected = {x: find(x) for x in list(root)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (200_000, 0):
+        monkeypatch.setattr(shared, "SMALL_GRAPH", most)
+        assert {r.node: r.root for r in shared.linked_groups(df).collect()} == expected
+
+
 def test_clashing_names(spark, passage):
     rows = [(0, passage), (1, "before " + passage), (1, "hi there")]
     d = frame(spark, [(i, t, "en", "s", len(t), "k", "c", "s") for i, t in rows]).selectExpr("*", "1 as number_0", "2 as away_0", "3 as text_0", "4 as text_hash")
