@@ -413,7 +413,35 @@ def _answered(spark, sf):
     return checked.select("item_id", no.alias("abstained"), F.when(~no, F.col("check.text")).alias("answer"), "check.coverage", A.confidence(F.col("top"), F.col("least"), F.col("n"), F.col("check.coverage")).alias("confidence"))
 
 
-@query()
+def _sql_sentences(t: str) -> str:
+    split = f"""string_split(regexp_replace(regexp_replace(coalesce({t}, ''), '([.!?])\\s+([A-Z0-9"''(\\[])', '\\1' || chr(30) || '\\2', 'g'), '\n{{2,}}', chr(30), 'g'), chr(30))"""
+    return f"list_filter(list_transform({split}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def _sql_cited(t: str, marker: str) -> str:
+    return f"CASE WHEN regexp_matches({t}, '[.!?]$') THEN rtrim(regexp_replace({t}, '[.!?]$', '')) || ' [' || {marker} || ']' || right({t}, 1) ELSE {t} || ' [' || {marker} || ']' END"
+
+
+#: Sentences that share a word with the question, the best that differ, cited; and the share of claims with a marker. The
+#: documents have neither fences nor markers of their own.
+_ANSWERED = "WITH " + _sql_bm25(8) + _FACTS + f""", best AS (SELECT item_id, max(score) AS top, max(round(relevance, 6)) AS relevance, min(score) AS least, count(*) AS n FROM sc GROUP BY item_id),
+ lists AS (SELECT item_id, rank, greatest(score, 0.0001) AS weight, {_sql_sentences("text")} AS l FROM sc JOIN documents USING (doc_id)), sen AS (SELECT item_id, rank, weight, unnest(l) AS s, unnest(range(len(l))) AS pos FROM lists),
+ fit AS (SELECT *, {sql_tokens("s")} AS w FROM sen WHERE len(string_split_regex(s, '\\s+')) BETWEEN 4 AND 60),
+ shared AS (SELECT f.item_id, rank, pos, any_value(s) AS s, any_value(w) AS w, any_value(weight) AS weight, sum(idf) AS h, count(*) AS c FROM fit f JOIN i ON i.item_id = f.item_id AND list_contains(w, i.term) GROUP BY f.item_id, rank, pos),
+ worth AS (SELECT item_id, rank, pos, s, array_to_string(list_sort(w), ' ') AS key, round((0.7 * h / CASE WHEN t1 > 0 THEN t1 ELSE 1 END + 0.3 * c / len(list_distinct(w)) + 0.05 * weight) * (1 - 0.7 * (CASE WHEN regexp_matches(s, '{T.CODE_START}') THEN 0.6 ELSE 0 END + least(0.4, 2 * (length(s) - length(translate(s, '{T.SYMBOLS}', ''))) / length(s)))::DOUBLE), 9) AS v FROM shared JOIN tot USING (item_id)),
+ differ AS (SELECT * FROM worth QUALIFY row_number() OVER (PARTITION BY item_id, key ORDER BY v DESC, rank, pos, s) = 1), picked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY v DESC, rank, pos) AS r FROM differ QUALIFY r <= 5),
+ said AS (SELECT item_id, string_agg({_sql_cited("s", "rank")}, ' ' ORDER BY r) AS t FROM picked GROUP BY item_id), opening AS (SELECT item_id, {_sql_cited("array_to_string(l[1:2], ' ')", "1")} AS t FROM lists WHERE rank = 1),
+ full_text AS (SELECT item_id, regexp_replace(regexp_replace(coalesce(said.t, opening.t), '[ \\t]{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM opening LEFT JOIN said USING (item_id)),
+ claimed AS (SELECT item_id, t, list_filter({_sql_sentences("t")}, lambda x: len(string_split_regex(x, '\\s+')) >= 5 AND NOT regexp_matches(x, '^\\s*(?:[-*#>]|\\d+[.)])')) AS l FROM full_text),
+ covered AS (SELECT item_id, t, CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '(?:^|[^A-Za-z0-9_)\\]])\\[\\d+\\]'))) / len(l), 4) ELSE (t <> '')::INT::DOUBLE END AS coverage FROM claimed),
+ said_all AS (SELECT item_id, top < 0.005 OR relevance < 0.19 AS abstained, t, coverage, round(0.5 * least(1, top / 0.6) + 0.2 * CASE WHEN n > 1 THEN least(1, (top - least) / 0.25) ELSE 0.5 END + 0.3 * coverage, 4) AS confidence FROM covered JOIN best USING (item_id)),
+ answers AS (SELECT item_id, abstained, CASE WHEN NOT abstained THEN t END AS answer, coverage, confidence FROM said_all)"""
+
+
+@query(_ANSWERED + ", " + _sql_bm25(K, name="deep") + ", " + _METRICS.partition(_WORDS)[2].join([_WORDS, ""]).replace("FROM ranked", "FROM deep") + """,
+ e AS (SELECT a.*, c.recall IS NULL AS negative, CASE WHEN c.recall IS NULL THEN abstained ELSE NOT abstained AND hit END AS passed, recall, precision, hit, reciprocal_rank, ndcg FROM answers a LEFT JOIN cases c USING (item_id))
+ SELECT count(*)::BIGINT AS cases, round(avg(passed::INT), 4) AS pass_rate, round(avg(abstained::INT), 4) AS abstention_rate, (count(*) FILTER (negative AND NOT abstained))::BIGINT AS answered_negatives, (count(*) FILTER (NOT negative AND abstained))::BIGINT AS refused_positives,
+ round(avg(coverage) FILTER (NOT negative AND NOT abstained), 4) AS citation_coverage, round(avg(recall) FILTER (NOT negative), 4) AS mean_recall, round(avg(precision) FILTER (NOT negative), 4) AS mean_precision, round(avg(hit::INT) FILTER (NOT negative), 4) AS mean_hit, round(avg(reciprocal_rank) FILTER (NOT negative), 4) AS mean_reciprocal_rank, round(avg(ndcg) FILTER (NOT negative), 4) AS mean_ndcg FROM e""")
 def evaluation_report(spark, sf):
     """One row for the whole run: pass rate, abstentions, citations and metrics. A question without a document that holds
     it is one to abstain from; another passes if it is answered and such a document is shown."""
@@ -424,7 +452,7 @@ def evaluation_report(spark, sf):
     return evaluation.report(cases.withColumn("passed", F.when(F.col("expect_abstain"), F.col("abstained")).otherwise(~F.col("abstained") & F.col("hit"))))
 
 
-@query()
+@query(_ANSWERED + " SELECT * FROM answers")
 def answers(spark, sf):
     """A cited answer to each question from its eight best documents, or the reason for none."""
     return _answered(spark, sf)
