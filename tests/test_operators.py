@@ -154,3 +154,10 @@ def test_contamination_finds_changed_and_repetitive_passages(spark):
     # of "alpha unseenterm", a document with alpha alone has a small share of the weight
     few = spark.createDataFrame([(0, "alpha unseenterm")], "item_id long, text string")
     assert evaluation.contamination(d, few, "doc_id", "item_id", T.tokens).count() == 0
+
+
+def test_floors_round_numbers_as_they_are(spark):
+    """0.285 is stored below the middle of 0.28 and 0.29, as SQL's round sees it; 0.375 is the middle itself."""
+    rows = [(0.285, True), (0.29, False), (0.375, True), (0.28, False)]
+    got = {r.floor: (r.refused_positives, r.answered_negatives) for r in evaluation.floors(spark.createDataFrame(rows, "s double, good boolean"), "s", "good").collect()}
+    assert got == {0.28: (0, 2), 0.29: (1, 1), 0.38: (1, 0)}
