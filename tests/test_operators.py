@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers, chunking, evaluation, incremental, ranking, templates, vectors
@@ -161,3 +162,43 @@ def test_floors_round_numbers_as_they_are(spark):
     rows = [(0.285, True), (0.29, False), (0.375, True), (0.28, False)]
     got = {r.floor: (r.refused_positives, r.answered_negatives) for r in evaluation.floors(spark.createDataFrame(rows, "s double, good boolean"), "s", "good").collect()}
     assert got == {0.28: (0, 2), 0.29: (1, 1), 0.38: (1, 0)}
+
+
+def test_lightest_runs_and_contamination_by_brute_force(spark):
+    """What the candidates' bound says of each question, and what is found, with words that repeat and negative questions."""
+    import random
+
+    from lodestone.functions import text as T
+
+    pick = random.Random(5)
+    words = [f"w{chr(97 + k // 5)}{chr(97 + k % 5)}" for k in range(25)]
+    asked = [(k, [pick.choice(words) for _ in range(pick.choice([1, 2, 5, 12, 20]))], k % 2 == 0) for k in range(12)]
+    docs = []
+    for k in range(60):
+        of = pick.choice(asked)[1]
+        at = pick.randrange(len(of))
+        docs.append((k, [pick.choice(words) for _ in range(pick.randrange(6))] + of[at : at + pick.randrange(len(of) + 1)] + [pick.choice(words) for _ in range(pick.randrange(6))]))
+    weights = {w: round(math.log(1 + (60 - c + 0.5) / (c + 0.5)), 4) for w in words for c in [sum(w in d for _, d in docs)]}
+    q = spark.createDataFrame([(k, " ".join(s), n) for k, s, n in asked], "item_id long, text string, negative boolean")
+    sides = q.select("item_id", T.tokens(F.col("text")).alias("_sequence"), F.when(F.col("negative"), 0.5).otherwise(0.85).alias("_run_floor"))
+    idf = spark.createDataFrame([(k, w, weights[w]) for k, s, _ in asked for w in set(s)], "item_id long, term string, idf double")
+    got = {r.item_id: r._lightest for r in evaluation._lightest_runs(sides, idf, "item_id").collect()}
+    need = {k: max(1, math.ceil(len(s) * (0.5 if n else 0.85) - 1e-9)) for k, s, n in asked}
+    assert got == pytest.approx({k: min(sum(weights[w] for w in set(s[a : a + need[k]])) for a in range(len(s) - need[k] + 1)) for k, s, _ in asked})
+
+    def found(s, d, negative):
+        runs = [j - i for i in range(len(s)) for j in range(i + 2, len(s) + 1) if f" {' '.join(s[i:j])} " in f" {' '.join(d)} "]
+        run, share = max(runs, default=0) / len(s), sum(weights[w] for w in set(s) & set(d)) / sum(weights[w] for w in set(s))
+        return ("verbatim", round(run, 5)) if run >= (0.5 if negative else 0.85) else ("overlap", round(share, 5)) if share >= (0.6 if negative else 0.9) else None
+
+    want = {(k, i): f for k, s, n in asked for i, d in docs if (f := found(s, d, n))}
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
+    rows = evaluation.contamination(table, q, "doc_id", "item_id", T.tokens, negative="negative").collect()
+    assert {(r.item_id, r.doc_id): (r.kind, round(r.score, 5)) for r in rows} == want and len(rows) == len(want) > 50
+
+
+def test_a_text_is_made_once_for_its_longest_run(spark):
+    """Inside the step over words a Python function could not stand, since it would be called for each of them."""
+    said = F.udf(lambda t: f" {t} ", "string")
+    one = spark.createDataFrame([("a b c d x".split(), "q b c d y a b")], "asked array<string>, t string")
+    assert one.select(ranking.longest_run(F.col("asked"), said("t")).alias("n")).first().n == 3
