@@ -202,3 +202,32 @@ def test_a_text_is_made_once_for_its_longest_run(spark):
     said = F.udf(lambda t: f" {t} ", "string")
     one = spark.createDataFrame([("a b c d x".split(), "q b c d y a b")], "asked array<string>, t string")
     assert one.select(ranking.longest_run(F.col("asked"), said("t")).alias("n")).first().n == 3
+
+
+def test_tasks_grow_with_the_input(spark, monkeypatch):
+    """A task cuts or adds up so much at any size of the input; results are the same."""
+    from lodestone.operators import lexical
+
+    docs = spark.createDataFrame([(str(k), "fs", "u", "T", f"Some words here, {k} of them. " * 300, "prose", None) for k in range(12)], "doc_id string, source_system string, uri string, title string, text string, kind string, language string")
+    asked = spark.createDataFrame([(0, "words 7")], "item_id long, text string")
+
+    def both():
+        chunks = chunking.chunked(docs)
+        found = lexical.field_bm25(chunks, asked, "chunk_id", "item_id", stems=False)
+        return chunks, found, sorted(map(tuple, chunks.select("chunk_id", "text").collect())), sorted((r[1], round(r[2], 9)) for r in found.collect())
+
+    few = both()
+    monkeypatch.setattr(chunking, "TASK_CHARACTERS", 1000)
+    monkeypatch.setattr(lexical, "TASK_ROWS", 1)
+    many = both()
+    assert few[2:] == many[2:] and few[3]
+    characters = sum(len(r.text) for r in docs.collect())
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in many[:2]]
+    assert f", {-(-characters // 1000)}" in plans[0].split("RepartitionByExpression")[1].split("\n")[0]
+    assert f", {len(many[2])}" in plans[1].split("RepartitionByExpression")[1].split("\n")[0]
+
+
+def test_trimming_takes_what_the_pattern_took(spark):
+    white = "".join(c for c in map(chr, range(0x3001)) if c.isspace() or c in "\x85\xa0")
+    rows = spark.createDataFrame([(f"{w}a{w} b{w}{w}",) for w in [*white, "​", "x", "", "\n \t"]], "t string")
+    assert rows.where((chunking.stripped(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")) | (chunking._indent(F.col("t")) != F.length("t") - F.length(F.regexp_replace("t", r"(?U)^\s+", "")))).count() == 0
