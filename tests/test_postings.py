@@ -90,3 +90,16 @@ def test_phrases_and_stems(spark, tmp_path):
         index.put(docs, "doc_id")
         want = lexical.top(lexical.field_bm25(docs, asked, "doc_id", "item_id", {"text": 1.0, "title": 0.5}, stems=stems), ["item_id"], 3, "doc_id").select("item_id", "doc_id", "score", "rank")
         assert from_index(index, asked, 3, k1=1.2, positive=False) == sorted(tuple(r) for r in want.collect())
+
+
+def test_blocks_are_few_and_whole(spark, docs, tmp_path):
+    index = postings.Postings(spark, str(tmp_path / "index"))
+    index.put(docs, "doc_id")
+    blocks = index._every("blocks")
+    # a row for each term and task of the four, not for each term and each of the fifteen windows
+    assert blocks.count() <= 4 * blocks.select("term").distinct().count()
+    ends = blocks.select(F.size("keys").alias("n"), F.element_at("ends", -1).alias("last"), F.size("ws").alias("w"), F.size("ends").alias("e"), F.size("f").alias("f"))
+    assert ends.where("n <> last or w <> e or n <> f").count() == 0
+    each = index._by_window(blocks, ["keys"]).select("w", F.explode("keys").alias("key"))
+    assert each.where(F.col("w") != postings._window_of("key", F.lit(-(-914 // postings.WINDOW)))).count() == 0
+    assert each.count() == blocks.agg(F.sum(F.size("keys"))).first()[0] == index.frequencies().agg(F.sum("df")).first()[0]
