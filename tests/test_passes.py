@@ -38,20 +38,19 @@ def test_only_distinct_words_are_stemmed(spark, monkeypatch):
     assert seen.value <= 2 * 44
 
 
-def test_no_more_words_are_read_than_tell_a_large_corpus():
-    import pyarrow as pa
-
-    read = []
+def test_no_more_words_are_read_than_tell_a_large_corpus(spark):
+    seen = spark.sparkContext.accumulator(0)
 
-    def batches():
-        for k in range(10):
-            read.append(k)
-            yield pa.record_batch({"words": pa.array([[f"w{k}-{j}-{i}" for i in range(10)] for j in range(100)])})
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
 
-    (out,) = ranking._first_words(1500)(batches())
-    assert out.num_rows == 1500 and len(read) == 2
-    (none,) = ranking._first_words(5)(iter([pa.record_batch({"words": pa.array([[], None], pa.list_(pa.string()))})]))
-    assert none.num_rows == 0
+    many = spark.range(0, 200_000, 1, 1).select(F.concat(F.lit("w"), "id").alias("term")).mapInArrow(counting, "term string")
+    assert ranking._many_words(many, 100) and seen.value < 200_000
+    # few words among the first ones do not tell: then all count
+    late = spark.range(0, 5000, 1, 1).select(F.when(F.col("id") < 4000, "a").otherwise(F.col("id").cast("string")).alias("term"))
+    assert ranking._many_words(late, 100) and not ranking._many_words(late, 1002)
 
 
 def test_each_distinct_ngram_is_hashed_once(monkeypatch):
