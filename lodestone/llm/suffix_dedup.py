@@ -9,8 +9,10 @@ alike are extended together, word by word to the left and to the right, until PA
 that agree is the one kept. Overlapping repeats become one span.
 
 A run of suffixes that begin alike is extended in the block of rows that holds it. A run that is longer than a block, or
-may go on in the next range, is not: all its passages are sorted by their own words over all partitions, and neighbours
-compared, so a passage of a third of all documents is spread over ranges and still exact.
+may go on in the next range, is taken in pieces: of a piece's passages the first of equal ones are sorted by their own words
+over all partitions, and neighbours compared; the others are repeats whatever is found there, and follow their first one to
+the document that it is from. So a passage of a third of all documents is spread over ranges, as few rows a piece, and still
+exact.
 
 A passage is a repeat if an equal one begins earlier, in a document of smaller id or before it in the same document; the
 earliest stays. Words are as everywhere here (cut at ASCII white space), compared as 32-bit hashes, PASSAGE in a row.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_ROWS, discarded, lean, semi_by_id, staged
+from .shared import BROADCAST_ROWS, cut, discarded, lean, met, semi_by_id, staged
 from .textarrays import mixed, ngram_hashes, powers, sliding, text_slices, _P, _P_INVERSE
 
 PASSAGE, PREFIX, SORTED_WORDS = 50, 25, 4
@@ -158,45 +160,69 @@ class _Run:
         """A hash of each row's passage that begins k words after the leftmost one."""
         return mixed((self.sums[:, k + self.passage] - self.sums[:, k]) * powers(_P_INVERSE, k + 1)[k])
 
+    def repeats(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows whose passage k an earlier row has too, the first of those rows, and whether the last of those is of the
+        same document."""
+        rows = np.flatnonzero(self.there[:, k])
+        key = mixed(self.passages(k)[rows] + self.alike[rows].astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        key, rows = key[order], rows[order]
+        fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
+        first = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
+        later = np.flatnonzero(~fresh)
+        agree = (self.words[rows[later], k : k + self.passage] == self.words[first[later], k : k + self.passage]).all(1)
+        later = later[agree]
+        return rows[later], first[later], self.doc[rows[later]] == self.doc[rows[later - 1]]
+
     def extended(self) -> dict[str, np.ndarray]:
         """Repeats in documents: where they start, over how many following starts they go on, and the document they are
         from: the row's own if it has the words before, else the earliest."""
         n, ways = self.there.shape
         found, source = np.zeros((n, ways), bool), np.zeros((n, ways), np.int64)
         for k in range(ways):
-            rows = np.flatnonzero(self.there[:, k])
-            key = mixed(self.passages(k)[rows] + self.alike[rows].astype(np.uint64))
-            order = np.argsort(key, kind="stable")
-            key, rows = key[order], rows[order]
-            fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
-            first = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
-            later = np.flatnonzero(~fresh)
-            agree = (self.words[rows[later], k : k + self.passage] == self.words[first[later], k : k + self.passage]).all(1)
-            later = later[agree]
-            found[rows[later], k] = True
-            source[rows[later], k] = np.where(self.doc[rows[later]] == self.doc[rows[later - 1]], self.doc[rows[later]], self.doc[first[later]])
+            rows, first, own = self.repeats(k)
+            found[rows, k] = True
+            source[rows, k] = np.where(own, self.doc[rows], self.doc[first])
         goes_on = np.zeros((n, ways), bool)
         goes_on[:, 1:] = found[:, 1:] & found[:, :-1] & (source[:, 1:] == source[:, :-1])
         row, k = np.nonzero(found & ~goes_on)
         at = np.flatnonzero((found & ~goes_on)[found])
-        return {"hash": None, "doc_id": self.doc[row], "start": self.place[row] - self.reach + k, "run": np.diff(np.append(at, int(found.sum()))), "source": source[row, k]}
+        return {"doc_id": self.doc[row], "start": self.place[row] - self.reach + k, "run": np.diff(np.append(at, int(found.sum()))), "source": source[row, k]}
 
-    def spread(self) -> dict[str, np.ndarray]:
-        """All passages of the rows, to be sorted over all partitions."""
-        row, k = np.nonzero(self.there)
-        every = np.stack([self.passages(j) for j in range(self.there.shape[1])], 1)
-        return {"hash": every[row, k].view(np.int64), "doc_id": self.doc[row], "start": self.place[row] - self.reach + k, "run": np.ones(len(row), np.int64), "source": None}
+    def spread(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """For rows that begin alike, a piece of a run: the passages to be sorted over all partitions, and those that
+        follow one of these, `of` from `of_start` on, or repeat the document's own. The first and the last document may be
+        in other pieces too, so all their passages are sorted."""
+        n, ways = self.there.shape
+        inner = (self.doc != self.doc[0]) & (self.doc != self.doc[-1])
+        first, own = np.full((n, ways), -1), np.zeros((n, ways), bool)
+        for k in range(ways):
+            rows, of, same = self.repeats(k)
+            at = inner[rows]
+            first[rows[at], k], own[rows[at], k] = of[at], same[at]
+        follows = first >= 0
+        row, k = np.nonzero(self.there & ~follows)
+        every = np.stack([self.passages(j) for j in range(ways)], 1)
+        alone = {"hash": every[row, k].view(np.int64), "doc_id": self.doc[row], "start": self.place[row] - self.reach + k, "run": np.ones(len(row), np.int64)}
+        goes_on = np.zeros((n, ways), bool)
+        goes_on[:, 1:] = follows[:, 1:] & (own[:, 1:] == own[:, :-1]) & (np.where(own, -2, first)[:, 1:] == np.where(own, -2, first)[:, :-1])
+        row, k = np.nonzero(follows & ~goes_on)
+        at = np.flatnonzero((follows & ~goes_on)[follows])
+        of, same = first[row, k], own[row, k]
+        return alone, {"doc_id": self.doc[row], "start": self.place[row] - self.reach + k, "run": np.diff(np.append(at, int(follows.sum()))),
+                       "source": pa.array(self.doc[row], mask=~same), "of": pa.array(self.doc[of], mask=same), "of_start": pa.array((self.place[of] - self.reach + k).astype(np.int32), mask=same)}
 
 
 def _rows(c: dict) -> pa.RecordBatch:
     n = len(c["doc_id"])
-    whole = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-    return pa.record_batch({"hash": whole(c["hash"]), "doc_id": whole(c["doc_id"]), "start": pa.array(c["start"].astype(np.int32)), "run": pa.array(c["run"].astype(np.int32)), "source": whole(c["source"])})
+    whole = lambda x, kind=pa.int64(): pa.nulls(n, kind) if x is None else pa.array(x, kind)
+    return pa.record_batch({"hash": whole(c.get("hash")), "doc_id": whole(c["doc_id"]), "start": pa.array(c["start"].astype(np.int32)), "run": pa.array(c["run"].astype(np.int32)), "source": whole(c.get("source")), "of": whole(c.get("of")), "of_start": whole(c.get("of_start"), pa.int32())})
 
 
 def extensions(around: DataFrame, passage: int, prefix: int, block: int = BLOCK) -> DataFrame:
-    """Suffixes in sorted order, those that begin alike extended together: repeats (doc_id, start, run, source), and with
-    a hash the passages of those whose run a block does not hold."""
+    """Suffixes in sorted order, those that begin alike extended together: repeats (doc_id, start, run, source). Of those
+    whose run a block does not hold, the different passages of each piece with a hash, and all others with the passage (of,
+    of_start) that they repeat."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +238,7 @@ def extensions(around: DataFrame, passage: int, prefix: int, block: int = BLOCK)
             cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys(whole)], 0)) + 1
             if spreading:
                 upto = int(cuts[0]) if len(cuts) else whole.num_rows
-                yield _rows(_Run(whole.slice(0, upto), passage, prefix).spread())
+                yield from map(_rows, _Run(whole.slice(0, upto), passage, prefix).spread())
                 spreading = not len(cuts)
                 whole, cuts = whole.slice(upto), cuts[1:] - upto
             end = int(cuts[-1]) if len(cuts) else 0
@@ -220,7 +246,7 @@ def extensions(around: DataFrame, passage: int, prefix: int, block: int = BLOCK)
                 yield _rows(_Run(whole.slice(0, end), passage, prefix).extended())
             rest = whole.slice(end)
             if rest.num_rows and (last or rest.num_rows >= block):
-                yield _rows(_Run(rest, passage, prefix).spread())
+                yield from map(_rows, _Run(rest, passage, prefix).spread())
                 spreading, rest = True, rest.slice(rest.num_rows)
             held, size = [rest] if rest.num_rows else [], rest.num_rows
 
@@ -234,12 +260,13 @@ def extensions(around: DataFrame, passage: int, prefix: int, block: int = BLOCK)
             yield from closed(True)
 
     columns = (*_ORDER, "ways", "words")
-    return around.select(*columns).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(run, "hash long, doc_id long, start int, run int, source long")
+    return around.select(*columns).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(run, "hash long, doc_id long, start int, run int, source long, of long, of_start int")
 
 
 def _later_ones(found: DataFrame) -> DataFrame:
-    """Of passages that are equal, all but the earliest, with the document they are from. Rows are sorted by hash and place
-    over all partitions; a range that begins within a run of equal ones learns where the run began from the ranges before."""
+    """Of passages that are equal, all but the earliest, with the document they are from (`source`: the row's own if it has
+    the one before) and the earliest one's (`origin`). Rows are sorted by hash and place over all partitions; a range that
+    begins within a run of equal ones learns where the run began from the ranges before."""
     ordered = found.repartitionByRange("hash", "doc_id", "start").sortWithinPartitions("hash", "doc_id", "start").select("hash", "doc_id", "start")
 
     @lean
@@ -265,7 +292,7 @@ def _later_ones(found: DataFrame) -> DataFrame:
             last, origin = (key[-1], doc[-1], start[-1]), source[-1]
             keep = ~fresh | opening
             # of the opening run, whether even its first row is a repeat is not known here: it carries its hash
-            yield pa.record_batch({"part": pa.array(np.full(int(keep.sum()), part, np.int32)), "doc_id": pa.array(doc[keep]), "start": pa.array(start[keep]), "source": pa.array(np.where(own, doc, source)[keep]), "hash": pa.array(key[keep], mask=~opening[keep]), "is_first": pa.array(fresh[keep]), "own": pa.array(own[keep])})
+            yield pa.record_batch({"part": pa.array(np.full(int(keep.sum()), part, np.int32)), "doc_id": pa.array(doc[keep]), "start": pa.array(start[keep]), "source": pa.array(source[keep]), "hash": pa.array(key[keep], mask=~opening[keep]), "is_first": pa.array(fresh[keep]), "own": pa.array(own[keep])})
         if last is not None:
             yield pa.record_batch({"part": pa.array([part], pa.int32()), "doc_id": pa.array([None], pa.int64()), "start": pa.array([None], pa.int32()), "source": pa.array([origin], pa.int64()), "hash": pa.array([last[0]], pa.int64()), "is_first": pa.array([False]), "own": pa.array([False])})
 
@@ -286,8 +313,19 @@ def _later_ones(found: DataFrame) -> DataFrame:
     body = rows.where("doc_id is not null")
     of_range = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("part"))
     opened = (body.where("hash is not null").withColumn("before", F.coalesce(of_range(closing) == F.col("hash"), F.lit(False)))
-              .where("before or not is_first").select("doc_id", "start", F.when(F.col("before") & ~F.col("own"), of_range(source)).otherwise(F.col("source")).alias("source")))
-    return body.where("hash is null").select("doc_id", "start", "source").unionByName(opened)
+              .where("before or not is_first").select("doc_id", "start", F.when(F.col("before"), of_range(source)).otherwise(F.col("source")).alias("origin"), "own"))
+    later = body.where("hash is null").select("doc_id", "start", F.col("source").alias("origin"), "own").unionByName(opened)
+    return later.select("doc_id", "start", F.when(F.col("own"), F.col("doc_id")).otherwise(F.col("origin")).alias("source"), "origin")
+
+
+def _followed(follow: DataFrame, later: DataFrame) -> DataFrame:
+    """Repeats (doc_id, start, run, source) of what follows other passages: a row for each document that these are from,
+    which is their own if nothing equal is earlier."""
+    key = ["of", "of_start", "run"]
+    each = follow.groupBy(*key).agg(F.count("*").alias("_rows")).withColumn("at", F.explode(F.expr("sequence(of_start, of_start + run - 1)")))
+    first = each.join(later.select(F.col("doc_id").alias("of"), F.col("start").alias("at"), "origin"), ["of", "at"], "left")
+    first = cut(first.groupBy(*key).agg(F.max("_rows").alias("_rows"), F.collect_set(F.coalesce("origin", "of")).alias("origins")))
+    return met(follow, first, key, "_rows").select("doc_id", "start", "run", F.explode("origins").alias("source"))
 
 
 def _numbers(docs: DataFrame) -> DataFrame | None:
@@ -337,8 +375,12 @@ def _spans(docs: DataFrame, passage: int, prefix: int, block: int) -> DataFrame:
     around = staged(with_words_around(texts.join(places.hint("shuffle_merge"), "doc_id"), passage, prefix), "words-around")
     found = staged(extensions(around, passage, prefix, block), "extensions")
     discarded(places, around)
-    later = _later_ones(found.where("hash is not null")).select("doc_id", "start", F.lit(1).alias("run"), "source")
-    flagged = found.where("hash is null").select("doc_id", "start", "run", "source").unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "run", "source")).alias("found"))
+    later = _later_ones(found.where("hash is not null"))
+    repeats = found.where("source is not null").select("doc_id", "start", "run", "source").unionByName(later.select("doc_id", "start", F.lit(1).alias("run"), "source"))
+    follow = found.where("of is not null").select("doc_id", "start", "run", "of", "of_start")
+    if not follow.isEmpty():
+        repeats = repeats.unionByName(_followed(follow, later))
+    flagged = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "run", "source")).alias("found"))
 
     @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
