@@ -127,10 +127,11 @@ def _paired_blocks(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
             .withColumn("same", F.col("_own") == F.col("_other")).withColumn("block", F.col("_own")).drop("_blocks", "_own", "_other"))
 
 
-def _like_representatives(rows: DataFrame, classes: DataFrame, coordinates: int, floor: float) -> DataFrame:
+def _like_representatives(rows: DataFrame, dense: DataFrame, classes: DataFrame, coordinates: int, floor: float) -> DataFrame:
     """(key, cid, ball) for members of large dense buckets: the representative of the bucket, one of a few, that shares
-    enough samples with it, or none. rows: key, cid, size."""
-    pick = rows.groupBy("key").agg(F.max("size").alias("_rows"), F.array_distinct(F.array(*[F.min_by("cid", F.xxhash64("cid", "key", F.lit(j))) for j in range(REPRESENTATIVES)])).alias("balls"))
+    enough samples with it, or none. rows: key, cid, size, of all large buckets; dense: key. Members meet their bucket
+    once: the representatives alone are kept to dense buckets, and rows of other buckets meet none."""
+    pick = rows.groupBy("key").agg(F.max("size").alias("_rows"), F.array_distinct(F.array(*[F.min_by("cid", F.xxhash64("cid", "key", F.lit(j))) for j in range(REPRESENTATIVES)])).alias("balls")).join(dense, "key", "left_semi")
     chosen = pick.select("key", "_rows", F.explode("balls").alias("cid")).join(classes.select("cid", "samples"), "cid")
     balls = cut(chosen.groupBy("key").agg(F.max("_rows").alias("_rows"), F.sort_array(F.collect_list(F.struct("cid", "samples"))).alias("b")).select("key", "_rows", F.col("b.cid").alias("of"), F.col("b.samples").alias("of_samples")))
     members = met(rows.select("key", "cid").join(classes.select("cid", "samples"), "cid"), balls, ["key"], "_rows").select("key", "cid", "samples", "of", "of_samples")
@@ -191,7 +192,7 @@ def candidate_links(classes: DataFrame, runs: int, threshold: float, leaf: int =
         split = cut(split, SPLITS * held)
         counts = split.groupBy("key", "parent", "parent_size").agg(F.count("*").alias("size"))
         alike = cut(counts.groupBy("parent", "parent_size").agg(F.max(F.col("size") / F.col("parent_size")).alias("share"), (F.sum("size")).alias("_rows")).withColumnRenamed("parent", "key"), held)
-        dense = cut(_like_representatives(met(rows, alike.where("share >= 0.5").select("key", F.col("parent_size").alias("_rows")), ["key"], "_rows").select("key", "cid", "size"), classes, coordinates, floor), held)
+        dense = cut(_like_representatives(rows.select("key", "cid", "size"), alike.where("share >= 0.5").select("key"), classes, coordinates, floor), held)
         near = dense.where("ball is not null").select(F.col("cid").alias("a"), F.col("ball").alias("b"))
         tight.append(near)
         # what is linked to a representative is done here; all others go on in their parts
