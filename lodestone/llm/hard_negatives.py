@@ -8,6 +8,11 @@ each tile gives, for each anchor and positive, the best NEGATIVES rows of other
 from `low` to `high` percent of the positive's, and again the best of all tiles are kept. So a task holds a few tiles,
 whatever labels, ids and copies repeat, and nothing but block counts passes through the driver.
 
+The scores are as many as anchors times rows. What an executor holds does not grow with them: anchors go in passes of at
+most PASS_BYTES of partial tiles, whose files go before the next pass, and each task of a pass makes or adds up about
+PART_BYTES. A tile is a row of some hundred KB, two bytes a score where scores allow it (`packed`); such rows are handed to
+Python BATCH_BYTES at a time and written in row groups of ROW_GROUP, since Spark holds a whole group when it reads them.
+
 Components are integers: floor(scale * x). Scores are exact: products run in float64 where no sum can leave its 53 bits,
 else in int64. Vectors so large that a score could leave int64 are refused with an error.
 
@@ -24,15 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_ROWS, cut, grouped, lean, staged
+from .shared import BROADCAST_ROWS, cut, discarded, grouped, lean, staged
 
-ANCHORS, ROWS, DIMS = 64, 4096, 32
+ANCHORS, ROWS, DIMS = 64, 2048, 32
 #: Blocks of either side in a cell of the grid.
 CELL = 4
+#: Bytes of partial tiles in a pass and in a task, at SCORE_BYTES a score (scores mostly take half of that).
+PASS_BYTES, PART_BYTES, SCORE_BYTES = 6 << 30, 32 << 20, 4
+#: Bytes of rows that hold blocks or tiles: handed to Python at once, and in a row group of a file.
+BATCH_BYTES, ROW_GROUP = 8 << 20, 16 << 20
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 
 _TILE = "a_block long, b_block long, chunk int, a_place binary, a_label binary, a_id array<long>, b_place binary, b_label binary, b_id array<long>, tile binary"
@@ -47,8 +56,28 @@ def prepared(vectors: DataFrame, anchor: Column, vec_id: str, vector: str, label
                           F.monotonically_increasing_id().alias("place")).where("label is not null and q is not null")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds almost all of them; the places and values of the others follow."""
+    x = np.ascontiguousarray(x, np.int64).ravel()
+    for kind in (np.int16, np.int32, np.int64):
+        low = x.astype(kind)
+        far = np.flatnonzero(low != x)
+        if len(far) <= len(x) // 16:
+            break
+    return b"".join(part.tobytes() for part in (np.array([low.itemsize, len(x)]), low, far, x[far]))
+
+
+def unpacked(data: pa.Buffer | bytes) -> np.ndarray:
+    """What `packed` was given, in one dimension."""
+    width, n = np.frombuffer(data, np.int64, 2).tolist()
+    x = np.frombuffer(data, f"i{width}", n, 16).astype(np.int64)
+    far, value = np.frombuffer(data, np.int64, offset=16 + width * n).reshape(2, -1)
+    x[far] = value
+    return x
+
+
 def blocks(rows: DataFrame, many: int, dims: int) -> DataFrame:
-    """The rows as `many` blocks in chunks of components: block, chunk, payload (int64, row by row), and with the first
+    """The rows as `many` blocks in chunks of components: block, chunk, payload (`packed`, row by row), and with the first
     chunk the rows' places, labels and ids, in the order of ids and places."""
 
     @lean
@@ -63,7 +92,7 @@ def blocks(rows: DataFrame, many: int, dims: int) -> DataFrame:
                 first = [g.column(c).to_numpy(zero_copy_only=False).astype("<i8").tobytes() if not k else b"" for c in (1, 2)]
                 ids = [g.column(3).to_pylist() if not k else []]
                 yield pa.record_batch({"block": g.column(0).slice(0, 1), "chunk": pa.array([k], pa.int32()), "place": pa.array(first[:1], pa.binary()), "label": pa.array(first[1:], pa.binary()), "id": pa.array(ids, pa.list_(pa.int64())),
-                                       "rows": pa.array([g.num_rows], pa.int32()), "payload": pa.array([np.ascontiguousarray(matrix[:, at : at + dims]).tobytes()], pa.binary())})
+                                       "rows": pa.array([g.num_rows], pa.int32()), "payload": pa.array([packed(matrix[:, at : at + dims])], pa.binary())})
 
     dealt = rows.select(F.pmod(F.xxhash64("place"), F.lit(many)).cast("long").alias("block"), "place", "label", "id", "q")
     dealt = dealt.repartition("block").sortWithinPartitions("block", F.col("id").asc_nulls_last(), "place")
@@ -78,62 +107,68 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 2**53 else a @ b.T
 
 
-def score_tiles(rows: DataFrame, anchors: int, total: int, sizes: tuple[int, int, int] = (ANCHORS, ROWS, DIMS)) -> tuple[DataFrame, int]:
-    """Whole tiles of scores, one row for each anchor block and row block, and the number of row shards."""
-    in_a, in_b, dims = sizes
-    a_blocks, b_blocks = max(1, -(-anchors // in_a)), max(1, -(-total // in_b))
+def _side(rows: DataFrame, many: int, dims: int, name: str) -> DataFrame:
+    t = blocks(rows, many, dims)
+    return staged(t.select(*[F.col(c).alias(f"{name}_{c}") if c != "chunk" else F.col(c) for c in t.columns]), f"{name}-blocks", ROW_GROUP)
+
+
+def score_tiles(a: DataFrame, b: DataFrame, a_blocks: int, b_blocks: int, parts: int) -> tuple[DataFrame, int]:
+    """Whole tiles of scores, one row for each anchor block of a and row block of b, and the number of row shards."""
     r, s = -(-a_blocks // CELL), -(-b_blocks // CELL)
-    side = lambda t, name: t.select(*[F.col(c).alias(f"{name}_{c}") if c != "chunk" else F.col(c) for c in t.columns])
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    a = side(blocks(rows.where("anchor"), a_blocks, dims), "a").withColumn("r", F.col("a_block") % r).withColumn("s", every(s))
-    b = side(blocks(rows, b_blocks, dims), "b").withColumn("s", F.col("b_block") % s).withColumn("r", every(r))
-    meets = a.join(b, ["r", "s", "chunk"]).select("a_block", "b_block", "chunk", "a_place", "a_label", "a_id", "b_place", "b_label", "b_id", "a_rows", "a_payload", "b_rows", "b_payload")
+    a = a.withColumn("r", F.col("a_block") % r).withColumn("s", every(s)).repartition(parts, "r", "s", "chunk")
+    b = b.withColumn("s", F.col("b_block") % s).withColumn("r", every(r)).repartition(parts, "r", "s", "chunk")
+    meets = a.join(b.hint("shuffle_merge"), ["r", "s", "chunk"]).select("a_block", "b_block", "chunk", "a_place", "a_label", "a_id", "b_place", "b_label", "b_id", "a_rows", "a_payload", "b_rows", "b_payload")
 
     @lean
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                a, b = (np.frombuffer(row.column(i)[0].as_buffer(), np.int64).reshape(row.column(i - 1)[0].as_py(), -1) for i in (10, 12))
+                a, b = (unpacked(row.column(i)[0].as_buffer()).reshape(row.column(i - 1)[0].as_py(), -1) for i in (10, 12))
                 wide = min(a.shape[1], b.shape[1])  # the shorter one goes on with zeros
-                yield pa.record_batch([*row.columns[:9], pa.array([product(a[:, :wide], b[:, :wide]).tobytes()], pa.binary())], names=[f.split()[0] for f in _TILE.split(", ")])
+                yield pa.record_batch([*row.columns[:9], pa.array([packed(product(a[:, :wide], b[:, :wide]))], pa.binary())], names=[f.split()[0] for f in _TILE.split(", ")])
 
     @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, total = None, np.zeros(0, np.int64)
 
         def whole() -> pa.RecordBatch:
-            return pa.record_batch([*head.columns[:9], pa.array([total.tobytes()], pa.binary())], names=head.schema.names)
+            return pa.record_batch([*head.columns[:9], pa.array([packed(total)], pa.binary())], names=head.schema.names)
 
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                part = np.frombuffer(row.column(9)[0].as_buffer(), np.int64)
+                part = unpacked(row.column(9)[0].as_buffer())
                 if head is not None and head.column(0)[0] == row.column(0)[0] and head.column(1)[0] == row.column(1)[0]:
                     total = total + part
                     continue
                 if head is not None:
                     yield whole()
                 # the first chunk, which comes first, names the rows
-                head, total = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in row.columns], names=row.schema.names), part.copy()
+                head, total = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in row.columns], names=row.schema.names), part
         if head is not None:
             yield whole()
 
-    parts = meets.mapInArrow(multiply, _TILE).repartition("a_block", "b_block").sortWithinPartitions("a_block", "b_block", "chunk")
-    return staged(parts.mapInArrow(add, _TILE).drop("chunk"), "score-tiles"), s
+    partial = meets.mapInArrow(multiply, _TILE).repartition(parts, "a_block", "b_block").sortWithinPartitions("a_block", "b_block", "chunk")
+    return staged(partial.mapInArrow(add, _TILE).drop("chunk"), "score-tiles", ROW_GROUP), s
 
 
-def _first(order: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-    """Of the places `order` (ascending), the first `most` by score, greatest first, ties in their order."""
-    if len(order) > most:
-        got = score[order]
-        order = order[got >= np.partition(got, len(got) - most)[len(got) - most]]
-    return order[np.argsort(-score[order], kind="stable")][:most]
+def _first(scores: np.ndarray, may: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of scores the first `most` places that `may` allows, greatest first, ties in their order: row, place."""
+    if scores.shape[1] > most:
+        got = np.where(may, scores, np.iinfo(np.int64).min)
+        may = may & (got >= np.partition(got, -most, axis=1)[:, -most, None])
+    i, k = np.nonzero(may)
+    order = np.lexsort((k, -scores[i, k], i))
+    i, k = i[order], k[order]
+    near = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[near], k[near]
 
 
 def _tile(batch: pa.RecordBatch, k: int) -> tuple:
     a_place, a_label, b_place, b_label = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (2, 3, 5, 6))
-    scores = np.frombuffer(batch.column(8)[k].as_buffer(), np.int64).reshape(len(a_place), len(b_place))
+    scores = unpacked(batch.column(8)[k].as_buffer()).reshape(len(a_place), len(b_place))
     return a_place, a_label, batch.column(4)[k].values, b_place, b_label, batch.column(7)[k].values, scores
 
 
@@ -144,25 +179,49 @@ def _best(found: DataFrame, of: list[str], most: int) -> DataFrame:
 
 def mined(vectors: DataFrame, anchor: Column, vec_id: str = "vec_id", vector: str = "embedding", label: Column | None = None, scale: int = 256, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, sizes: tuple[int, int, int] = (ANCHORS, ROWS, DIMS)) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score. anchor: which rows are anchors."""
+    _lower_batches(vectors.sparkSession)
     rows = staged(prepared(vectors, anchor, vec_id, vector, F.col("label") if label is None else label, scale), "vectors")
     about = rows.agg(F.count("*"), F.count_if("anchor"), F.max(F.size("q")), F.max(F.array_max("q")), F.min(F.array_min("q"))).first()
     total, anchors, wide, top, bottom = (v or 0 for v in about)
     if wide * max(abs(top), abs(bottom)) ** 2 >= 2**63:
         raise ValueError("scores of these vectors can leave 64 bits")
-    tiles, shards = score_tiles(rows, anchors, total, sizes)
+    in_a, in_b, dims = sizes
+    a_blocks, b_blocks = max(1, -(-anchors // in_a)), max(1, -(-total // in_b))
+    a, b = _side(rows.where("anchor"), a_blocks, dims, "a"), _side(rows, b_blocks, dims, "b")
+    each = in_a * total * max(1, -(-wide // dims)) * SCORE_BYTES  # bytes of an anchor block's partial tiles
+    step = max(1, PASS_BYTES // max(1, each))
+    found: DataFrame | None = None
+    for lo in range(0, a_blocks, step):
+        many = min(step, a_blocks - lo)
+        tiles, shards = score_tiles(a.where(F.col("a_block").between(lo, lo + many - 1)), b, many, b_blocks, max(1, -(-many * each // PART_BYTES)))
+        best = staged(_of_tiles(tiles, shards, min(anchors, many * in_a), positives, negatives, low, high), "negatives")
+        discarded(tiles)
+        found = best if found is None else found.union(best)
+    discarded(rows, a, b)
+    return found
+
+
+def _lower_batches(session: SparkSession) -> None:
+    """At most BATCH_BYTES of rows go to Python at once from now on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(session.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        session.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def _of_tiles(tiles: DataFrame, shards: int, anchors: int, positives: int, negatives: int, low: int, high: int) -> DataFrame:
+    """What `mined` returns, of anchors whose tiles these are."""
 
     @lean
     def same_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 a_place, a_label, a_id, b_place, b_label, b_id, scores = _tile(batch, k)
-                by_label = {x: np.flatnonzero(b_label == x) for x in np.unique(a_label).tolist()}
-                for i in range(len(a_place)):
-                    own = by_label[int(a_label[i])]
-                    got = _first(own[b_place[own] != a_place[i]], scores[i], positives)
-                    n = len(got)
-                    if n:
-                        yield pa.record_batch({"a_block": pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), "of": pa.array([i] * n, pa.int32()), "anchor_place": pa.array([int(a_place[i])] * n, pa.int64()), "id": b_id.take(pa.array(got)), "place": pa.array(b_place[got]), "score": pa.array(scores[i][got])})
+                for x in np.unique(a_label):
+                    mine, own = np.flatnonzero(a_label == x), np.flatnonzero(b_label == x)
+                    i, j = _first(scores[np.ix_(mine, own)], a_place[mine][:, None] != b_place[own], positives)
+                    i, j = mine[i], own[j]
+                    if len(i):
+                        yield pa.record_batch({"a_block": pa.array(np.full(len(i), batch.column(0)[k].as_py())), "of": pa.array(i.astype(np.int32)), "anchor_place": pa.array(a_place[i]), "id": b_id.take(pa.array(j)), "place": pa.array(b_place[j]), "score": pa.array(scores[i, j])})
 
     kept = tiles.select("a_block", "b_block", "a_place", "a_label", "a_id", "b_place", "b_label", "b_id", "tile")
     found = kept.mapInArrow(same_label, "a_block long, of int, anchor_place long, id long, place long, score long")
@@ -172,26 +231,26 @@ def mined(vectors: DataFrame, anchor: Column, vec_id: str = "vec_id", vector: st
         asked = kept.join(F.broadcast(windows), "a_block")
     else:  # every row shard gets the windows of an anchor block, so its tiles need not meet in one task
         spread = windows.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        asked = kept.withColumn("s", F.col("b_block") % shards).join(spread, ["a_block", "s"])
+        asked = kept.withColumn("s", F.col("b_block") % shards).join(spread.hint("shuffle_merge"), ["a_block", "s"])
 
     @lean
     def other_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least_of, most_of = np.iinfo(np.int64).min, np.iinfo(np.int64).max
         for batch in batches:
             for k in range(batch.num_rows):
                 a_place, a_label, a_id, b_place, b_label, b_id, scores = _tile(batch, k)
-                others = {x: np.flatnonzero(b_label != x) for x in np.unique(a_label).tolist()}
-                out: list[tuple] = []
-                for p in batch.column(9)[k].as_py():
-                    i, score = p["of"], p["score"]
-                    least, most = -(-low * score // 100), high * score // 100
-                    if least > most:
-                        continue
-                    rest = others[int(a_label[i])]
-                    got = scores[i][rest]
-                    got = _first(rest[(got >= least) & (got <= most)], scores[i], negatives)
-                    out += [(int(a_place[i]), a_id[i].as_py(), p["place"], p["id"], score, b_id[g].as_py(), int(b_place[g]), int(scores[i][g])) for g in got.tolist()]
-                if out:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["anchor_place", "anchor_id", "positive_place", "positive_id", "positive_score", "id", "place", "score"])
+                asked = [(p, max(least_of, -(-low * p["score"] // 100)), min(most_of, high * p["score"] // 100)) for p in batch.column(9)[k].as_py()]
+                asked = [(p, least, most) for p, least, most in asked if least <= most]
+                if not asked:
+                    continue
+                of = np.array([p["of"] for p, _, _ in asked])
+                least, most = (np.array([x[c] for x in asked], np.int64)[:, None] for c in (1, 2))
+                near = scores[of]
+                n, j = _first(near, (near >= least) & (near <= most) & (a_label[of][:, None] != b_label), negatives)
+                if len(n):
+                    place, i, score = (pa.array([p[c] for p, _, _ in asked], pa.int64()) for c in ("place", "id", "score"))
+                    at = pa.array(n)
+                    yield pa.record_batch({"anchor_place": pa.array(a_place[of[n]]), "anchor_id": a_id.take(pa.array(of[n])), "positive_place": place.take(at), "positive_id": i.take(at), "positive_score": score.take(at), "id": b_id.take(pa.array(j)), "place": pa.array(b_place[j]), "score": pa.array(near[n, j])})
 
     asked = asked.select("a_block", "b_block", "a_place", "a_label", "a_id", "b_place", "b_label", "b_id", "tile", "positives")
     rest = asked.mapInArrow(other_label, "anchor_place long, anchor_id long, positive_place long, positive_id long, positive_score long, id long, place long, score long")

@@ -80,12 +80,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: later jobs start from these files. They go when the
-    driver ends, or before by ``discarded``."""
+    driver ends, or before by ``discarded``. row_group: bytes in a row group, for rows of many KB: sizes are then looked at
+    row by row, not every hundred rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    small = {"parquet.block.size": row_group, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1} if row_group else {}
+    df.write.option("compression", "zstd").options(**small).parquet(path)
     files, place = _files(spark, path)
     files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
