@@ -204,7 +204,7 @@ def mined(vectors: DataFrame, anchor: Column, vec_id: str = "vec_id", vector: st
 def _lower_batches(session: SparkSession) -> None:
     """At most BATCH_BYTES of rows go to Python at once from now on."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(session.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+    if session._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(session.conf.get(key)) > BATCH_BYTES:
         session.conf.set(key, f"{BATCH_BYTES}b")
 
 

@@ -66,3 +66,15 @@ def test_packed_numbers():
         x = np.array(x, np.int64)
         assert hard_negatives.unpacked(hard_negatives.packed(x)).tolist() == x.tolist()
     assert len(hard_negatives.packed(some)) < 2100
+
+
+@pytest.mark.parametrize(("before", "after"), [("64m", "8388608b"), ("1m", "1m"), ("8388608b", "8388608b")])
+def test_batches_are_lowered(spark, before, after):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(key)
+    try:
+        spark.conf.set(key, before)
+        hard_negatives._lower_batches(spark)
+        assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, kept)
