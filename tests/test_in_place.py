@@ -1,6 +1,7 @@
 """Matches and term weights are found where a document's words lie, and come to the same where they are joined by shuffle."""
 
 import math
+import os
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import lexical, staging, vectors
+from lodestone.operators import lexical, retrieval, staging, vectors
 
 WEIGHTS = {"text": 1.0, "title": 0.6}
 DOCS = [
@@ -83,3 +84,21 @@ def test_terms_are_weighed_where_their_rows_lie(spark, monkeypatch):
     words = ["river", "stone", "river", "in-process"]
     assert np.allclose(got[0], vectors.embed_tokens(words, {"river": 0.5, "in-process": 3.0}, default), atol=1e-6) and not got[3].any()
     assert vectors.embed(docs.limit(0), terms, "doc_id").count() == 0 and len(read(vectors.embed(docs, terms.limit(0), "doc_id"))) == len(DOCS)
+
+
+def test_filters_reach_the_vectors_without_a_join(spark):
+    docs = spark.createDataFrame([(1, "river", True), (2, "river stone", False), (3, "lake", None), (4, "stone", False), (4, "river", True)], "doc_id long, text string, allowed boolean")
+    terms = spark.createDataFrame([("river", 0.5)], "term string, idf double")
+    made = vectors.embed(docs, terms, "doc_id", flag="allowed")
+    assert sorted((r.doc_id, r.allowed) for r in made.collect()) == [(1, True), (2, False), (3, False), (4, True), (4, True)]
+    # the files of a search's own tables go once they are read; what it found stays
+    chunks = docs.where("doc_id < 4").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text", F.lit("").alias("title"), F.lit("").alias("context_header"), F.when(F.col("allowed"), "a").otherwise("b").alias("source_system"))
+    filters = {"exclude_source": ["b"]}
+    marked = staging.staged(vectors.embed(chunks.withColumn("allowed", retrieval.may_be_found(filters)), terms, "chunk_id", flag="allowed"), "vectors")
+    asked = spark.createDataFrame([(0, "river")], "item_id long, text string")
+    at = vectors.embed(asked, terms, "item_id")
+    joined = retrieval.arms(chunks, vectors.embed(chunks, terms, "chunk_id"), asked, at, "item_id", filters=filters)
+    found = retrieval.arms(chunks, marked, asked, at, "item_id", filters=filters, spent=True)
+    assert not os.path.exists(marked.staged_at)
+    for arm in ("dense", "lexical"):
+        assert [r.chunk_id for r in found[arm].collect()] == ["1"] == [r.chunk_id for r in joined[arm].collect()]
